@@ -1,10 +1,12 @@
 """Queries of this subpackage, one for each operator, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, sharding, simhash
+from . import exact_dedup, langid, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_toxicity_mil": toxicity.op4_toxicity_mil,
     "op6_simhash_golay": simhash.op6_simhash_golay,
+    "op8_language_bitmask": langid.op8_language_bitmask,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
 }
 
