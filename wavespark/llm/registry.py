@@ -1,12 +1,15 @@
 """Queries of this subpackage, one for each operator, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, langid, sharding, simhash, toxicity
+from . import exact_dedup, langid, packing, pii, sharding, simhash, tiling, toxicity
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_pii_boosting": pii.op3_pii_boosting,
     "op4_toxicity_mil": toxicity.op4_toxicity_mil,
+    "op5_greedy_tiling": tiling.op5_greedy_tiling,
     "op6_simhash_golay": simhash.op6_simhash_golay,
     "op8_language_bitmask": langid.op8_language_bitmask,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
 }
 
