@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +22,33 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage, so that a lost executor costs a reread only.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, local runs) is one made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only where that is unset (tests,
+    local runs) is one made."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wavespark-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and cuts its lineage, so that a lost executor costs a reread only."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: for tables whose columns are read selectively."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def row_key(id_col: str, mark: Column) -> Column:
+    """A key, never null, of a document by id and a hash of its text: an id alone need not be unique."""
+    return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), mark.cast("string"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph by randomised contraction.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, row_key, table
 
 #: Characters of the text that the second level hashes.
 PREFIX_CHARS = 64
@@ -100,13 +100,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Ids name documents, but repeated rows and even different texts under one id come out right: decisions are matched by
     id and text hash, and of rows alike in both, one stays.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    mark = F.sha2(ascii_lower(text), 256)
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), mark.alias("_mark"))
-    kept = exact_dedup(slim, "_id", "_text", **options).where("kept").select("_id", "_mark").distinct()
-    marked = docs.withColumn("_mark", mark)
-    found = marked.join(kept, marked[id_col].eqNullSafe(kept["_id"]) & (marked["_mark"] == kept["_mark"]), "left_semi")
-    return found.dropDuplicates([id_col, "_mark"]).select(*docs.columns)
+    key = row_key(id_col, F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    keyed = docs.withColumn("_key", key)
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), key.alias("_doc"))
+    kept = exact_dedup(slim, "_id", "_text", **options).where("kept").select(F.col("_doc").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,6 +189,20 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text",
     return slim.mapInArrow(lambda batches: _predictions(batches, shared.value), schema)
 
 
+def _identified(batches: Iterator[pa.RecordBatch], filters: LanguageFilters, column: int) -> Iterator[pa.RecordBatch]:
+    rates = filters.false_rates
+    for batch in batches:
+        yield batch.filter(pa.array([filters.predict(x.as_py(), rates)[0] != "und" for x in batch.column(column)], pa.bool_()))
+
+
+def identified(docs: DataFrame, filters: LanguageFilters, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in some language: those that identify() doesn't call
+    `und`."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    column = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda batches: _identified(batches, shared.value, column), docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """The fold that nothing is learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

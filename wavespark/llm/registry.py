@@ -1,19 +1,23 @@
 """Queries of this subpackage, one for each operator, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, langid, packing, pii, sharding, simhash, tiling, toxicity
+from . import exact_dedup, langid, packing, pii, preferences, sharding, simhash, tiling, toxicity, urlfilter
 
 QUERIES = {
+    "op1_redirect_rules": urlfilter.op1_redirect_rules,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_pii_boosting": pii.op3_pii_boosting,
     "op4_toxicity_mil": toxicity.op4_toxicity_mil,
     "op5_greedy_tiling": tiling.op5_greedy_tiling,
     "op6_simhash_golay": simhash.op6_simhash_golay,
+    "op7_preference_pairs": preferences.op7_preference_pairs,
     "op8_language_bitmask": langid.op8_language_bitmask,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
 }
 
 ORACLE_SQL = {
+    "op1_redirect_rules": urlfilter.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op7_preference_pairs": preferences.OP7_SQL,
     "op10_extendible_sharding": sharding.OP10_SQL,
 }

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, table
+from .common import checkpoint, components, row_key, table
 
 #: Words in a shingle, the hash's seed, and the bits in which linked fingerprints may differ, as the query's contract has them.
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -222,6 +222,16 @@ def simhash_groups(
     return prints.join(named, "print").select(F.col("id").alias(id_col), "print", "component_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stand for their groups (see simhash_groups): of each, the one of the smallest id. Of texts
+    under one id, each is judged by itself; of rows alike in both, one stays."""
+    key = row_key(id_col, F.xxhash64(text_col))
+    keyed = docs.withColumn("_key", key)
+    slim = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("_id"), F.col(text_col).alias("_text"))
+    kept = simhash_groups(slim, "_id", "_text", **options).where("_id = component_id").select(F.col("_id.key").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+
+
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

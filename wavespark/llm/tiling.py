@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import row_key, table
 
 #: Words of a seed, which is also the shortest tile, and the share of an item's words that tiles must cover.
 SEED, COVERAGE = 5, 0.8
@@ -259,13 +259,10 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that are in no pair of contaminated(). Rows with a null id are judged by their texts, too."""
-    mark = F.xxhash64(text_col)
-    marked = docs.withColumn("_mark", mark)
-    slim = docs.select(F.struct(F.col(id_col).alias("id"), mark.alias("mark")).alias("_key"), F.col(text_col).alias("_text"))
-    bad = contaminated(slim, benchmark, "_key", "_text", **options).select("_key.*").distinct()
-    same = marked[id_col].eqNullSafe(bad["id"]) & (marked["_mark"] == bad["mark"])
-    return marked.join(bad, same, "left_anti").select(*docs.columns)
+    """The rows of docs that are in no pair of contaminated(). Each row is judged by its own text, whatever its id."""
+    keyed = docs.withColumn("_key", row_key(id_col, F.xxhash64(text_col)))
+    bad = contaminated(keyed.select("_key", F.col(text_col).alias("_text")), benchmark, "_key", "_text", **options).select("_key").distinct()
+    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def op5_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
