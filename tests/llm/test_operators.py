@@ -470,18 +470,19 @@ def test_grams_do_not_depend_on_pieces(monkeypatch):
 
 
 def plain_best_fit(sizes, capacities, opened):
-    rooms, used, where = [], [], []
-    for s in sizes:
-        fits = [k for k, room in enumerate(rooms) if room >= s]
+    rooms, used, touched = [], [], []
+    for t, s in enumerate(sizes):
+        fits = [k for k, room in enumerate(rooms) if room >= s and room > 0]
         if fits:
-            k = min(fits, key=lambda k: rooms[k])
+            k = min(fits, key=lambda k: (rooms[k], -touched[k]))
         else:
             k = len(rooms)
             rooms.append(next(c for c in capacities if c >= max(opened, s)))
             used.append(0)
-        where.append(rooms[k] if fits else None)
+            touched.append(t)
         rooms[k] -= s
         used[k] += s
+        touched[k] = t
     return sorted(used)
 
 

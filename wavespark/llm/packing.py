@@ -21,7 +21,7 @@ WORDS = "[^ \\t\\n\\x0B\\f\\r]+"
 
 def best_fit(sizes: Sequence[int], capacities: Sequence[int], opened: int) -> tuple[list[int], list[int], list[int]]:
     """Packs sizes in the order given: each goes to the open bin that it fills best, else to a new one, of capacity
-    opened or, if that is too small, of the smallest that takes it.
+    opened or, if that is too small, of the smallest that takes it. Of bins with equal room the one filled last is taken.
 
     Returns each size's bin, each size's offset in its bin, and the tokens in each bin. The rooms of open bins are bits
     of one number, so the least room that is enough is found without a search.

@@ -67,12 +67,12 @@ def shard(
     kept = [carry] if carry else []
     rows = docs.select(F.col(key_col).alias("_key"), key.alias("_text"), F.coalesce(size, F.lit(0)).cast("long").alias("_bytes"), *kept)
     # Written once: the sizes are then not computed again by every round, and row numbers stay as they are.
-    rows = checkpoint(rows).withColumn("_row", F.monotonically_increasing_id())
+    rows = checkpoint(rows).withColumn("_nth", F.monotonically_increasing_id())
     pending = rows.withColumn("_bucket", F.lit(""))
     done: list[DataFrame] = []
     at = 0
     while True:
-        hashed = _hash(F.col("_text")) if at < HASH_BITS else _hash(F.concat("_text", F.lit("#"), "_row"))
+        hashed = _hash(F.col("_text")) if at < HASH_BITS else _hash(F.concat("_text", F.lit("#"), "_nth"))
         shift = HASH_BITS - STEP - at % HASH_BITS
         pending = pending.withColumn("_next", F.shiftright(hashed, shift).bitwiseAND(F.lit((1 << STEP) - 1)))
         directory = checkpoint(_directory(pending, limit, at))
@@ -85,7 +85,7 @@ def shard(
         at += STEP
         if at == 2 * HASH_BITS or directory.where("_bits is null").isEmpty():
             break
-        pending = placed.where("_bits is null").select("_key", "_text", "_bytes", "_row", F.col("_shard").alias("_bucket"), *kept)
+        pending = placed.where("_bits is null").select("_key", "_text", "_bytes", "_nth", F.col("_shard").alias("_bucket"), *kept)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -98,9 +98,9 @@ def shard(
 def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", size: Column | None = None, limit: int = SHARD_BYTES) -> None:
     """Writes the rows of docs, with all their columns, as Parquet in one folder shard=b<bits> for each shard."""
     size = F.octet_length("text") if size is None else size
-    whole = docs.select(F.col(key_col).alias("_key"), F.coalesce(size, F.lit(0)).alias("_size"), F.struct(*docs.columns).alias("_row"))
-    placed = shard(whole, "_key", F.col("_size"), limit, carry="_row")
-    placed = placed.select("_row.*", F.concat(F.lit("b"), "shard").alias("shard"))
+    whole = docs.select(F.col(key_col).alias("_key"), F.coalesce(size, F.lit(0)).alias("_size"), F.struct(*docs.columns).alias("_whole"))
+    placed = shard(whole, "_key", F.col("_size"), limit, carry="_whole")
+    placed = placed.select("_whole.*", F.concat(F.lit("b"), "shard").alias("shard"))
     placed.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
