@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arrays as A
 from .gram import Normal, normal_equations, total
@@ -70,9 +72,48 @@ def ridge_path(normal: Normal, penalties: Sequence[float], scale: np.ndarray | N
     return out
 
 
+#: Coefficients, over all models, up to which predictions are expressions; more are a product of matrices a batch.
+FEW = 256
+
+
+def _products(batches: Iterator[pa.RecordBatch], coef: np.ndarray, intercept: np.ndarray, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, coef.shape[1])
+        p = x @ coef.T + intercept
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(intercept)), pa.array(p.ravel()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "p"])
+
+
 def predictions(rows: DataFrame, models: Sequence[Linear], x: str = "x") -> DataFrame:
-    """Adds p, an array of each model's prediction, in one pass."""
-    return rows.withColumn("p", F.array(*[m.predict(x) for m in models]))
+    """Adds p, an array of each model's prediction, in one pass. All rows have values for all columns."""
+    rows = rows.drop("p")
+    if sum(len(m.coef) for m in models) <= FEW:
+        return rows.withColumn("p", F.array(*[m.predict(x) for m in models]))
+    coef, intercept = np.stack([m.coef for m in models]), np.array([m.intercept for m in models])
+    rows = rows.withColumn(x, F.col(x).cast("array<double>"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("p", T.ArrayType(T.DoubleType()))])
+    shared = rows.sparkSession.sparkContext.broadcast((coef, intercept))
+    at = rows.columns.index(x)
+    return rows.mapInArrow(lambda batches: _products(batches, *shared.value, at), schema)
+
+
+def _moved(batches: Iterator[pa.RecordBatch], mean: np.ndarray, scale: np.ndarray, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = (batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(mean)) - mean) * scale
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(mean)), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:at], lists, *batch.columns[at + 1 :]], batch.schema.names)
+
+
+def moved(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, x: str = "x") -> DataFrame:
+    """x less mean, times scale, batch by batch: for designs too wide to write as an expression."""
+    rows = rows.withColumn(x, F.col(x).cast("array<double>"))
+    at = rows.columns.index(x)
+    return rows.mapInArrow(lambda batches: _moved(batches, mean, scale, at), rows.schema)
+
+
+def predicted(rows: DataFrame, model: Linear, x: str = "x", name: str = "p") -> DataFrame:
+    """Adds one model's prediction."""
+    return predictions(rows, [model], x).withColumn(name, F.get("p", F.lit(0)))
 
 
 def scored(rows: DataFrame, y: str = "y", by: str | None = None) -> DataFrame:
@@ -92,11 +133,11 @@ def ridge_cv(rows: DataFrame, p: int, penalties: Sequence[float], x: str = "x",
     parts = normal_equations(rows, p, x, y, fold)
     everything = total(parts)
     models = {f: [ridge(everything - part, lam) for lam in penalties] for f, part in parts.items()}
-    p_of = None
-    for f, found in models.items():
-        here = F.array(*[m.predict(x) for m in found])
-        p_of = F.when(F.col(fold) == f, here) if p_of is None else p_of.when(F.col(fold) == f, here)
-    table = scored(rows.withColumn("p", p_of), y, fold).groupBy("k").agg(F.avg("nmse").alias("e")).collect()
+    # All models of all folds are one product; of it, each row keeps its own fold's stretch.
+    folds, n = list(models), len(penalties)
+    place = F.array_position(F.array(*[F.lit(f) for f in folds]), F.col(fold).cast("int")).cast("int")
+    all_p = predictions(rows.select(x, y, fold), [m for f in folds for m in models[f]], x)
+    table = scored(all_p.withColumn("p", F.slice("p", (place - 1) * n + 1, F.lit(n))), y, fold).groupBy("k").agg(F.avg("nmse").alias("e")).collect()
     errors = [r["e"] for r in sorted(table, key=lambda r: r["k"])]
     best = int(np.argmin(errors))
     return errors, best, ridge(everything, penalties[best])
@@ -119,7 +160,7 @@ def irls(rows: DataFrame, p: int, penalty: float, start: Linear, rounds: int = 3
     score = lambda m: scored(predictions(rows if held is None else rows.where(held), [m], x), y).first()["nmae"]
     best, best_score, model = start, score(start), start
     for _ in range(rounds):
-        residual = rows.select(x, y, (F.col(y) - model.predict(x)).alias("_r"))
+        residual = predicted(rows.select(x, y), model, x).select(x, y, (F.col(y) - F.col("p")).alias("_r"))
         middle = residual.agg(F.median("_r")).first()[0]
         spread = residual.agg(F.median(F.abs(F.col("_r") - middle))).first()[0]
         floor = 1.345 * spread + floor_add
@@ -202,8 +243,8 @@ def block_ridge(rows: DataFrame, p: int, block_of: np.ndarray, presets: Sequence
     everything = normal_equations(rows, p, x, y)[0]
     scale = scale_of(preset)
     start = ridge(everything, penalty, scale)
-    scaled = rows.withColumn("_x", F.zip_with(F.col(x).cast("array<double>"), A.constant(scale), lambda a, b: a * b))
-    found = irls(scaled, p, penalty, Linear(start.intercept, start.coef / scale), rounds, 1e-3, held, "_x", y)
+    scaled = moved(rows, np.zeros(p), scale, x)
+    found = irls(scaled, p, penalty, Linear(start.intercept, start.coef / scale), rounds, 1e-3, held, x, y)
     return Linear(found.intercept, found.coef * scale)
 
 

@@ -22,7 +22,7 @@ def task_a(spark: SparkSession, train: str, test: str, width: int | None = src.W
     rows = src.require_target(src.read_table(spark, train, width=width))
     p = len(rows.first()["x"])
     model = linear.ols(G.normal_equations(rows, p)[0])
-    return src.read_table(spark, test, width=width).select("row_id", model.predict().alias("p")), model
+    return linear.predicted(src.read_table(spark, test, width=width), model).select("row_id", "p"), model
 
 
 def task_b(spark: SparkSession, train: str, test: str, folds: str, lambdas: str, width: int | None = src.WIDTH) -> tuple[DataFrame, linear.Linear, list[float], list[float], int]:
@@ -31,12 +31,12 @@ def task_b(spark: SparkSession, train: str, test: str, folds: str, lambdas: str,
     p, n = len(rows.first()["x"]), rows.count()
     ends, penalties = src.read_folds(spark, folds, n), src.read_lambdas(spark, lambdas)
     errors, best, model = linear.ridge_cv(splits.contiguous(rows, ends), p, penalties)
-    return src.read_table(spark, test, width=width).select("row_id", model.predict().alias("p")), model, penalties, errors, best
+    return linear.predicted(src.read_table(spark, test, width=width), model).select("row_id", "p"), model, penalties, errors, best
 
 
 def check_predictions(test: DataFrame, predictions: DataFrame, model: linear.Linear, rtol: float = 1e-5, atol: float = 1e-6) -> DataFrame:
     """One row: n pairs by row_id and bad, those that the weights don't give."""
-    own = test.select("row_id", model.predict().alias("own"))
+    own = linear.predicted(test, model, name="own").select("row_id", "own")
     off = F.abs(F.col("p") - F.col("own")) > atol + rtol * F.abs("own")
     return own.join(predictions, "row_id").agg(F.count("*").alias("n"), F.count_if(off).alias("bad"))
 
@@ -77,9 +77,9 @@ class HeartRateModel:
 
     def predict(self, windows: DataFrame) -> DataFrame:
         """row_id and p, clipped to what the training targets allow."""
-        p = A.safe(self.linear.predict(), float("nan"))
+        p = A.safe(F.col("p"), float("nan"))
         p = F.when(F.isnan(p), F.lit((self.low + self.high) / 2)).otherwise(F.greatest(F.lit(self.low), F.least(F.lit(self.high), p)))
-        return self.design(windows).select("row_id", p.alias("p"))
+        return linear.predicted(self.design(windows).select("row_id", "x"), self.linear).select("row_id", p.alias("p"))
 
 
 def design_c(windows: DataFrame, prior: np.ndarray, knots: np.ndarray) -> DataFrame:
@@ -110,8 +110,7 @@ def fit_heart_rate(windows: DataFrame, n: int, penalties=linear.LAMBDAS_C, prese
     everything = G.normal_equations(rows, p)[0]
     gram, _, mean, _ = linear.centred(everything)
     scale = np.sqrt(np.maximum(np.diag(gram), 0) / everything.weight) + 1e-8
-    z = F.zip_with(F.zip_with(F.col("x"), A.constant(mean), lambda v, m: v - m), A.constant(scale), lambda v, s: v / s)
-    standard = rows.select("row_id", "y", z.alias("x"))
+    standard = linear.moved(rows.select("row_id", "y", "x"), mean, 1 / scale)
     held = F.col("row_id") >= int(n * 0.75)
     model = linear.block_ridge(standard, p, block_of, presets, penalties, held)
     coef = model.coef / scale
