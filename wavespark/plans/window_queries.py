@@ -12,7 +12,6 @@ from .fixtures import SECONDS_SQL, WINDOWS_SQL, channels, r6, rounded, seconds,
 
 QUERIES, ORACLE_SQL = {}, {}
 RATE = 64.0
-w = F.col("w")
 
 
 def query(sql: str | None = None):
@@ -37,6 +36,7 @@ STAT_NAMES = ["mean", "std", "min", "max", "median", "q25", "q75", "energy", "di
 @query(f"""WITH {SECONDS_SQL}, d AS (SELECT *, v - lag(v) OVER (PARTITION BY row_id ORDER BY pos) AS d FROM s),
 a AS (SELECT row_id, {STATS} FROM d GROUP BY row_id) SELECT row_id, {', '.join(r6(c, c) for c in STAT_NAMES)} FROM a""")
 def window_signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
     return named(seconds(spark, sf_dir), A.stats(w))
 
 
@@ -52,6 +52,7 @@ a AS (SELECT row_id, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS min, max(v)
   CASE WHEN count(v) / count(*) < 0.5 THEN 1 ELSE 0 END AS miss FROM d GROUP BY row_id)
 SELECT row_id, {', '.join(r6(f'coalesce({c}, 0)', c) for c in NAN)} FROM a""")
 def window_nan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
     df = seconds(spark, sf_dir)
     holes = F.transform(w, lambda x, i: F.when(((i + F.col("row_id")) % 7 > 0) & (F.col("row_id") % 11 > 0), x).otherwise(float("nan")))
     return named(df.select("row_id", holes.alias("w")), A.nan_stats(w))
@@ -60,6 +61,7 @@ def window_nan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SECONDS_SQL}, m AS (SELECT row_id, pos, CASE WHEN (pos + row_id) % 7 > 0 THEN v END AS v FROM s)
 SELECT row_id, pos::INTEGER AS pos, {r6('coalesce(v, median(v) OVER (PARTITION BY row_id), 0)', 'v')} FROM m""")
 def window_impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
     holes = F.transform(w, lambda x, i: F.when((i + F.col("row_id")) % 7 > 0, x).otherwise(float("nan")))
     df = seconds(spark, sf_dir).select("row_id", A.impute_median(holes).alias("w"))
     return rounded(L.explode(df, "w", "v"), ["row_id", "pos"])
@@ -70,6 +72,7 @@ SELECT row_id, {r6('avg(((v - m) / (s + 1e-8::DOUBLE)) ^ 3)', 'skew')}, {r6('avg
 {r6('max(abs(v - m)) / (max(s) + 1e-6::DOUBLE)', 'crest')}, {r6('avg(CASE WHEN abs((v - m) / (s + 1e-6::DOUBLE)) > 2 THEN 1 ELSE 0 END)', 'spikes')}
 FROM s JOIN m USING (row_id) GROUP BY row_id""")
 def window_skew_kurt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
     z = A.zscore(w, 1e-6)
     return named(seconds(spark, sf_dir), {
         "skew": A.moment(w, 3, 1e-8), "kurtosis": A.moment(w, 4, 1e-8) - 3, "crest": F.array_max(F.transform(z, F.abs)),
@@ -83,6 +86,7 @@ c AS (SELECT row_id, sum(CASE WHEN sg <> p THEN 1 ELSE 0 END) AS n FROM (SELECT
 SELECT row_id, {r6('avg(d2)', 'd2_mean')}, {r6('stddev_pop(d2)', 'd2_std')}, {r6('sum(d2 * d2)', 'd2_energy')}, {r6('max(n)', 'crossings')},
 {r6('max(n) / 2 * 60 / (63 / 64::DOUBLE)', 'crossing_bpm')} FROM d JOIN c USING (row_id) GROUP BY row_id""")
 def window_second_diff_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
     d2 = A.diff(A.diff(w))
     return named(seconds(spark, sf_dir), {
         "d2_mean": A.mean(d2), "d2_std": A.std(d2), "d2_energy": A.energy(d2), "crossings": A.zero_crossings(w), "crossing_bpm": A.zero_crossing_bpm(w, RATE),
@@ -95,6 +99,7 @@ SELECT row_id, {r6('regr_slope(m, b)', 'mean_slope')}, {r6('regr_slope(s, b)', '
 {r6('max_by(m, b) - min_by(m, b)', 'mean_contrast')}, {r6('max_by(s, b) - min_by(s, b)', 'std_contrast')},
 {r6('stddev_pop(s)', 'envelope_std')}, {r6('max(s)', 'envelope_max')}, {r6('min(s)', 'envelope_min')} FROM b GROUP BY row_id""")
 def block_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
     blocks = A.block_summary(w, 10, 64)
     df = windows(spark, sf_dir).select("row_id", *[c.alias(k) for k, c in blocks.items()])
     m, s, logs = F.col("mean"), F.col("std"), F.transform("energy", lambda e: F.ln(e + 1e-6))
@@ -114,6 +119,7 @@ r AS (SELECT a.row_id, b.pos - a.pos AS lag, sum(a.x * b.x) / max(e) AS c FROM c
 @query(f"""WITH {LAGS_SQL} SELECT row_id, {r6('60 * 64::DOUBLE / max_by(lag, struct_pack(c := c, l := -lag))', 'bpm')}, {r6('max(c)', 'peak')}
 FROM r WHERE lag <= 96 GROUP BY row_id""")
 def autocorr_bpm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
     return named(windows(spark, sf_dir), A.autocorr_bpm(w, RATE))
 
 
@@ -124,6 +130,7 @@ g AS (SELECT row_id, max_by(lag, struct_pack(c := c, l := -lag)) AS l3, max(c) A
 SELECT row_id, {r6('3840 / l1', 'bpm1')}, {r6('c1', 'c1')}, {r6('3840 / l2', 'bpm2')}, {r6('c2', 'c2')}, {r6('c2 / (abs(c1) + 1e-8::DOUBLE)', 'ratio')},
 {r6('3840 / l3', 'harmonic_bpm')}, {r6('c3', 'harmonic_score')} FROM b JOIN o USING (row_id) JOIN g USING (row_id)""")
 def harmonic_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
     found = windows(spark, sf_dir).select("row_id", A.harmonic_bank(w, RATE).alias("bank"))
     return rounded(found.select("row_id", "bank.*"), ["row_id"])
 
@@ -133,6 +140,7 @@ p AS (SELECT a.row_id, o, a.v AS x, b.v AS y FROM w a JOIN k ON a.pos BETWEEN o
 q AS (SELECT row_id, o, covar_pop(x, y) * 64 AS c, var_pop(x) * 64 AS e, var_pop(y) * 64 AS f FROM p GROUP BY 1, 2)
 SELECT row_id, (o // 8)::INTEGER AS pos, {r6('c / sqrt(e * f + 1e-8::DOUBLE)', 'c')} FROM q""")
 def sliding_xcorr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
     found = windows(spark, sf_dir).select("row_id", A.sliding_correlation(w, 64, 8).alias("c"))
     return rounded(L.explode(found, "c", "c"), ["row_id", "pos"])
 
@@ -144,6 +152,7 @@ NEIGHBOURS = f"{WINDOWS_SQL}, n AS (SELECT *, lag(v) OVER o AS a, lead(v) OVER o
 SELECT row_id, {r6('count(*)', 'count')}, {r6('avg(g)', 'mean_interval')}, {r6('stddev_pop(g)', 'std_interval')},
 {r6('stddev_pop(g) / (avg(g) + 1e-8::DOUBLE)', 'cv_interval')}, {r6('60 / (avg(g) + 1e-8::DOUBLE)', 'bpm')} FROM p GROUP BY row_id""")
 def peak_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
     return named(windows(spark, sf_dir), A.peak_intervals(w, RATE))
 
 
@@ -166,6 +175,7 @@ def peak_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
 q AS (SELECT a.row_id, a.pos, avg(b.v) AS y FROM s a, range(0, 61) k(k) JOIN s b ON b.row_id = a.row_id AND b.pos = greatest(0, least(63, a.pos - 30 + k)) GROUP BY 1, 2)
 SELECT row_id, pos::INTEGER AS pos, {r6('x - y', 'v')} FROM p JOIN q USING (row_id, pos)""")
 def moving_average_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
     found = seconds(spark, sf_dir).select("row_id", A.band_pass(w, 5, 61).alias("w"))
     return rounded(L.explode(found, "w", "v"), ["row_id", "pos"])
 
@@ -198,6 +208,7 @@ def ewma_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT row_id, sum(v) AS y0, sum(v * t) AS y1, sum(v * t * t) AS y2, sum(v * t * t * t) AS y3, count(*) AS n, sum(t ^ 2) AS s2, sum(t ^ 4) AS s4, sum(t ^ 6) AS s6 FROM t GROUP BY 1)
 SELECT row_id, {r6('(y1 * s6 - y3 * s4) / (s2 * s6 - s4 * s4)', 'c1')}, {r6('(n * y2 - s2 * y0) / (n * s4 - s2 * s2)', 'c2')}, {r6('(y3 * s2 - y1 * s4) / (s2 * s6 - s4 * s4)', 'c3')} FROM m""")
 def poly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
     return named(seconds(spark, sf_dir), {f"c{k + 1}": c for k, c in enumerate(A.poly_trend(w, 64))})
 
 
@@ -244,6 +255,7 @@ SELECT row_id, {r6('min(n.k) + greatest(-1, least(1, CASE WHEN abs(min(a - 2 * b
 FROM c p JOIN n USING (row_id) JOIN j USING (row_id) GROUP BY row_id""")
 def surface_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each vector taken as a score over 64 candidates."""
+    w = F.col("w")
     df = seconds(spark, sf_dir).select("row_id", "w", A.softmax(w).alias("p"))
     p = F.col("p")
     at = lambda power: A.total(F.transform(p, lambda x, i: x * F.pow(i.cast("double"), F.lit(float(power)))))
@@ -259,6 +271,7 @@ def surface_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT x.row_id, b::INTEGER AS pos, {r6('x.v', 'v')}, {r6('l.v * (1 - (k - floor(k))) + h.v * (k - floor(k))', 'doubled')} FROM x JOIN s l ON l.row_id = x.row_id AND l.pos = floor(k) JOIN s h ON h.row_id = x.row_id AND h.pos = floor(k) + 1""")
 def coarsen_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of four candidates, and the surface at twice each group's first one."""
+    w = F.col("w")
     doubled = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: A.interpolate_at(w, 2.0 * b * 4))
     both = F.arrays_zip(A.coarsen(w, 4).alias("v"), doubled.alias("doubled"))
     return rounded(seconds(spark, sf_dir).select("row_id", F.posexplode(both).alias("pos", "x")).select("row_id", "pos", "x.*"), ["row_id", "pos"])
@@ -267,6 +280,7 @@ def coarsen_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SECONDS_SQL}, q AS (SELECT row_id, avg(v * v) AS q FROM s GROUP BY 1), c AS (SELECT row_id, pos, v FROM s WHERE pos % 10 = 0)
 SELECT row_id, pos::INTEGER AS pos, {r6('v * v / q', 'square')}, {r6('v * (1 + 0.6::DOUBLE * tanh(12 * (abs(v) - 0.1::DOUBLE)))', 'gated')}, {r6('ln(greatest(v, 1e-12::DOUBLE))', 'log_safe')} FROM c JOIN q USING (row_id)""")
 def sample_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("w")
     parts = F.arrays_zip(A.normalised_square(w).alias("square"), F.transform(w, lambda x: A.gate(x, 0.1)).alias("gated"), F.transform(w, A.log_safe).alias("log_safe"))
     df = seconds(spark, sf_dir).select("row_id", F.posexplode(parts).alias("pos", "x")).where("pos % 10 = 0")
     return rounded(df.select("row_id", "pos", "x.*"), ["row_id", "pos"])
