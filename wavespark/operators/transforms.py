@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,26 +87,51 @@ def yeo_johnson(c: Column, lam: float) -> Column:
     return F.when(c >= 0, up).otherwise(down)
 
 
+def _powers(v: np.ndarray, lam: float) -> np.ndarray:
+    up, down = np.maximum(v, 0), np.minimum(v, 0)
+    up = np.log1p(up) if abs(lam) < 1e-12 else (np.power(up + 1, lam) - 1) / lam
+    down = -np.log1p(-down) if abs(lam - 2) < 1e-12 else -(np.power(1 - down, 2 - lam) - 1) / (2 - lam)
+    return np.where(v >= 0, up, down)
+
+
+def _spreads(batches: Iterator[pa.RecordBatch], grids: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """For each batch, column and grid point: count, mean and squared distances of the transformed values, and the sum of
+    signed logs."""
+    for batch in batches:
+        out = []
+        for k, (c, grid) in enumerate(grids.items()):
+            v = batch.column(k).to_numpy(zero_copy_only=False).astype(float)
+            v = v[np.isfinite(v)]
+            if not len(v):
+                continue
+            logs = float((np.sign(v) * np.log1p(np.abs(v))).sum())
+            for j, lam in enumerate(grid):
+                t = _powers(v, float(lam))
+                out.append((c, j, len(v), float(t.mean()), float(((t - t.mean()) ** 2).sum()), logs))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["c", "j", "n", "mean", "square", "logs"])
+
+
 def fit_yeo_johnson(rows: DataFrame, names: Sequence[str], low: float = -4.0, high: float = 6.0, rounds: int = 5, steps: int = 9) -> dict[str, float]:
     """The parameter of most likelihood for each column. All columns are searched at once on grids that close in: each
     round is one pass that sums, for every column and grid point, what the likelihood needs."""
-    centre = {c: (low, high) for c in names}
+    slim = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names])
+    bounds = {c: (low, high) for c in names}
     best: dict[str, float] = {}
     for _ in range(rounds):
-        grids = {c: np.linspace(a, b, steps) for c, (a, b) in centre.items()}
-        sums = []
+        grids = {c: np.linspace(a, b, steps) for c, (a, b) in bounds.items()}
+        parts = slim.mapInArrow(lambda batches, grids=grids: _spreads(batches, grids), "c string, j long, n long, mean double, square double, logs double")
+        total = F.sum(F.col("n") * F.col("mean"))
+        within = F.sum(F.col("square") + F.col("n") * F.col("mean") * F.col("mean")) - total * total / F.sum("n")
+        found = parts.groupBy("c", "j").agg(F.sum("n").alias("n"), within.alias("square"), F.sum("logs").alias("logs")).collect()
+        score = {c: np.full(steps, -np.inf) for c in names}
+        for r in found:
+            if r["square"] > 0:
+                score[r["c"]][r["j"]] = -r["n"] / 2 * np.log(r["square"] / r["n"]) + (grids[r["c"]][r["j"]] - 1) * r["logs"]
         for c in names:
-            v = _value(c)
-            sums.append(F.sum(F.signum(v) * F.log1p(F.abs(v))))
-            sums.append(F.count(v))
-            sums += [F.var_pop(yeo_johnson(v, float(lam))) for lam in grids[c]]
-        found, width = rows.agg(*sums).first(), steps + 2
-        for k, c in enumerate(names):
-            logs, n, *spread = found[k * width : (k + 1) * width]
-            score = [-n / 2 * np.log(s) + (lam - 1) * logs if s else -np.inf for s, lam in zip(spread, grids[c], strict=True)]
-            at = int(np.argmax(score))
+            at = int(score[c].argmax())
             best[c] = float(grids[c][at])
-            centre[c] = float(grids[c][max(0, at - 1)]), float(grids[c][min(steps - 1, at + 1)])
+            bounds[c] = float(grids[c][max(0, at - 1)]), float(grids[c][min(steps - 1, at + 1)])
     return best
 
 
