@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wavespark.llm import common, exact_dedup, langid, packing, pii, preferences, registry, sharding, simhash, tiling, toxicity, urlfilter
+from wavespark.llm import common, exact_dedup, langid, near_copies, packing, pii, preferences, registry, sharding, simhash, tiling, toxicity, urlfilter
 
 R = random.Random(4)
 WORDS = ["ba", "no", "ti", "er", "la", "mo", "su", "en", "ka", "ri"]
@@ -380,11 +380,70 @@ def test_simhash_groups(docs, spark, block, monkeypatch):
     assert simhash.simhash_groups(empty(spark)).count() == 0
 
 
-def test_representatives(docs):
-    kept = simhash.representatives(docs)
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)} - {()}
+
+
+def plain_similarity(a, b):
+    x, y = plain_shingles(a), plain_shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def varied(r, words, edits):
+    out = list(words)
+    for at in r.sample(range(len(out)), edits):
+        out[at] = f"new{r.getrandbits(30)}"
+    return " ".join(out)
+
+
+def near_copy_texts():
+    """Families of a base text and copies with a few words replaced, none near the limit, so that results are certain."""
+    r, texts = random.Random(11), [None, "", " \t", "one two", "ONE  two", "two one"]
+    for family in range(12):
+        base = [f"w{r.getrandbits(12)}" for _ in range(120 + 40 * family)]
+        texts.append(" ".join(base))
+        texts += [varied(r, base, 1) for _ in range(3)] + [varied(r, base, len(base) // 8) for _ in range(2)]
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("small", [2, near_copies.SMALL])
+def test_near_copies(spark, small, monkeypatch):
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    rows = near_copy_texts()
+    docs = spark.createDataFrame([(*row, "clash", 1) for row in rows], "doc_id long, text string, print string, n int").repartition(3)
+    root = {i: i for i, _ in rows}
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and plain_similarity(a, b) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copy_groups(docs).collect()}
+    assert got == root and len(set(root.values())) <= len(rows) / 2
+    kept = near_copies.representatives(docs.unionAll(docs))
     assert kept.columns == docs.columns
-    groups = plain_components({i: plain_print(t) for i, t in TEXTS})
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(groups.values()))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root.values()))
+    assert near_copies.near_copy_groups(docs.where("false")).count() == 0
+
+
+def test_near_copy_pairs_of_a_large_group_join_what_all_pairs_join():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, (3, near_copies.CARRIED)).astype(np.uint64)
+    words = base[r.integers(0, 3, 200)] ^ sum(np.uint64(1) << r.integers(0, 64, (200, near_copies.CARRIED)).astype(np.uint64) for _ in range(4))
+    n = np.full(200, 50)
+    x, y, sure = near_copies.pairs(np.zeros(200, np.int64), n, words)
+    d = np.bitwise_count(words[x] ^ words[y]).sum(axis=1)
+    assert (d <= near_copies.LIKELY).all() and (sure == (d <= near_copies.SURE)).all()
+    every = [(i, j) for i in range(200) for j in range(i) if np.bitwise_count(words[i] ^ words[j]).sum() <= near_copies.LIKELY]
+    assert plain_roots(200, every) == plain_roots(200, zip(x.tolist(), y.tolist(), strict=True)) and len(x) < len(every)
+
+
+def plain_roots(n, links):
+    root = list(range(n))
+    for i, j in links:
+        low, high = sorted((root[i], root[j]))
+        root = [low if k == high else k for k in root]
+    return root
 
 
 # ------------------------------------------------------------------ 7

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, row_key, table
+from .common import checkpoint, components, table
 
 #: Words in a shingle, the hash's seed, and the bits in which linked fingerprints may differ, as the query's contract has them.
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -27,20 +27,32 @@ CHUNK = 1 << 16
 GOLAY_LENGTH, GOLAY_CHECK, GOLAY_POLYNOMIAL = 23, 11, 0b110001110101
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64 bits; one is set if it is set in over half of the hashes of the text's shingles, repeats included."""
+def shingle_hashes(text: bytes | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, repeats included, CHUNK at a time: of all its words if they are fewer, none without words."""
     words = (text or b"").lower().split()  # of bytes: A-Z and the six ASCII white spaces alone
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     last = ends[shingle - 1 :].tolist() or [len(line)]
     first = [0, *(ends[: len(last) - 1] + 1).tolist()]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for k in range(0, len(last), CHUNK):
-        hashes = np.array([digest(line[i:j], seed) for i, j in zip(first[k : k + CHUNK], last[k : k + CHUNK], strict=True)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << k for k in np.flatnonzero(2 * counts > len(last)).tolist())
+        yield np.array([digest(line[i:j], seed) for i, j in zip(first[k : k + CHUNK], last[k : k + CHUNK], strict=True)], "<u8")
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each of the 64 bits is set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64 bits; one is set if it is set in over half of the hashes of the text's shingles, repeats included."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for hashes in shingle_hashes(text, shingle, seed):
+        n += len(hashes)
+        counts += bit_counts(hashes)
+    return sum(1 << k for k in np.flatnonzero(2 * counts > n).tolist())
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -173,24 +185,29 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield out(*kept)
 
 
+def in_blocks(keys: DataFrame, block: int) -> DataFrame:
+    """Rows of keys (key, and further columns) with grp in place of key, dealt by grp and sorted. A group is a key, but a
+    key of more than block rows is cut into blocks by hash of the further columns, and each pair of blocks is a group."""
+    hot = checkpoint(keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    rest = [c for c in keys.columns if c != "key"]
+    groups = keys.select(F.col("key").alias("grp"), *rest)
+    if not hot.isEmpty():
+        dealt = keys.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own = F.pmod(F.xxhash64(*rest, F.lit(7)), "blocks")
+        each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        dealt = dealt.select("key", *rest, "blocks", own.cast("int").alias("own"), each.alias("other"))
+        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        groups = dealt.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(pair).alias("grp"), *rest)
+    return groups.repartition("grp").sortWithinPartitions("grp", *rest)
+
+
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between distinct fingerprints, a table with the single column print: enough of them to join all that
     differ in at most radius bits (3 at most), and none between others."""
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the keys find differences of up to {RADIUS} bits")
     keys = prints.mapInArrow(_keys, "key long, print long")
-    hot = checkpoint(keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    groups = keys.select(F.col("key").alias("grp"), "print")
-    if not hot.isEmpty():
-        # A group too large for one task is cut into blocks by hash, and every pair of blocks compared by a task.
-        dealt = keys.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64("print", F.lit(7)), "blocks")
-        each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        dealt = dealt.select("key", "print", "blocks", own.cast("int").alias("own"), each.alias("other"))
-        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        groups = dealt.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(pair).alias("grp"), "print")
-    sorted_groups = groups.repartition("grp").sortWithinPartitions("grp", "print")
-    return sorted_groups.mapInArrow(lambda batches: _links(batches, radius), "a long, b long")
+    return in_blocks(keys, block).mapInArrow(lambda batches: _links(batches, radius), "a long, b long")
 
 
 def simhash_groups(
@@ -214,22 +231,17 @@ def simhash_groups(
     kind = docs.schema["id"].dataType.simpleString()
     prints = checkpoint(docs.mapInArrow(lambda batches: _fingerprints(batches, shingle, seed), f"id {kind}, print long"))
     distinct = checkpoint(prints.groupBy("print").agg(F.min("id").alias("least")))
-    joined = components(links(distinct.select("print"), radius))
+    return with_component(prints, distinct, components(links(distinct.select("print"), radius))).withColumnRenamed("id", id_col)
+
+
+def with_component(prints: DataFrame, distinct: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows (id, print, component_id) of prints (id, print, ...); joined has (node, root) of prints that have links, and
+    distinct each print's smallest id as least."""
     roots = distinct.join(joined.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     # Only fingerprints that have links need the smallest id of their component.
     least = checkpoint(joined.join(distinct, joined["node"] == distinct["print"]).groupBy("root").agg(F.min("least").alias("component_id")))
     named = roots.join(least, "root", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "print").select(F.col("id").alias(id_col), "print", "component_id")
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stand for their groups (see simhash_groups): of each, the one of the smallest id. Of texts
-    under one id, each is judged by itself; of rows alike in both, one stays."""
-    key = row_key(id_col, F.xxhash64(text_col))
-    keyed = docs.withColumn("_key", key)
-    slim = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("_id"), F.col(text_col).alias("_text"))
-    kept = simhash_groups(slim, "_id", "_text", **options).where("_id = component_id").select(F.col("_id.key").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    return prints.join(named, "print").select("id", "print", "component_id")
 
 
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
