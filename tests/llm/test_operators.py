@@ -438,6 +438,26 @@ def test_near_copy_pairs_of_a_large_group_join_what_all_pairs_join():
     assert plain_roots(200, every) == plain_roots(200, zip(x.tolist(), y.tolist(), strict=True)) and len(x) < len(every)
 
 
+def test_families_near_the_limit_in_a_large_group_join_what_all_pairs_join():
+    """Two families of 20 under one key, whose pairs have similarities around 0.8: the closest by bits says little."""
+    joined = 0
+    for seed in range(6):
+        r = random.Random(seed)
+        one = [f"w{r.getrandbits(12)}" for _ in range(300)]
+        two = [f"v{k}" if k % 60 == 20 else w for k, w in enumerate(one)]
+        texts = [" ".join(f"x{r.getrandbits(20)}" if k in changed else w for k, w in enumerate(base)) for base in (one, two) for _ in range(20) for changed in [r.sample(range(300), 1)]]
+        sets = [near_copies.shingle_set(t.encode()) for t in texts]
+        n, words = np.array([len(s) for s in sets]), np.stack([near_copies.sketch(s)[: near_copies.CARRIED] for s in sets])
+        similar = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))  # noqa: B023, E731
+        d = np.bitwise_count(words[:, None] ^ words).sum(axis=2)
+        every = [(i, j) for i in range(40) for j in range(i) if d[i, j] <= near_copies.SURE or d[i, j] <= near_copies.LIKELY and similar(i, j)]
+        x, y, sure = near_copies.pairs(np.zeros(40, np.int64), n, words)
+        found = [(i, j) for i, j, s in zip(x.tolist(), y.tolist(), sure.tolist(), strict=True) if s or similar(i, j)]
+        assert plain_roots(40, found) == plain_roots(40, every)
+        joined += len(set(plain_roots(40, every))) == 1 and not any(d[i, j] <= near_copies.SURE for i in range(20) for j in range(20, 40))
+    assert joined
+
+
 def plain_roots(n, links):
     root = list(range(n))
     for i, j in links:

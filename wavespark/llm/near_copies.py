@@ -95,7 +95,7 @@ def pairs(groups: np.ndarray, n: np.ndarray, words: np.ndarray, similarity: floa
     """Pairs (x, y, sure) of rows within each group, which rows are sorted by.
 
     In groups of up to SMALL rows these are all pairs within LIKELY bits. In larger ones the sure pairs are a spanning
-    forest, and of the others the closest of any two of its trees.
+    forest, and the others all pairs within LIKELY bits between its trees: bits don't rank pairs by their similarity.
     """
     start = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     sizes = np.diff(np.r_[start, len(groups)])
@@ -116,7 +116,7 @@ def pairs(groups: np.ndarray, n: np.ndarray, words: np.ndarray, similarity: floa
 
 
 def _large(n: np.ndarray, words: np.ndarray, similarity: float) -> np.ndarray:
-    """Rows (x, y, distance) for one group: a forest of sure pairs, and the closest likely pair of any two of its trees."""
+    """Rows (x, y, distance) for one group: a forest of sure pairs, and all likely pairs between its trees."""
     tree, left, found = np.zeros(len(n), np.int64), np.arange(len(n)), [np.zeros((0, 3), np.int64)]
     while len(left):
         root, queue, left = left[0], [int(left[0])], left[1:]
@@ -129,19 +129,11 @@ def _large(n: np.ndarray, words: np.ndarray, similarity: float) -> np.ndarray:
             tree[own] = root
             queue += own.tolist()
             found.append(np.stack([np.full(len(own), at), own, d[near]], 1))
-    between = [np.zeros((0, 3), np.int64)]
     for at in range(len(n) if tree.any() else 0):
         d = _distances(n, words, at, slice(None), similarity)
         others = np.flatnonzero((d <= LIKELY) & (tree > tree[at]))
-        if len(others):
-            others = others[np.argsort(d[others], kind="stable")]
-            others = others[np.unique(tree[others], return_index=True)[1]]
-            between.append(np.stack([np.full(len(others), at), others, d[others]], 1))
-    x, y, d = np.concatenate(between).T
-    order = np.lexsort([d, tree[y], tree[x]])
-    x, y, d = x[order], y[order], d[order]
-    first = np.r_[True, (tree[x][1:] != tree[x][:-1]) | (tree[y][1:] != tree[y][:-1])][: len(x)]
-    return np.concatenate([*found, np.stack([x, y, d], 1)[first]])
+        found.append(np.stack([np.full(len(others), at), others, d[others]], 1))
+    return np.concatenate(found)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
