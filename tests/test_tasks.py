@@ -1,5 +1,6 @@
 """Sources, kernels and the four tasks."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from wavespark.operators import joins as J
 from wavespark.operators import linear as L
 from wavespark.operators import splits, transforms
 from wavespark.operators.kernels import apply_kernel
-from wavespark.plans import tasks
+from wavespark.plans import queries, tasks
 from wavespark.sources import subjects as sub
 from wavespark.sources import windows as src
 
@@ -155,6 +156,26 @@ def test_splits(spark):
     assert splits.equal_parts(10, 3) == [3, 6, 10]
 
 
+def equals_its_sql(spark, name, folder):
+    """The rows of a query, after comparing them with those of its SQL."""
+    own = queries.QUERIES[name](spark, folder).toPandas()
+    with duckdb.connect() as db:
+        for t in ("events", "embeddings"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+        want = db.execute(queries.ORACLE_SQL[name]).df()
+    keys = [c for c in ("row_id", "pos", "fold") if c in own.columns]
+    own, want = own.sort_values(keys), want.sort_values(keys)
+    assert sorted(own.columns) == sorted(want.columns) and len(own) == len(want)
+    assert all(np.allclose(own[c].astype(float), want[c].astype(float), atol=2e-6, equal_nan=True) for c in own.columns)
+    return own
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_every_event_is_in_a_fold(spark, sf):
+    found = equals_its_sql(spark, "fold_range_join_all", f"/root/testdata/{sf}")
+    assert found["n"].sum() == spark.read.parquet(f"/root/testdata/{sf}/events.parquet").count()
+
+
 def test_asof_forward_matches_search(spark):
     r = np.random.default_rng(3)
     a, b = np.sort(r.uniform(0, 10, 40)), np.sort(r.uniform(0, 9, 25))
