@@ -176,6 +176,11 @@ def test_every_event_is_in_a_fold(spark, sf):
     assert found["n"].sum() == spark.read.parquet(f"/root/testdata/{sf}/events.parquet").count()
 
 
+def test_functions_are_given_at_every_sample(spark):
+    found = equals_its_sql(spark, "sample_functions_all", "/root/testdata/sf0.001")
+    assert len(found) == 64 * spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+
+
 def test_asof_forward_matches_search(spark):
     r = np.random.default_rng(3)
     a, b = np.sort(r.uniform(0, 10, 40)), np.sort(r.uniform(0, 9, 25))

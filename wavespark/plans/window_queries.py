@@ -277,10 +277,21 @@ def coarsen_harmonics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(seconds(spark, sf_dir).select("row_id", F.posexplode(both).alias("pos", "x")).select("row_id", "pos", "x.*"), ["row_id", "pos"])
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised square, gate and safe log of each sample."""
+    w = F.col("w")
+    parts = F.arrays_zip(A.normalised_square(w).alias("square"), F.transform(w, lambda x: A.gate(x, 0.1)).alias("gated"), F.transform(w, A.log_safe).alias("log_safe"))
+    return seconds(spark, sf_dir).select("row_id", F.posexplode(parts).alias("pos", "x")).select("row_id", "pos", "x.*")
+
+
 @query(f"""WITH {SECONDS_SQL}, q AS (SELECT row_id, avg(v * v) AS q FROM s GROUP BY 1), c AS (SELECT row_id, pos, v FROM s WHERE pos % 10 = 0)
 SELECT row_id, pos::INTEGER AS pos, {r6('v * v / q', 'square')}, {r6('v * (1 + 0.6::DOUBLE * tanh(12 * (abs(v) - 0.1::DOUBLE)))', 'gated')}, {r6('ln(greatest(v, 1e-12::DOUBLE))', 'log_safe')} FROM c JOIN q USING (row_id)""")
 def sample_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.col("w")
-    parts = F.arrays_zip(A.normalised_square(w).alias("square"), F.transform(w, lambda x: A.gate(x, 0.1)).alias("gated"), F.transform(w, A.log_safe).alias("log_safe"))
-    df = seconds(spark, sf_dir).select("row_id", F.posexplode(parts).alias("pos", "x")).where("pos % 10 = 0")
-    return rounded(df.select("row_id", "pos", "x.*"), ["row_id", "pos"])
+    return rounded(samples(spark, sf_dir).where("pos % 10 = 0"), ["row_id", "pos"])
+
+
+@query(f"""WITH {SECONDS_SQL}, q AS (SELECT row_id, avg(v * v) AS q FROM s GROUP BY 1)
+SELECT row_id, pos::INTEGER AS pos, {r6('v * v / q', 'square')}, {r6('v * (1 + 0.6::DOUBLE * tanh(12 * (abs(v) - 0.1::DOUBLE)))', 'gated')}, {r6('ln(greatest(v, 1e-12::DOUBLE))', 'log_safe')} FROM s JOIN q USING (row_id)""")
+def sample_functions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As sample_functions, at every sample of each vector."""
+    return rounded(samples(spark, sf_dir), ["row_id", "pos"])
