@@ -521,6 +521,16 @@ def test_languages(spark):
     assert langid.identify(df, none).where("lang_pred <> 'und'").count() == 0 and langid.identify(df.where("false"), filters).count() == 0
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    r = random.Random(9)
+    words = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(130)}
+    rows = [(k, " ".join(r.choices(words[lang], k=20)), lang) for k, lang in enumerate(list(words) * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.fit(df)
+    assert filters.langs == list(words) and len(filters.false_rates) == 130
+    assert all(x["lang_pred"] == x["lang"] for x in langid.identify(df, filters).collect())
+
+
 def test_filters_hold_every_gram_and_few_others():
     texts = {"aa": prose(500), "bb": " ".join(w[::-1] + "q" for w in prose(500).split())}
     masks = np.zeros(1 << 14, np.uint64)

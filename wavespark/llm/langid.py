@@ -20,10 +20,8 @@ SAMPLE_PER_LANG = 2000
 #: An n-gram is put in a language's filter if it is in this share of the language's sampled documents at least: rarer
 #: ones are mostly quotations, names and copies of other languages.
 LEAST_SHARE = 0.01
-#: Slots of the filters and hashes of an n-gram. Each slot holds one bit for each language.
-SLOTS, HASHES = 1 << 20, 3
-#: Languages that the masks have bits for.
-MOST_LANGS = 64
+#: Slots of the filters and hashes of an n-gram. Each slot holds one bit for each language, in words of WORD bits.
+SLOTS, HASHES, WORD = 1 << 20, 3, 64
 #: Characters handled at a time, so that a text of any length needs a fixed amount of memory.
 CHUNK = 1 << 18
 
@@ -73,27 +71,29 @@ def slots(hashes: np.ndarray, slot_count: int = SLOTS, hash_count: int = HASHES)
 class LanguageFilters:
     langs: list[str]  # in the order of their bits
     usual: str | None  # the most frequent one
-    masks: np.ndarray  # by slot
+    masks: np.ndarray  # by slot, and by word if languages need several
     hash_count: int
     gram: int
 
     @property
     def false_rates(self) -> np.ndarray:
         """The share of n-grams in no filter that a language's filter has nevertheless: its fill to the power of the hashes."""
-        fill = np.array([(self.masks >> np.uint64(k) & np.uint64(1)).mean() for k in range(len(self.langs))])
+        masks = self.masks.reshape(len(self.masks), -1)
+        fill = np.array([(masks[:, k // WORD] >> np.uint64(k % WORD) & np.uint64(1)).mean() for k in range(len(self.langs))])
         return fill**self.hash_count
 
     def counts(self, text: str) -> tuple[np.ndarray, int]:
         """How many n-grams each language's filter has, and how many there are."""
         found, total = np.zeros(len(self.langs), np.int64), 0
+        masks = self.masks.reshape(len(self.masks), -1)
         for hashes in grams(text, self.gram):
-            at = slots(hashes, len(self.masks), self.hash_count)
-            mask = self.masks[at[0]]
+            at = slots(hashes, len(masks), self.hash_count)
+            mask = masks[at[0]]
             for more in at[1:]:
-                mask = mask & self.masks[more]
+                mask = mask & masks[more]
             total += len(mask)
             for k in range(len(self.langs)):
-                found[k] += np.count_nonzero(mask & np.uint64(1 << k))
+                found[k] += np.count_nonzero(mask[:, k // WORD] & np.uint64(1 << k % WORD))
         return found, total
 
     def predict(self, text: str | None, rates: np.ndarray) -> tuple[str, float]:
@@ -125,8 +125,8 @@ def _document_grams(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa
 def _gram_slots(batches: Iterator[pa.RecordBatch], slot_count: int, hash_count: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = slots(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), slot_count, hash_count)
-        mask = np.tile(batch.column(1).to_numpy(zero_copy_only=False), hash_count)
-        yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(mask)], ["slot", "mask"])
+        word, mask = (np.tile(c.to_numpy(zero_copy_only=False), hash_count) for c in batch.columns[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(word), pa.array(mask)], ["slot", "word", "mask"])
 
 
 def fit(
@@ -135,31 +135,30 @@ def fit(
 ) -> LanguageFilters:
     """Builds the filters from up to per_lang documents of each language; rows without a language are left out.
 
-    Up to 64 languages, the most frequent ones. What comes to the driver is bounded: one mask for each slot at most.
+    All languages take part. What comes to the driver is bounded by their number: a row for each language, and for every
+    64 of them one mask for each slot at most.
     """
     docs = docs.where(F.col(lang_col).isNotNull())
-    sizes = docs.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGS).collect()
+    sizes = docs.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).collect()
     if not sizes:
         return LanguageFilters([], None, np.zeros(slot_count, np.uint64), hash_count, gram)
     langs = sorted(r[0] for r in sizes)
     # Hash thresholds stand in for ranks: about per_lang documents of each language are below theirs, and choosing them
     # needs no sort of the table. They come out the same wherever and however often the rows are read.
-    bound = {r[0]: min(1.0, per_lang / r["count"]) for r in sizes}
+    number, spark = {lang: k for k, lang in enumerate(langs)}, docs.sparkSession
+    known = [(r[0], number[r[0]] // WORD, number[r[0]] % WORD, min(1.0, per_lang / r["count"]), max(2.0, least_share * min(per_lang, r["count"]))) for r in sizes]
+    known = F.broadcast(spark.createDataFrame(known, "lang string, word int, bit int, most double, least double"))  # a row a language
     share = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.lit(False)
-    for lang, most in bound.items():
-        wanted = wanted | ((F.col(lang_col) == lang) & (share < most))
-    sample = docs.where(wanted).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])
-    least = F.create_map(*[F.lit(x) for r in sizes for x in (r[0], max(2.0, least_share * min(per_lang, r["count"])))])
+    slim = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), share.alias("share"))
+    sample = slim.join(known, "lang").where("share < most").select("lang", "text")
     by_lang = sample.mapInArrow(lambda batches: _document_grams(batches, gram), "lang string, gram long, docs long")
-    kept = by_lang.groupBy("lang", "gram").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least[F.col("lang")])
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), number[F.col("lang")])
-    masks = kept.groupBy("gram").agg(F.bit_or(bit).alias("mask"))
-    masks = masks.mapInArrow(lambda batches: _gram_slots(batches, slot_count, hash_count), "slot long, mask long")
-    found = masks.groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-    table_ = np.zeros(slot_count, np.uint64)
-    table_[found["slot"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    kept = by_lang.groupBy("lang", "gram").agg(F.sum("docs").alias("docs")).join(known, "lang").where("docs >= least")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    masks = kept.groupBy("gram", "word").agg(F.bit_or(bit).alias("mask"))
+    masks = masks.mapInArrow(lambda batches: _gram_slots(batches, slot_count, hash_count), "slot long, word int, mask long")
+    found = masks.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    table_ = np.zeros((slot_count, -(-len(langs) // WORD)), np.uint64)
+    table_[found["slot"].to_numpy(np.int64), found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
     return LanguageFilters(langs, sizes[0][0], table_, hash_count, gram)
 
 
