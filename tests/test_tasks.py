@@ -1,5 +1,7 @@
 """Sources, kernels and the four tasks."""
 
+import inspect
+
 import duckdb
 import numpy as np
 import pytest
@@ -181,6 +183,26 @@ def test_functions_are_given_at_every_sample(spark):
     assert len(found) == 64 * spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
 
 
+def test_registered_models_search_the_full_grids(spark, monkeypatch):
+    tried = {}
+
+    def block_ridge(rows, p, block_of, presets, penalties, held):
+        tried["presets"], tried["penalties"] = presets, penalties
+        return L.Linear(0.0, np.zeros(p))
+
+    def elastic_net_cv(parts, alphas, ratios):
+        tried["alphas"], tried["ratios"] = alphas, ratios
+        return 1.0, 1.0, L.Linear(0.0, np.zeros(4))
+
+    monkeypatch.setattr(L, "block_ridge", block_ridge)
+    monkeypatch.setattr(L, "elastic_net_cv", elastic_net_cv)
+    for name in ("block_ridge_l1", "elastic_net_cv"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    presets, penalties = (f.default for f in (inspect.signature(tasks.fit_heart_rate).parameters[k] for k in ("presets", "penalties")))
+    assert tuple(tried["presets"]) == presets and tuple(tried["penalties"]) == penalties and len(penalties) == 27
+    assert np.allclose(tried["alphas"], np.logspace(-2, 2, 50)) and tuple(tried["ratios"]) == (0.1, 0.3, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0)
+
+
 def test_asof_forward_matches_search(spark):
     r = np.random.default_rng(3)
     a, b = np.sort(r.uniform(0, 10, 40)), np.sort(r.uniform(0, 9, 25))

@@ -227,14 +227,14 @@ def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_ridge_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block ridge, reweighted towards least absolute errors, scored on the rows that were held out."""
     rows = design(spark, sf_dir)
-    m = L.block_ridge(rows, 4, np.array([0, 0, 1, 1]), [(0.1, 1.0), (1.0, 1.0), (0.01, 30.0)], L.LAMBDAS_C[::4], F.col("fold") == 0)
+    m = L.block_ridge(rows, 4, np.array([0, 0, 1, 1]), [(0.1, 1.0), (1.0, 1.0), (0.03, 0.3), (0.01, 30.0)], L.LAMBDAS_C, F.col("fold") == 0)
     return M.scores(rows.where("fold = 0").withColumn("p", m.predict()), "y", "p")
 
 
 @query()
 def elastic_net_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = G.normal_equations(design(spark, sf_dir), 4, fold="fold")
-    alpha, ratio, m = L.elastic_net_cv(parts, np.logspace(-3, 1, 12), (0.1, 0.5, 0.9, 1.0))
+    alpha, ratio, m = L.elastic_net_cv(parts, np.logspace(-2, 2, 50), (0.1, 0.3, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0))
     return spark.createDataFrame([(float(alpha), float(ratio), float(m.intercept), [float(c) for c in m.coef])], "alpha double, l1_ratio double, intercept double, coef array<double>")
 
 
