@@ -521,6 +521,13 @@ def test_languages(spark):
     assert langid.identify(df, none).where("lang_pred <> 'und'").count() == 0 and langid.identify(df.where("false"), filters).count() == 0
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_texts_with_letters_stay_whatever_could_be_learned(spark, lang):
+    rows = [(k, f"clean text {prose(20)}", lang) for k in range(8)] + [(8, None, lang), (9, "12 !!", lang), (10, "", lang)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in langid.identified(df, langid.fit(df)).collect()) == list(range(8))
+
+
 def test_more_languages_than_bits_of_a_word(spark):
     r = random.Random(9)
     words = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(130)}

@@ -34,6 +34,10 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000)
 
 
+def lettered(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def grams(text: str, n: int = GRAM) -> Iterator[np.ndarray]:
     """Hashes of the n-grams of the lower-cased text, repeats included, in pieces. Runs of anything but letters count as
     one space; so do both ends. N-grams of more than one word are left out."""
@@ -97,7 +101,7 @@ class LanguageFilters:
         return found, total
 
     def predict(self, text: str | None, rates: np.ndarray) -> tuple[str, float]:
-        if text is None or not any(map(str.isalpha, text)):
+        if not lettered(text):
             return "und", 0.0
         if not self.langs:
             return "und", 0.0
@@ -191,12 +195,13 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text",
 def _identified(batches: Iterator[pa.RecordBatch], filters: LanguageFilters, column: int) -> Iterator[pa.RecordBatch]:
     rates = filters.false_rates
     for batch in batches:
-        yield batch.filter(pa.array([filters.predict(x.as_py(), rates)[0] != "und" for x in batch.column(column)], pa.bool_()))
+        texts = [x.as_py() for x in batch.column(column)]
+        yield batch.filter(pa.array([filters.predict(x, rates)[0] != "und" or lettered(x) for x in texts], pa.bool_()))
 
 
 def identified(docs: DataFrame, filters: LanguageFilters, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in some language: those that identify() doesn't call
-    `und`."""
+    """The rows of docs, with all their columns, whose text may be in some language: all but those that are null or without
+    a letter. A text that identify() calls `und` as nothing could be learned, or as that is a language in the data, stays."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     column = docs.columns.index(text_col)
     return docs.mapInArrow(lambda batches: _identified(batches, shared.value, column), docs.schema)
