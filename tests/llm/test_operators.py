@@ -168,6 +168,12 @@ def test_base_spans_are_the_patterns(model):
     assert time.time() - began < 120  # a quadratic step would take hours
 
 
+@pytest.mark.parametrize("text", ["jo (At) site.com", "jo[aT]site.com", "jo at site dOt com", "jo (AT) site.com", "jo @ site.com"])
+def test_shortcut_leaves_out_no_candidate(text):
+    assert [m.span() for m in pii.WIDE_EMAIL.finditer(text)] == [(0, len(text))]
+    assert ("email", 0, len(text)) in pii.candidates(text)
+
+
 def test_added_spans(model):
     text = "write to jo.smith at mail dot com, tel (020) 555-1234 or card 4111.1111.1111.1111; ISBN 9781234567, version 1.2.3, on 2023-11-05."
     _, spans = pii.find(text, model)
