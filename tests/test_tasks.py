@@ -162,10 +162,10 @@ def equals_its_sql(spark, name, folder):
     """The rows of a query, after comparing them with those of its SQL."""
     own = queries.QUERIES[name](spark, folder).toPandas()
     with duckdb.connect() as db:
-        for t in ("events", "embeddings"):
+        for t in ("events", "embeddings", "lineitem"):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
         want = db.execute(queries.ORACLE_SQL[name]).df()
-    keys = [c for c in ("row_id", "pos", "fold") if c in own.columns]
+    keys = [c for c in ("row_id", "l_orderkey", "l_linenumber", "pos", "fold", "bump", "value") if c in own.columns]
     own, want = own.sort_values(keys), want.sort_values(keys)
     assert sorted(own.columns) == sorted(want.columns) and len(own) == len(want)
     assert all(np.allclose(own[c].astype(float), want[c].astype(float), atol=2e-6, equal_nan=True) for c in own.columns)
@@ -183,6 +183,12 @@ def test_functions_are_given_at_every_sample(spark):
     assert len(found) == 64 * spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
 
 
+@pytest.mark.parametrize("name, width", [("bump_basis_all", 9), ("tensor_basis_all", 15)])
+def test_bases_are_expanded_row_by_row(spark, name, width):
+    found = equals_its_sql(spark, name, "/root/testdata/sf0.001")
+    assert len(found) == width * spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
 def test_registered_models_search_the_full_grids(spark, monkeypatch):
     tried = {}
 

@@ -148,6 +148,24 @@ def tensor_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.select("l_discount", "l_tax", F.posexplode(both).alias("pos", "value")), ["l_discount", "l_tax", "pos"])
 
 
+@query(f"SELECT l_orderkey, l_linenumber, pos, bump FROM lineitem JOIN ({ORACLE_SQL['bump_basis']}) USING (l_quantity)")
+def bump_basis_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bump_basis, of each row of lineitem."""
+    li = table(spark, sf_dir, "lineitem")
+    knots = T.fit_knots(li, ["l_quantity"])["l_quantity"]
+    found = li.select("l_orderkey", "l_linenumber", F.posexplode(A.bumps(F.col("l_quantity"), A.constant(knots))).alias("pos", "bump"))
+    return rounded(found, ["l_orderkey", "l_linenumber", "pos"])
+
+
+@query(f"SELECT l_orderkey, l_linenumber, pos, value FROM lineitem JOIN ({ORACLE_SQL['tensor_basis']}) USING (l_discount, l_tax)")
+def tensor_basis_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As tensor_basis, of each row of lineitem."""
+    one, two = A.constant([k * 0.025 for k in range(5)]), A.constant([k * 0.04 for k in range(3)])
+    both = A.outer(A.bumps(F.col("l_discount"), one), A.bumps(F.col("l_tax"), two))
+    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(both).alias("pos", "value"))
+    return rounded(found, ["l_orderkey", "l_linenumber", "pos"])
+
+
 _Z = ["1", *[f"{c}::DOUBLE" for c in FEATURES], "l_extendedprice / 1000"]
 
 
