@@ -9,12 +9,13 @@ from zlib import crc32
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wavespark.llm import common, exact_dedup, langid, near_copies, packing, pii, preferences, registry, sharding, simhash, tiling, toxicity, urlfilter
+from wavespark.llm import common, exact_dedup, groups, langid, near_copies, packing, pii, preferences, registry, sharding, simhash, tiling, toxicity, urlfilter
 
 R = random.Random(4)
 WORDS = ["ba", "no", "ti", "er", "la", "mo", "su", "en", "ka", "ri"]
@@ -297,7 +298,11 @@ def test_contamination(docs, spark, block):
         doc = tiling.words(dict(TEXTS + planted)[r["doc_id"]])
         assert r["covered"] == sum(t["words"] for t in r["tiles"])
         assert all(item[t["item_start"] : t["item_start"] + t["words"]] == doc[t["doc_start"] : t["doc_start"] + t["words"]] for t in r["tiles"])
-    left = {r["doc_id"] for r in tiling.decontaminate(rows, bench, block_bytes=block).collect()}
+    left = tiling.decontaminate(rows.withColumn("_key", F.lit("own")), bench, block_bytes=block).collect()
+    assert {r["_key"] for r in left} == {"own"}
+    left = {r["doc_id"] for r in left}
+    named = bench.where("item_id = 0").withColumn("item_id", F.lit("q-0"))
+    assert [tuple(r)[:2] for r in tiling.contaminated(rows.where("doc_id = 700"), named).collect()] == [(700, "q-0")]
     assert left == {i for i, _ in TEXTS + planted} - {i for i, _ in pairs}
     assert tiling.contaminated(empty(spark), bench).count() == 0 and tiling.contaminated(docs, bench.where("false")).count() == 0
 
@@ -357,7 +362,9 @@ def test_group_links_join_what_all_links_join(size):
     prints = base[r.integers(0, 40, 600)] ^ (np.uint64(1) << r.integers(0, 60, 600).astype(np.uint64))
     keep = np.unique(np.stack([groups.astype(np.uint64), prints], 1), axis=0)
     groups, prints = keep[:, 0].astype(np.int64), keep[:, 1]
-    a, b = simhash.group_links(groups, prints)
+    x, y = simhash.group_links(groups, [pa.array(prints.view(np.int64))], np.arange(len(groups)))
+    a, b = prints[x], prints[y]
+    assert (groups[x] == groups[y]).all()
     assert (np.bitwise_count(a ^ b) <= 3).all()
     for g in np.unique(groups):
         own = prints[groups == g]
@@ -413,55 +420,83 @@ def near_copy_texts():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("small", [2, near_copies.SMALL])
-def test_near_copies(spark, small, monkeypatch):
-    monkeypatch.setattr(near_copies, "SMALL", small)
+@pytest.mark.parametrize("block", [3, 4096])
+def test_near_copies(spark, block):
     rows = near_copy_texts()
-    docs = spark.createDataFrame([(*row, "clash", 1) for row in rows], "doc_id long, text string, print string, n int").repartition(3)
+    docs = spark.createDataFrame([(*row, "clash", 1, "own") for row in rows], "doc_id long, text string, print string, n int, _key string").repartition(3)
     root = {i: i for i, _ in rows}
     for i, a in rows:
         for j, b in rows:
             if i < j and plain_similarity(a, b) >= 0.8:
                 low, high = sorted((root[i], root[j]))
                 root = {k: low if v == high else v for k, v in root.items()}
-    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copy_groups(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copy_groups(docs, block=block).collect()}
     assert got == root and len(set(root.values())) <= len(rows) / 2
-    kept = near_copies.representatives(docs.unionAll(docs))
+    kept = near_copies.representatives(docs.unionAll(docs), block=block)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root.values()))
+    kept = kept.collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root.values())) and {r["_key"] for r in kept} == {"own"}
     assert near_copies.near_copy_groups(docs.where("false")).count() == 0
 
 
-def test_near_copy_pairs_of_a_large_group_join_what_all_pairs_join():
+def every_link(groups, trees, near):
+    return [(i, j) for i in range(len(groups)) for j in range(i) if groups[i] == groups[j] and (trees[i] == trees[j] or near(i, j))]
+
+
+@pytest.mark.parametrize("size", [10, 200])
+def test_likely_links_of_a_group_join_what_all_pairs_join(size):
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 63, (3, near_copies.CARRIED)).astype(np.uint64)
-    words = base[r.integers(0, 3, 200)] ^ sum(np.uint64(1) << r.integers(0, 64, (200, near_copies.CARRIED)).astype(np.uint64) for _ in range(4))
-    n = np.full(200, 50)
-    x, y, sure = near_copies.pairs(np.zeros(200, np.int64), n, words)
-    d = np.bitwise_count(words[x] ^ words[y]).sum(axis=1)
-    assert (d <= near_copies.LIKELY).all() and (sure == (d <= near_copies.SURE)).all()
-    every = [(i, j) for i in range(200) for j in range(i) if np.bitwise_count(words[i] ^ words[j]).sum() <= near_copies.LIKELY]
-    assert plain_roots(200, every) == plain_roots(200, zip(x.tolist(), y.tolist(), strict=True)) and len(x) < len(every)
-
-
-def test_families_near_the_limit_in_a_large_group_join_what_all_pairs_join():
-    """Two families of 20 under one key, whose pairs have similarities around 0.8: the closest by bits says little."""
-    joined = 0
+    words = base[r.integers(0, 3, 200)] ^ sum(np.uint64(1) << r.integers(0, 64, (200, near_copies.CARRIED)).astype(np.uint64) for _ in range(5))
+    groups, trees = np.arange(200) // size, np.arange(200)
+    trees[5:9] = 5
+    x, y = near_copies.likely_links(groups, [pa.array(c.view(np.int64)) for c in words.T.copy()], trees)
+    bits = np.bitwise_count(words[:, None] ^ words).sum(axis=2)
+    every = every_link(groups, trees, lambda i, j: bits[i, j] <= near_copies.LIKELY)
+    found = [*zip(x.tolist(), y.tolist(), strict=True), *every_link(groups, trees, lambda i, j: False)]
+    assert plain_roots(200, every) == plain_roots(200, found) and (bits[x, y] <= near_copies.LIKELY).all()
+
+
+def test_similar_links_of_a_family_join_what_all_pairs_join():
+    """Families whose pairs have similarities around 0.8, in one group and in several."""
     for seed in range(6):
         r = random.Random(seed)
         one = [f"w{r.getrandbits(12)}" for _ in range(300)]
         two = [f"v{k}" if k % 60 == 20 else w for k, w in enumerate(one)]
-        texts = [" ".join(f"x{r.getrandbits(20)}" if k in changed else w for k, w in enumerate(base)) for base in (one, two) for _ in range(20) for changed in [r.sample(range(300), 1)]]
-        sets = [near_copies.shingle_set(t.encode()) for t in texts]
-        n, words = np.array([len(s) for s in sets]), np.stack([near_copies.sketch(s)[: near_copies.CARRIED] for s in sets])
+        texts = [" ".join(f"x{r.getrandbits(20)}" if k in changed else w for k, w in enumerate(base)) for base in (one, two) for _ in range(20) for changed in [r.sample(range(300), r.randint(0, 9))]]
+        sets = [near_copies.shingle_set(t.encode()) for t in [*texts, "", "one two"]]
+        groups, trees = np.repeat([0, 1, 2], [30, 10, 2]), np.arange(42)
+        trees[3:6] = 3
         similar = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))  # noqa: B023, E731
-        d = np.bitwise_count(words[:, None] ^ words).sum(axis=2)
-        every = [(i, j) for i in range(40) for j in range(i) if d[i, j] <= near_copies.SURE or d[i, j] <= near_copies.LIKELY and similar(i, j)]
-        x, y, sure = near_copies.pairs(np.zeros(40, np.int64), n, words)
-        found = [(i, j) for i, j, s in zip(x.tolist(), y.tolist(), sure.tolist(), strict=True) if s or similar(i, j)]
-        assert plain_roots(40, found) == plain_roots(40, every)
-        joined += len(set(plain_roots(40, every))) == 1 and not any(d[i, j] <= near_copies.SURE for i in range(20) for j in range(20, 40))
-    assert joined
+        x, y = near_copies.similar_links(groups, [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], trees, 0.8)
+        assert all(similar(i, j) for i, j in zip(x.tolist(), y.tolist(), strict=True))
+        found = [*zip(x.tolist(), y.tolist(), strict=True), *every_link(groups, trees, lambda i, j: False)]
+        assert plain_roots(42, found) == plain_roots(42, every_link(groups, trees, similar))
+
+
+@pytest.mark.parametrize("block", [5, 40, 4096])
+def test_spanning_joins_what_all_links_join(spark, block):
+    """Groups of any weight: one whose rows are all alike, one of several trees, one without a link, and small ones."""
+    r = random.Random(block)
+    rows = [(1, r.randint(0, 9)) for _ in range(150)] + [(2, 1000 * r.randint(0, 5) + r.randint(0, 60)) for _ in range(150)]
+    rows += [(3, 50 * k) for k in range(60)] + [(r.randint(4, 30), r.randint(0, 100)) for _ in range(60)]
+    rows = [(g, 1000 + k, 1 + k % 2, v) for k, (g, v) in enumerate(rows)]
+
+    def kernel(grp, columns, trees):
+        found, value = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], columns[0].to_numpy()
+        for s, n in zip(*groups.bounds(grp), strict=True):
+            own = value[s : s + n]
+            x, y = groups.joining_links(trees[s : s + n], lambda at, left, own=own: abs(own[left] - own[at]) <= 10)
+            found.append((x + s, y + s))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    table = spark.createDataFrame(rows, "grp long, name long, weight int, value long").repartition(5)
+    got = [tuple(x) for x in groups.spanning(table, kernel, block).collect()]
+    value = {name: (g, v) for g, name, _, v in rows}
+    assert all(value[a][0] == value[b][0] and abs(value[a][1] - value[b][1]) <= 10 for a, b in got)
+    every = [(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows[:i]) if a[0] == b[0] and abs(a[3] - b[3]) <= 10]
+    assert plain_roots(len(rows), every) == plain_roots(len(rows), [(a - 1000, b - 1000) for a, b in got])
+    assert len(got) <= 20 * len(rows)
 
 
 def plain_roots(n, links):

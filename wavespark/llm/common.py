@@ -49,6 +49,14 @@ def row_key(id_col: str, mark: Column) -> Column:
     return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), mark.cast("string"))
 
 
+def fresh(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever the case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph by randomised contraction.
 
@@ -56,32 +64,32 @@ def components(edges: DataFrame) -> DataFrame:
     Returns one row (node long, root long) for each node that has an edge to another node; all nodes of a component,
     and no others, have the same root, which is one of them. An empty edge table gives an empty result.
 
-    Every round each node moves to the neighbour (or itself) of the lowest hash under that round's seed, and edges are
+    Every round each node moves to the neighbour (or itself) of the lowest hash under that round's number, and edges are
     rewritten to the places moved to, so that the graph shrinks by a constant factor whatever its shape. The only
     grouping is a minimum with map-side combining, so a hub of any degree costs one row a task; the joins have a unique
-    side and both sides reach them by plain exchanges, which adaptive execution can split where a node is hot.
+    side and both sides reach them by plain exchanges, which adaptive execution can split where a node is hot. The round
+    is a column, not a literal, so that all rounds run the same generated code.
     """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = edges.withColumn("round", F.lit(0))
     moves: list[DataFrame] = []
     while True:
         edges = checkpoint(edges)
         if edges.isEmpty():
             break
-        seed = F.lit(len(moves))
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionAll(
-            edges.select(F.col("b").alias("node"), F.col("a").alias("near"))
-        )
-        rank = F.xxhash64("near", seed)
-        nearest = both.groupBy("node").agg(F.min_by("near", rank).alias("near"), F.min(rank).alias("rank"))
-        move = checkpoint(
-            nearest.select("node", F.when(F.col("rank") < F.xxhash64("node", seed), F.col("near")).otherwise(F.col("node")).alias("root"))
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near"), "round").unionAll(
+            edges.select(F.col("b").alias("node"), F.col("a").alias("near"), "round")
         )
+        rank = F.xxhash64("near", "round")
+        nearest = both.groupBy("node").agg(F.min_by("near", rank).alias("near"), F.min(rank).alias("rank"), F.max("round").alias("round"))
+        moved = F.when(F.col("rank") < F.xxhash64("node", "round"), F.col("near")).otherwise(F.col("node"))
+        move = checkpoint(nearest.select("node", moved.alias("root")))
         moves.append(move)
         to_a = move.select(F.col("node").alias("a"), F.col("root").alias("x"))
         to_b = move.select(F.col("node").alias("b"), F.col("root").alias("y"))
         edges = (
             edges.join(to_a, "a").join(to_b, "b").where("x <> y")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("round") + 1).alias("round")).distinct()
         )
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

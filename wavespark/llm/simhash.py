@@ -13,11 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, table
+from .groups import BLOCK, bounds, joining_links, spanning
 
 #: Words in a shingle, the hash's seed, and the bits in which linked fingerprints may differ, as the query's contract has them.
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Fingerprints under one key that one task compares; larger groups are split into pairs of blocks.
-BLOCK = 4096
 #: Groups up to this size are compared all at once, by shifting whole batches; larger ones one by one.
 SMALL = 16
 #: Shingles hashed at a time, so that a text of any length needs a fixed amount of memory.
@@ -25,6 +24,8 @@ CHUNK = 1 << 16
 
 #: Fixed values of the perfect binary Golay code: length, check bits, generator x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY_LENGTH, GOLAY_CHECK, GOLAY_POLYNOMIAL = 23, 11, 0b110001110101
+#: First bit and bits of the three segments of a half.
+SEGMENTS = (0, 11), (11, 11), (22, 10)
 
 
 def shingle_hashes(text: bytes | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
@@ -105,18 +106,26 @@ def golay_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys such that any two fingerprints that differ in at most three bits share one; and whose each is.
+    """Keys of 32 bits or more such that any two fingerprints that differ in at most three bits share one; and whose each is.
 
-    By the pigeonhole principle one 32-bit half has at most one error. Within that half it is among the lower 23 bits,
-    and then the upper 9 bits agree and the Golay decodings share an index, or it isn't, and the 23 bits agree.
+    By the pigeonhole principle one 32-bit half has at most one error. If it has none, it is itself a key. If it has one,
+    the other half has two at most, so one of that half's three segments has none and makes the key selective. With it go,
+    if the error is among the lower 23 bits, the upper 9 and an index of the Golay decodings; else the lower 23.
     """
     keys, whose = [], []
+    every, ones = np.arange(len(prints)), (1 << 32) - 1
     for half in range(2):
-        word = (prints >> np.uint64(32 * half) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        word = (prints >> np.uint64(32 * half) & np.uint64(ones)).astype(np.int64)
+        other = (prints >> np.uint64(32 * (1 - half)) & np.uint64(ones)).astype(np.int64)
         low, high = word & ((1 << GOLAY_LENGTH) - 1), word >> GOLAY_LENGTH
         index, of = golay_keys(low)
-        keys += [half << 40 | high[of] << 12 | index, half << 40 | 1 << 41 | low]
-        whose += [of, np.arange(len(prints))]
+        keys.append(half << 62 | word)
+        whose.append(every)
+        for k, (first, bits) in enumerate(SEGMENTS):
+            segment = other >> first & ((1 << bits) - 1)
+            tag = half << 62 | (2 * k + 1) << 40
+            keys += [tag | segment[of] << 21 | high[of] << 12 | index, tag + (1 << 40) | segment << GOLAY_LENGTH | low]
+            whose += [of, every]
     return np.concatenate(keys), np.concatenate(whose)
 
 
@@ -124,81 +133,31 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column(0).to_numpy(zero_copy_only=False)
         keys, of = fuzzy_keys(prints.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[of])], ["key", "print"])
-
-
-def spanning_links(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links of distance up to radius that join just what all such links would join: at most len(prints) - 1 of them."""
-    left, a, b = prints, [], []
-    while len(left):
-        queue, left = [left[:1]], left[1:]
-        while queue and len(left):
-            for at in queue.pop():
-                near = np.bitwise_count(left ^ at) <= radius
-                if near.any():
-                    found, left = left[near], left[~near]
-                    a.append(np.full(len(found), at, prints.dtype))
-                    b.append(found)
-                    queue.append(found)
-    return (np.concatenate(a), np.concatenate(b)) if a else (prints[:0], prints[:0])
-
-
-def group_links(groups: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links within each group of rows, which are sorted by group and hold no print twice in a group."""
-    start = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-    sizes = np.diff(np.r_[start, len(groups)])
-    small = np.repeat(sizes <= SMALL, sizes)
-    g, f = groups[small], prints[small]
-    a, b = [prints[:0]], [prints[:0]]
-    for lag in range(1, min(SMALL, len(g))):
-        same = g[lag:] == g[:-lag]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[of]), pa.array(prints[of]), pa.array(np.ones(len(of), np.int32))], ["grp", "name", "bits", "weight"])
+
+
+def group_links(groups: np.ndarray, columns: list[pa.Array], trees: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links (x, y) within each group of rows, which are sorted by group and carry their fingerprints."""
+    prints = columns[0].to_numpy().view(np.uint64)
+    start, sizes = bounds(groups)
+    small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lag in range(1, SMALL):
+        x, y = small[:-lag], small[lag:]
+        same = groups[x] == groups[y]
         if not same.any():
             break
-        x, y = f[:-lag][same], f[lag:][same]
-        near = np.bitwise_count(x ^ y) <= radius
-        a.append(x[near])
-        b.append(y[near])
-    for s, n in zip(start[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        x, y = spanning_links(prints[s : s + n], radius)
-        a.append(x)
-        b.append(y)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by group. The last group of a batch waits for the next batch, as it may go on there."""
-    kept = [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-
-    def out(groups: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        a, b = group_links(groups, prints, radius)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    for batch in batches:
-        groups = np.r_[kept[0], batch.column(0).to_numpy(zero_copy_only=False)]
-        prints = np.r_[kept[1], batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
-        if len(groups):
-            cut = int(np.searchsorted(groups, groups[-1]))
-            kept = [groups[cut:], prints[cut:]]
-            if cut:
-                yield out(groups[:cut], prints[:cut])
-    if len(kept[0]):
-        yield out(*kept)
-
-
-def in_blocks(keys: DataFrame, block: int) -> DataFrame:
-    """Rows of keys (key, and further columns) with grp in place of key, dealt by grp and sorted. A group is a key, but a
-    key of more than block rows is cut into blocks by hash of the further columns, and each pair of blocks is a group."""
-    hot = checkpoint(keys.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    rest = [c for c in keys.columns if c != "key"]
-    groups = keys.select(F.col("key").alias("grp"), *rest)
-    if not hot.isEmpty():
-        dealt = keys.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = F.pmod(F.xxhash64(*rest, F.lit(7)), "blocks")
-        each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        dealt = dealt.select("key", *rest, "blocks", own.cast("int").alias("own"), each.alias("other"))
-        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        groups = dealt.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(pair).alias("grp"), *rest)
-    return groups.repartition("grp").sortWithinPartitions("grp", *rest)
+        near = same & (trees[x] != trees[y])
+        x, y = x[near], y[near]
+        near = np.bitwise_count(prints[x] ^ prints[y]) <= radius
+        xs.append(x[near])
+        ys.append(y[near])
+    for s, size in zip(start[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        own = prints[s : s + size]
+        x, y = joining_links(trees[s : s + size], lambda at, left, own=own: np.bitwise_count(own[left] ^ own[at]) <= radius)
+        xs.append(x + s)
+        ys.append(y + s)
+    return np.concatenate(xs), np.concatenate(ys)
 
 
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -206,8 +165,8 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     differ in at most radius bits (3 at most), and none between others."""
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the keys find differences of up to {RADIUS} bits")
-    keys = prints.mapInArrow(_keys, "key long, print long")
-    return in_blocks(keys, block).mapInArrow(lambda batches: _links(batches, radius), "a long, b long")
+    keys = prints.mapInArrow(_keys, "grp long, name long, bits long, weight int")
+    return spanning(keys, lambda *rows: group_links(*rows, radius), block)
 
 
 def simhash_groups(
@@ -219,9 +178,10 @@ def simhash_groups(
     links lead to, its own included).
 
     Texts are read once, where they lie, and only ids and fingerprints leave that scan. Equal fingerprints fall together
-    before anything is compared, so exact copies cost nothing further. Each distinct fingerprint gets about thirteen
-    keys (see fuzzy_keys); those under one key are compared exactly, and what goes out is a spanning forest of the links
-    found, never all pairs of a group. Links are joined by distributed connected components.
+    before anything is compared, so exact copies cost nothing further. Each distinct fingerprint gets about forty keys of
+    32 bits or more (see fuzzy_keys), so that two unlike ones meet once in a hundred million cases; those under one key
+    are compared exactly, and what goes out is a spanning forest of the links found, never all pairs of a group (see
+    groups.spanning for groups of any size). Links are joined by distributed connected components.
 
     Defined results: null and wordless texts have fingerprint zero, linked like any other. Repeated rows are returned as
     often as they come. A null id takes part, but is a component_id only if the component has no other id. Other columns

@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import row_key, table
+from .common import table
 
 #: Words of a seed, which is also the shortest tile, and the share of an item's words that tiles must cover.
 SEED, COVERAGE = 5, 0.8
@@ -115,7 +116,7 @@ def greedy_tiles(item: list[int], doc: list[int], least: int = SEED, first: int
 class Seeds:
     """The seeds of a block of items: sorted hashes of every stretch of SEED tokens, and where each lies."""
 
-    def __init__(self, items: list[tuple[int, str | None]], least: int = SEED):
+    def __init__(self, items: list[tuple[object, str | None]], least: int = SEED):
         self.least = least
         self.numbers: dict[str, int] = {}
         self.ids, self.items = [], []
@@ -171,7 +172,7 @@ class Seeds:
         keys, first = np.unique(item[order], return_index=True)
         return {int(k): (at[o], place[o]) for k, o in zip(keys, np.split(order, first[1:]), strict=True)}
 
-    def matches(self, text: str | None, coverage: float) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
+    def matches(self, text: str | None, coverage: float) -> Iterator[tuple[object, int, int, list[tuple[int, int, int]]]]:
         """Item id, its length, words covered and tiles, of each item that the text covers to that share."""
         found = words(text)
         tokens = np.fromiter(map(self.numbers.get, found, repeat(0)), np.uint64, len(found))
@@ -196,7 +197,7 @@ class Seeds:
                 yield self.ids[k], len(item), covered, tiles
 
 
-def _contaminated(batches: Iterator[pa.RecordBatch], seeds: Seeds, coverage: float) -> Iterator[pa.RecordBatch]:
+def _contaminated(batches: Iterator[pa.RecordBatch], seeds: Seeds, coverage: float, item_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key, out = [], []
         for k, text in enumerate(batch.column(1)):
@@ -206,15 +207,15 @@ def _contaminated(batches: Iterator[pa.RecordBatch], seeds: Seeds, coverage: flo
         tiles = [[{"item_start": p, "doc_start": d, "words": n} for p, d, n in f[3]] for f in out]
         kind = pa.list_(pa.struct([("item_start", pa.int64()), ("doc_start", pa.int64()), ("words", pa.int64())]))
         columns = [
-            batch.column(0).take(pa.array(key, pa.int64())), pa.array([f[0] for f in out], pa.int64()), pa.array([f[1] for f in out], pa.int64()),
+            batch.column(0).take(pa.array(key, pa.int64())), pa.array([f[0] for f in out], item_kind), pa.array([f[1] for f in out], pa.int64()),
             pa.array([f[2] for f in out], pa.int64()), pa.array(tiles, kind),
         ]
         yield pa.RecordBatch.from_arrays(columns, ["id", "item_id", "item_words", "covered", "tiles"])
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[object, str]]]:
     """Items in blocks of at most so many bytes of text, one block on the driver at a time."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     block, size = [], 0
     for row in rows.toLocalIterator():
         n = len(row.text.encode())
@@ -243,14 +244,15 @@ def contaminated(
     documents for each block. Documents are read whole and never shuffled, so frequent passages meet in no task.
 
     Defined results: null texts, and items or documents of fewer than least words, are in no pair. Repeated rows of docs
-    give repeated pairs, repeated items pairs of their own. Items with a null id are left out. Empty tables give none.
+    give repeated pairs, repeated items pairs of their own. Item ids are of any type, text too. Items with a null id are left out. Empty tables give none.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {slim.dtypes[0][1]}, item_id long, item_words long, covered long, tiles array<struct<item_start:long,doc_start:long,words:long>>"
+    kind = to_arrow_type(benchmark.schema[item_col].dataType)
+    schema = f"id {slim.dtypes[0][1]}, item_id {dict(benchmark.dtypes)[item_col]}, item_words long, covered long, tiles array<struct<item_start:long,doc_start:long,words:long>>"
     out = None
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         seeds = docs.sparkSession.sparkContext.broadcast(Seeds(block, least))
-        found = slim.mapInArrow(lambda batches, seeds=seeds: _contaminated(batches, seeds.value, coverage), schema)
+        found = slim.mapInArrow(lambda batches, seeds=seeds: _contaminated(batches, seeds.value, coverage, kind), schema)
         out = found if out is None else out.unionAll(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
@@ -258,11 +260,22 @@ def contaminated(
     return out.select(F.col("id").alias(id_col), "item_id", "item_words", "covered", share.alias("coverage"), "tiles")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that are in no pair of contaminated(). Each row is judged by its own text, whatever its id."""
-    keyed = docs.withColumn("_key", row_key(id_col, F.xxhash64(text_col)))
-    bad = contaminated(keyed.select("_key", F.col(text_col).alias("_text")), benchmark, "_key", "_text", **options).select("_key").distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+def _clean(batches: Iterator[pa.RecordBatch], seeds: Seeds, coverage: float, column: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([not any(True for _ in seeds.matches(x.as_py(), coverage)) for x in batch.column(column)], pa.bool_()))
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE,
+    least: int = SEED, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of docs, with all their columns, that are in no pair of contaminated(). Each row is judged by its own text
+    where it lies, whatever its id; nothing is shuffled. Nulls, empty tables and repeated rows are as there."""
+    column = docs.columns.index(text_col)
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        seeds = docs.sparkSession.sparkContext.broadcast(Seeds(block, least))
+        docs = docs.mapInArrow(lambda batches, seeds=seeds: _clean(batches, seeds.value, coverage, column), docs.schema)
+    return docs
 
 
 def op5_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
