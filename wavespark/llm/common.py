@@ -44,6 +44,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as shuffles have: before each of few rows becomes many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def row_key(id_col: str, mark: Column) -> Column:
     """A key, never null, of a document by id and a hash of its text: an id alone need not be unique."""
     return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), mark.cast("string"))
@@ -64,8 +69,9 @@ def components(edges: DataFrame) -> DataFrame:
     Returns one row (node long, root long) for each node that has an edge to another node; all nodes of a component,
     and no others, have the same root, which is one of them. An empty edge table gives an empty result.
 
-    Every round each node moves to the neighbour (or itself) of the lowest hash under that round's number, and edges are
-    rewritten to the places moved to, so that the graph shrinks by a constant factor whatever its shape. The only
+    Every round each node moves to the neighbour (or itself) of the lowest hash under that round's number (in the first
+    round, the least one, which joins stars around their least node at once), and edges are rewritten to the places moved
+    to, so that the graph shrinks by a constant factor whatever its shape. The only
     grouping is a minimum with map-side combining, so a hub of any degree costs one row a task; the joins have a unique
     side and both sides reach them by plain exchanges, which adaptive execution can split where a node is hot. The round
     is a column, not a literal, so that all rounds run the same generated code.
@@ -80,9 +86,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near"), "round").unionAll(
             edges.select(F.col("b").alias("node"), F.col("a").alias("near"), "round")
         )
-        rank = F.xxhash64("near", "round")
+        rank_of = lambda c: F.when(F.col("round") == 0, F.col(c)).otherwise(F.xxhash64(c, "round"))
+        rank = rank_of("near")
         nearest = both.groupBy("node").agg(F.min_by("near", rank).alias("near"), F.min(rank).alias("rank"), F.max("round").alias("round"))
-        moved = F.when(F.col("rank") < F.xxhash64("node", "round"), F.col("near")).otherwise(F.col("node"))
+        moved = F.when(F.col("rank") < rank_of("node"), F.col("near")).otherwise(F.col("node"))
         move = checkpoint(nearest.select("node", moved.alias("root")))
         moves.append(move)
         to_a = move.select(F.col("node").alias("a"), F.col("root").alias("x"))

@@ -54,6 +54,24 @@ def bounds(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.r_[start, len(groups)])
 
 
+def stars(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For links between names x and y: the least name of each component, and each other name of it."""
+    names, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = np.split(ends, 2)
+    least = np.arange(len(names))
+    while True:
+        low = np.minimum(least[x], least[y])
+        now = least.copy()
+        np.minimum.at(now, x, low)
+        np.minimum.at(now, y, low)
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    other = np.flatnonzero(least < np.arange(len(names)))
+    return names[least[other]], names[other]
+
+
 def _links(batches: Iterator[pa.RecordBatch], kernel: Kernel) -> Iterator[pa.RecordBatch]:
     """Over rows (grp, name, tree, ...) sorted by group. The last group of a batch waits for the next batch, as it may go on there."""
     kept: list[pa.RecordBatch] = []
@@ -61,8 +79,7 @@ def _links(batches: Iterator[pa.RecordBatch], kernel: Kernel) -> Iterator[pa.Rec
     def out(table: pa.Table) -> pa.RecordBatch:
         grp, name, tree = (table.column(k).to_numpy() for k in range(3))
         x, y = kernel(grp, [c.combine_chunks() for c in table.columns[3:]], tree)
-        x, y = name[x], name[y]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in stars(name[x], name[y])], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -83,8 +100,9 @@ def _dealt(rows: DataFrame, kernel: Kernel) -> DataFrame:
 
 
 def spanning(rows: DataFrame, kernel: Kernel, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between names, for rows (grp long, name long, weight, further columns): enough to join, in each group,
-    what all links of the kernel's relation would join.
+    """Pairs (a, b) of names, for rows (grp long, name long, weight, further columns): they join, in each group, just what
+    all links of the kernel's relation would join. They lead from the least name of what a task joined to each other one,
+    so that components of the pairs take few rounds; the two names of a pair need not be linked themselves.
 
     A group of weight up to block is one task's. The rows of a heavier one are dealt to blocks by hash, and each block is
     compared together with the same few leaders of the group, so that a group of rows that are mostly alike is joined in

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, fresh, row_key
+from .common import checkpoint, components, fresh, row_key, spread
 from .exact_dedup import bitmap_of, with_test
 from .groups import BLOCK, bounds, joining_links, spanning
 from .simhash import CHUNK, GOLAY_LENGTH, SEED, SMALL, bit_counts, golay_keys, shingle_hashes, with_component
@@ -20,6 +20,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 WORDS, CARRIED = 12, 3
 #: Bits of the carried ones in which candidates may differ. At similarity 0.8 they differ in 29 on average, with deviation 5.
 LIKELY = 50
+#: Sketches whose keys are made at a time.
+AT_ONCE = 1024
 #: Shingles that weigh as much as one text by itself when families are dealt to tasks.
 HEAVY = 512
 
@@ -82,7 +84,7 @@ def segment_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
         name, *words = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         keys, of = segment_keys(np.stack(words, 1).view(np.uint64))
         columns = [keys, name[of], np.ones(len(of), np.int32), *(w[of] for w in words[:CARRIED])]
@@ -182,7 +184,7 @@ def near_copy_groups(
     Texts are read once for their sketches: twelve SimHash fingerprints of the set of shingles. Equal sets fall together
     first. Each distinct one has about 128 keys (see segment_keys); sketches under one key are compared by bits, whatever
     their number, and those that may be similar form families. The texts of families are read again, and within each
-    family every link is verified by the shingles themselves; only a spanning forest of the verified links goes out (see
+    family every link is verified by the shingles themselves; only what the verified links join goes out (see
     groups.spanning for families of any size). So no link is a guess; what may be missed is a pair that shares no key or
     is in no family, at a similarity of just 0.8 three in a hundred, above 0.85 hardly any.
 
@@ -197,7 +199,7 @@ def near_copy_groups(
     found = docs.mapInArrow(lambda batches: _sketches(batches, shingle), f"id {kind}, print long, n long, " + ", ".join(f"{c} long" for c in words))
     prints = checkpoint(found)
     distinct = checkpoint(prints.groupBy("print").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", *words))))
-    keys = distinct.select("print", *words).mapInArrow(_keys, "grp long, name long, weight int, " + ", ".join(f"{c} long" for c in COLUMNS))
+    keys = spread(distinct.select("print", *words)).mapInArrow(_keys, "grp long, name long, weight int, " + ", ".join(f"{c} long" for c in COLUMNS))
     families = components(spanning(keys, likely_links, block))
     sets = _family_sets(docs, distinct, families, shingle)
     joined = components(spanning(sets, lambda *rows: similar_links(*rows, similarity), block))

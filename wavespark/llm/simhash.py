@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, table
+from .common import checkpoint, components, spread, table
 from .groups import BLOCK, bounds, joining_links, spanning
 
 #: Words in a shingle, the hash's seed, and the bits in which linked fingerprints may differ, as the query's contract has them.
@@ -130,7 +130,7 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(at, CHUNK >> 5) for whole in batches for at in range(0, whole.num_rows, CHUNK >> 5)):
         prints = batch.column(0).to_numpy(zero_copy_only=False)
         keys, of = fuzzy_keys(prints.view(np.uint64))
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[of]), pa.array(prints[of]), pa.array(np.ones(len(of), np.int32))], ["grp", "name", "bits", "weight"])
@@ -161,11 +161,11 @@ def group_links(groups: np.ndarray, columns: list[pa.Array], trees: np.ndarray,
 
 
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between distinct fingerprints, a table with the single column print: enough of them to join all that
-    differ in at most radius bits (3 at most), and none between others."""
+    """Pairs (a, b) of distinct fingerprints, a table with the single column print, that join just what all links would
+    join: those between fingerprints that differ in at most radius bits (3 at most)."""
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"the keys find differences of up to {RADIUS} bits")
-    keys = prints.mapInArrow(_keys, "grp long, name long, bits long, weight int")
+    keys = spread(prints).mapInArrow(_keys, "grp long, name long, bits long, weight int")
     return spanning(keys, lambda *rows: group_links(*rows, radius), block)
 
 
@@ -180,7 +180,7 @@ def simhash_groups(
     Texts are read once, where they lie, and only ids and fingerprints leave that scan. Equal fingerprints fall together
     before anything is compared, so exact copies cost nothing further. Each distinct fingerprint gets about forty keys of
     32 bits or more (see fuzzy_keys), so that two unlike ones meet once in a hundred million cases; those under one key
-    are compared exactly, and what goes out is a spanning forest of the links found, never all pairs of a group (see
+    are compared exactly, and what goes out joins what the links found join, never all pairs of a group (see
     groups.spanning for groups of any size). Links are joined by distributed connected components.
 
     Defined results: null and wordless texts have fingerprint zero, linked like any other. Repeated rows are returned as
