@@ -39,3 +39,12 @@ def test_ewma_state_equals_fold(spark, folder):
     fold = A.ewma(F.transform("e", lambda e: e["value"]), 8)
     for r in series.select("user_id", fold["level"].alias("level"), fold["std"].alias("std")).collect():
         assert got[r["user_id"]]["level"] == pytest.approx(r["level"]) and got[r["user_id"]]["std"] == pytest.approx(r["std"])
+
+
+def test_sliding_windows_and_sessions_equal_batch(spark, folder):
+    name = drained(E.windowed_stats(E.read_events(spark, folder), "1 hour", "20 minutes"), "slides", "complete")
+    batch = spark.read.parquet(folder).groupBy("user_id", F.window("ts", "1 hour", "20 minutes").alias("w")).agg(F.max("value").alias("high"))
+    assert {(r["user_id"], r["start"]): r["high"] for r in spark.table(name).collect()} == {(r["user_id"], r["w"]["start"]): r["high"] for r in batch.collect()}
+    name = drained(E.sessions(E.read_events(spark, folder), "2 minutes"), "parts", "complete")
+    batch = spark.read.parquet(folder).groupBy("user_id", F.session_window("ts", "2 minutes").alias("w")).agg(F.sum("value").alias("total"))
+    assert sorted((r["user_id"], r["start"], r["total"]) for r in spark.table(name).collect()) == sorted((r["user_id"], r["w"]["start"], r["total"]) for r in batch.collect())

@@ -13,10 +13,14 @@ from pyspark.sql import types as T
 
 from ..functions import arrays as A
 from .gram import Normal, normal_equations, total
+from .quantiles import median
 
 LAMBDAS_C = tuple(10.0 ** np.arange(-0.5, 6.01, 0.25))
 LAMBDAS_D = tuple(10.0 ** np.arange(-1, 5.01, 0.5))
 
+#: Columns up to which a prediction is a sum of products.
+NARROW = 32
+
 
 @dataclass
 class Linear:
@@ -24,6 +28,9 @@ class Linear:
     coef: np.ndarray
 
     def predict(self, x: str = "x") -> Column:
+        """Of a narrow design as a sum of products, which generated code runs; of a wide one as a fold over arrays."""
+        if len(self.coef) <= NARROW:
+            return sum((F.get(x, F.lit(j)) * float(c) for j, c in enumerate(self.coef)), F.lit(float(self.intercept)))
         return A.dot(F.col(x), A.constant(self.coef)) + float(self.intercept)
 
 
@@ -59,16 +66,28 @@ def centred(normal: Normal) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     return normal.gram[1:, 1:] - n * np.outer(mean, mean), normal.moment[1:] - n * mean * y_mean, mean, float(y_mean)
 
 
-def ridge_path(normal: Normal, penalties: Sequence[float], scale: np.ndarray | None = None) -> list[Linear]:
-    """All penalties from one eigendecomposition."""
-    gram, moment, mean, y_mean = centred(normal)
+def about_mean(normal: Normal) -> tuple[np.ndarray, np.ndarray, float]:
+    """Gram of the columns as they are and moment with the target less its mean: the form of models whose intercept is the
+    target's (weighted) mean and whose columns were standardised beforehand."""
+    level = float(normal.moment[0] / normal.weight)
+    return normal.gram[1:, 1:], normal.moment[1:] - level * normal.gram[0, 1:], level
+
+
+def ridge_path(normal: Normal, penalties: Sequence[float], scale: np.ndarray | None = None, centre: bool = True) -> list[Linear]:
+    """All penalties from one eigendecomposition. centre=False takes the columns as they are and the target's mean as
+    intercept, see about_mean."""
+    if centre:
+        gram, moment, mean, level = centred(normal)
+    else:
+        gram, moment, level = about_mean(normal)
+        mean = np.zeros(len(moment))
     s = np.ones(len(mean)) if scale is None else scale
     values, vectors = np.linalg.eigh(gram * np.outer(s, s))
     projected = vectors.T @ (moment * s)
     out = []
     for penalty in penalties:
         w = s * (vectors @ (projected / (np.maximum(values, 0) + penalty)))
-        out.append(Linear(y_mean - float(mean @ w), w))
+        out.append(Linear(level - float(mean @ w), w))
     return out
 
 
@@ -116,59 +135,73 @@ def predicted(rows: DataFrame, model: Linear, x: str = "x", name: str = "p") ->
     return predictions(rows, [model], x).withColumn(name, F.get("p", F.lit(0)))
 
 
-def scored(rows: DataFrame, y: str = "y", by: str | None = None) -> DataFrame:
-    """nmae and nmse of each model (k) in p, by group if one is named: two passes whatever the number of models."""
-    keys = [by] if by else []
-    means = rows.groupBy(*keys).agg(F.avg(y).alias("_m"))
-    rows = rows.join(F.broadcast(means), keys) if keys else rows.crossJoin(F.broadcast(means))
-    e = rows.select(*keys, F.col(y).alias("_y"), "_m", F.posexplode("p").alias("k", "_p"))
-    d, s = F.col("_y") - F.col("_p"), F.col("_y") - F.col("_m")
-    return e.groupBy(*keys, "k").agg((F.sum(F.abs(d)) / F.sum(F.abs(s))).alias("nmae"), (F.sum(d * d) / F.sum(s * s)).alias("nmse"))
+def _errors(batches: Iterator[pa.RecordBatch], coef: np.ndarray, intercept: np.ndarray, mean: float) -> Iterator[pa.RecordBatch]:
+    """Of all rows of a task: how far each model's predictions, and the mean, are from the target, plainly and squared."""
+    total = np.zeros((4, len(intercept)))
+    for batch in batches:
+        y = batch.column(1).to_numpy(zero_copy_only=False)
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(y), coef.shape[1])
+        off, base = x @ coef.T + intercept - y[:, None], (y - mean)[:, None]
+        for k, values in enumerate((np.abs(off), off**2, np.abs(base), base**2)):
+            total[k] += values.sum(axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(intercept))), *map(pa.array, total)], ["k", "a", "s", "base_a", "base_s"])
+
+
+def scored(rows: DataFrame, models: Sequence[Linear], x: str = "x", y: str = "y", mean: float | None = None) -> list[tuple[float, float]]:
+    """nmae and nmse of each model over rows, in one pass whatever their number; a task sends one row a model. mean: of the
+    rows' target, if it is known."""
+    mean = rows.agg(F.avg(y)).first()[0] if mean is None else mean
+    shared = rows.sparkSession.sparkContext.broadcast((np.stack([m.coef for m in models]), np.array([m.intercept for m in models]), mean))
+    slim = rows.select(F.col(x).cast("array<double>"), F.col(y).cast("double"))
+    parts = slim.mapInArrow(lambda batches: _errors(batches, *shared.value), "k long, a double, s double, base_a double, base_s double")
+    found = parts.groupBy("k").agg((F.sum("a") / F.sum("base_a")).alias("nmae"), (F.sum("s") / F.sum("base_s")).alias("nmse")).collect()
+    return [(r["nmae"], r["nmse"]) for r in sorted(found, key=lambda r: r["k"])]
+
+
+def nmse_of(part: Normal, model: Linear) -> float:
+    """nmse over the rows that were summed, from their sums alone."""
+    full = np.append(model.intercept, model.coef)
+    squares = part.squares - 2 * full @ part.moment + full @ part.gram @ full
+    return float(squares / (part.squares - part.moment[0] ** 2 / part.weight))
 
 
 def ridge_cv(rows: DataFrame, p: int, penalties: Sequence[float], x: str = "x", y: str = "y", fold: str = "fold") -> tuple[list[float], int, Linear]:
     """Mean over folds of each penalty's nmse on the held-out fold, the index of the best (the first of equals) and the
-    model of all rows with it. One pass sums the folds' normal equations; training sums are the total less the fold.
-    A second pass scores all models on their folds."""
+    model of all rows with it. One pass sums the folds' normal equations: training sums are the total less the fold, and
+    a fold's squared errors come from its sums."""
     parts = normal_equations(rows, p, x, y, fold)
     everything = total(parts)
-    models = {f: [ridge(everything - part, lam) for lam in penalties] for f, part in parts.items()}
-    # All models of all folds are one product; of it, each row keeps its own fold's stretch.
-    folds, n = list(models), len(penalties)
-    place = F.array_position(F.array(*[F.lit(f) for f in folds]), F.col(fold).cast("int")).cast("int")
-    all_p = predictions(rows.select(x, y, fold), [m for f in folds for m in models[f]], x)
-    table = scored(all_p.withColumn("p", F.slice("p", (place - 1) * n + 1, F.lit(n))), y, fold).groupBy("k").agg(F.avg("nmse").alias("e")).collect()
-    errors = [r["e"] for r in sorted(table, key=lambda r: r["k"])]
+    errors = [float(np.mean([nmse_of(part, ridge(everything - part, lam)) for part in parts.values()])) for lam in penalties]
     best = int(np.argmin(errors))
     return errors, best, ridge(everything, penalties[best])
 
 
-def best_on_path(train: Normal, held: DataFrame, penalties: Sequence[float], scale: np.ndarray | None = None, x: str = "x", y: str = "y") -> tuple[float, float, Linear]:
-    """Least nmae on held-out rows over the path: score, penalty, model."""
-    models = ridge_path(train, penalties, scale)
-    table = {r["k"]: r["nmae"] for r in scored(predictions(held, models, x), y).collect()}
-    best = min(range(len(models)), key=lambda k: table[k])
-    return table[best], penalties[best], models[best]
-
-
-def irls(rows: DataFrame, p: int, penalty: float, start: Linear, rounds: int = 3, floor_add: float = 1e-3, held: Column | None = None, x: str = "x", y: str = "y") -> Linear:
+def irls(
+    rows: DataFrame, p: int, penalty: float, start: Linear, rounds: int = 3, floor_add: float = 1e-3, held: Column | None = None, x: str = "x", y: str = "y",
+    weighted_level: bool = False,
+) -> Linear:
     """Towards least absolute errors: rows are weighted by 1 / max(|residual|, floor), the floor being 1.345 times the
-    median distance of residuals from their median, plus floor_add; the penalty is scaled by the mean weight. Of all
-    rounds and the start, the model of least nmae on the rows that held selects (all, if None) stays.
-
-    Each round is two passes for the medians and one for the weighted sums."""
-    score = lambda m: scored(predictions(rows if held is None else rows.where(held), [m], x), y).first()["nmae"]
-    best, best_score, model = start, score(start), start
+    median distance of residuals from their median, plus floor_add; the penalty is scaled by the mean weight. The columns
+    are taken as they are; the intercept is the target's mean, the weighted one with weighted_level. Of all rounds and
+    the start, the model of least nmae on the rows that held selects (all, if None) stays.
+
+    Each round sums once, scores once, and takes some passes over the residuals alone for the medians."""
+    tested = rows if held is None else rows.where(held)
+    mean = tested.agg(F.avg(y)).first()[0]
+    best, best_score, model = start, scored(tested, [start], x, y, mean)[0][0], start
+    plain = rows.agg(F.avg(y)).first()[0]
     for _ in range(rounds):
-        residual = predicted(rows.select(x, y), model, x).select(x, y, (F.col(y) - F.col("p")).alias("_r"))
-        middle = residual.agg(F.median("_r")).first()[0]
-        spread = residual.agg(F.median(F.abs(F.col("_r") - middle))).first()[0]
-        floor = 1.345 * spread + floor_add
-        weighted = residual.withColumn("_w", 1 / F.greatest(F.abs("_r"), F.lit(floor)))
-        sums = normal_equations(weighted, p, x, y, weight="_w")[0]
-        n = rows.count()
-        model = ridge(sums, penalty * sums.weight / n)
-        if (now := score(model)) < best_score:
+        residual = predicted(rows.select(x, y), model, x).select(x, y, (F.col(y) - F.col("p")).alias("_r")).persist()
+        middle = median(residual, F.col("_r"))
+        floor = 1.345 * median(residual, F.abs(F.col("_r") - middle)) + floor_add
+        sums = normal_equations(residual.withColumn("_w", 1 / F.greatest(F.abs("_r"), F.lit(floor))), p, x, y, weight="_w")[0]
+        n = residual.count()
+        residual.unpersist()
+        gram, moment, level = about_mean(sums)
+        if not weighted_level:
+            moment, level = moment + (level - plain) * sums.gram[0, 1:], plain
+        model = Linear(level, _solve(gram + penalty * sums.weight / n * np.eye(p), moment))
+        if (now := scored(tested, [model], x, y, mean)[0][0]) < best_score:
             best, best_score = model, now
     return best
 
@@ -235,16 +268,21 @@ def leave_one_out(rows: DataFrame, normal: Normal, penalties: Sequence[float], x
 
 def block_ridge(rows: DataFrame, p: int, block_of: np.ndarray, presets: Sequence[Sequence[float]], penalties: Sequence[float], held: Column, x: str = "x", y: str = "y", rounds: int = 3) -> Linear:
     """A penalty for each block of columns: of the presets (multipliers by block) and the path's penalties, those of least
-    nmae on the held-out rows; then all rows, reweighted towards least absolute errors."""
-    train = normal_equations(rows.where(~held), p, x, y)[0]
+    nmae on the held-out rows, all of them scored in one pass; then all rows, reweighted towards least absolute errors.
+    Columns are standardised beforehand; the intercept is the target's mean."""
+    both = normal_equations(rows.withColumn("_held", F.coalesce(held, F.lit(False)).cast("int")), p, x, y, "_held")
+    if 0 not in both or 1 not in both:
+        raise ValueError("some rows must be held out, and some not")
+    train, everything, tested = both[0], total(both), rows.where(held)
     scale_of = lambda preset: 1 / np.sqrt(np.asarray(preset, float)[block_of])
-    tried = [(*best_on_path(train, rows.where(held), penalties, scale_of(preset), x, y)[:2], preset) for preset in presets]
-    _, penalty, preset = min(tried, key=lambda t: t[0])
-    everything = normal_equations(rows, p, x, y)[0]
-    scale = scale_of(preset)
-    start = ridge(everything, penalty, scale)
+    models = [m for preset in presets for m in ridge_path(train, penalties, scale_of(preset), centre=False)]
+    errors = [nmae for nmae, _ in scored(tested, models, x, y, float(both[1].moment[0] / both[1].weight))]
+    best = int(np.argmin(errors))
+    penalty, scale = penalties[best % len(penalties)], scale_of(presets[best // len(penalties)])
+    gram, moment, level = about_mean(everything)
+    start = Linear(level, _solve(gram * np.outer(scale, scale) + penalty * np.eye(p), moment * scale))
     scaled = moved(rows, np.zeros(p), scale, x)
-    found = irls(scaled, p, penalty, Linear(start.intercept, start.coef / scale), rounds, 1e-3, held, x, y)
+    found = irls(scaled, p, penalty, start, rounds, 1e-3, held, x, y)
     return Linear(found.intercept, found.coef * scale)
 
 

@@ -25,12 +25,14 @@ def peak_morphology(windows: DataFrame, rate: float, key: str = "row_id", column
     """
     s = explode(windows, column, "v", key)
     order = W.partitionBy(key).orderBy("pos")
-    so_far, ahead = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    # What comes next is what came last in falling order: a frame that ends at the current row grows by one step a row.
+    ahead = W.partitionBy(key).orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0)
     before, after = F.lag("v").over(order), F.lead("v").over(order)
     s = s.select("*", ((F.col("v") > before) & (F.col("v") > after)).alias("peak"), ((F.col("v") < before) & (F.col("v") < after)).alias("trough"))
     trough = F.when(F.col("trough"), F.struct("pos", "v"))
     s = s.select(
-        "*", F.last(trough, ignorenulls=True).over(so_far).alias("prev"), F.first(trough, ignorenulls=True).over(ahead).alias("next"),
+        "*", F.last(trough, ignorenulls=True).over(so_far).alias("prev"), F.last(trough, ignorenulls=True).over(ahead).alias("next"),
         F.last(F.when(F.col("peak"), F.col("pos")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("last"),
     )
     at_peak = lambda c: F.when(F.col("peak"), c)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import median
+
 
 def scores(rows: DataFrame, target: str, predicted: str, by: list[str] | None = None, epsilon: float = 0.0) -> DataFrame:
     """nmae and nmse: absolute and squared errors over those of the scored rows' mean target; n rows. Two passes, as the
@@ -13,7 +15,7 @@ def scores(rows: DataFrame, target: str, predicted: str, by: list[str] | None =
     by = by or []
     rows = rows.where(F.col(target).isNotNull() & F.col(predicted).isNotNull())
     means = rows.groupBy(*by).agg(F.avg(target).alias("_mean"))
-    rows = rows.join(F.broadcast(means), by) if by else rows.crossJoin(F.broadcast(means))  # one row
+    rows = rows.join(means, by) if by else rows.crossJoin(F.broadcast(means))  # one row
     y, p, m = F.col(target), F.col(predicted), F.col("_mean")
     ratio = lambda a, b: F.sum(a) / F.nullif(F.sum(b) + epsilon, F.lit(0.0))
     return rows.groupBy(*by).agg(
@@ -23,8 +25,7 @@ def scores(rows: DataFrame, target: str, predicted: str, by: list[str] | None =
 
 def median_baseline(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
     """Scores of predicting the training rows' median."""
-    middle = train.agg(F.median(target).alias("_median"))
-    return scores(test.crossJoin(F.broadcast(middle)), target, "_median")
+    return scores(test.withColumn("_median", F.lit(median(train, F.col(target)))), target, "_median")
 
 
 def histogram(rows: DataFrame, column: str, first: float, step: float, bins: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import fold_of
+from .joins import fold_of, place_in_order
 
 
 def contiguous(rows: DataFrame, ends: Sequence[int], key: str = "row_id") -> DataFrame:
@@ -41,10 +41,15 @@ def hashed(rows: DataFrame, folds: int = 5, seed: int = 0, key: str = "row_id")
 def temporal(rows: DataFrame, subject: str, time: str, share: float = 0.75, key: str = "row_id") -> DataFrame:
     """Adds test, whether a row is among the latest of its subject: all but the first share of them, at least one row
     being left for training. Equal times keep the order of key."""
-    per = W.partitionBy(subject)
-    place = F.row_number().over(per.orderBy(time, key))
-    cut = F.greatest(F.floor(F.count("*").over(per) * share), F.lit(1))
-    return rows.withColumn("test", place > cut)
+    return temporal_parts(rows, subject, time, [share], key).withColumn("test", F.col("part") > 0).drop("part")
+
+
+def temporal_parts(rows: DataFrame, subject: str, time: str, shares: Sequence[float], key: str = "row_id") -> DataFrame:
+    """Adds part, how many of the cuts a row is beyond, in the order of its subject's rows: the k-th cut is after that
+    share of them, rounded down, and after k + 1 rows at least."""
+    placed = place_in_order(rows, subject, time, key)
+    beyond = [F.col("_place") > F.greatest(F.floor(F.col("_count") * share), F.lit(k + 1)) for k, share in enumerate(shares)]
+    return placed.withColumn("part", sum(b.cast("int") for b in beyond)).drop("_place", "_count")
 
 
 def leave_one_out(rows: DataFrame, subject: str, most: int = 8) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def _ok(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -67,18 +69,19 @@ class Robust:
         return asdict(self)
 
 
-def fit_robust(rows: DataFrame, names: Sequence[str], tails: tuple[float, float] = (0.005, 0.995), exact: bool = True) -> Robust:
-    """Two passes: percentiles, then mean and deviation of the clipped values. exact=False takes approximate percentiles,
-    whose state stays small where a column has very many distinct values."""
-    find = (lambda c, q: F.percentile(c, q)) if exact else (lambda c, q: F.percentile_approx(c, q, 10_000))
-    found = rows.agg(*[find(_value(c), q) for c in names for q in (0.5, *tails)]).first()
-    median, low, high = ([float(v) if v is not None else 0.0 for v in found[k::3]] for k in range(3))
+def fit_robust(rows: DataFrame, names: Sequence[str], tails: tuple[float, float] = (0.005, 0.995)) -> Robust:
+    """Medians of the values there are, then percentiles, mean and deviation of the imputed ones. Exact, by
+    quantiles.exact_quantiles: a few passes, so persist rows that are costly to make."""
+    median = {c: v[0] if v[0] == v[0] else 0.0 for c, v in exact_quantiles(rows, {c: _value(c) for c in names}, [0.5]).items()}
+    imputed = {c: F.coalesce(_value(c), F.lit(median[c])) for c in names}
+    ends = exact_quantiles(rows, imputed, tails)
+    low, high = ([ends[c][k] if ends[c][k] == ends[c][k] else 0.0 for c in names] for k in range(2))
     high = [h if h > lo else lo + 1 for lo, h in zip(low, high, strict=True)]
     p = len(names)
-    all_kept = Robust(list(names), median, low, high, [True] * p, [0.0] * p, [1.0] * p)
+    all_kept = Robust(list(names), [median[c] for c in names], low, high, [True] * p, [0.0] * p, [1.0] * p)
     second = all_kept.clipped(rows).agg(*[F.avg(f"`{c}`") for c in names], *[F.stddev_pop(f"`{c}`") for c in names]).first()
-    mean, deviation = list(second[:p]), list(second[p:])
-    return Robust(list(names), median, low, high, [(s or 0) > 1e-9 for s in deviation], mean, [(s or 0) + 1e-9 for s in deviation])
+    mean, deviation = [m or 0.0 for m in second[:p]], list(second[p:])
+    return Robust(list(names), all_kept.median, low, high, [(s or 0) > 1e-9 for s in deviation], mean, [(s or 0) + 1e-9 for s in deviation])
 
 
 def yeo_johnson(c: Column, lam: float) -> Column:
@@ -112,29 +115,43 @@ def _spreads(batches: Iterator[pa.RecordBatch], grids: dict[str, np.ndarray]) ->
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["c", "j", "n", "mean", "square", "logs"])
 
 
+def power_likelihoods(rows: DataFrame, grids: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The mean log likelihood of each Yeo-Johnson parameter of each column's grid, all from one pass over the rows; -inf
+    where the transformed column is constant."""
+    slim = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in grids])
+    parts = slim.mapInArrow(lambda batches: _spreads(batches, grids), "c string, j long, n long, mean double, square double, logs double")
+    total = F.sum(F.col("n") * F.col("mean"))
+    within = F.sum(F.col("square") + F.col("n") * F.col("mean") * F.col("mean")) - total * total / F.sum("n")
+    found = parts.groupBy("c", "j").agg(F.sum("n").alias("n"), within.alias("square"), F.sum("logs").alias("logs")).collect()
+    out = {c: np.full(len(grid), -np.inf) for c, grid in grids.items()}
+    for r in found:
+        if r["square"] > 0:
+            out[r["c"]][r["j"]] = -np.log(r["square"] / r["n"]) / 2 + (grids[r["c"]][r["j"]] - 1) * r["logs"] / r["n"]
+    return out
+
+
 def fit_yeo_johnson(rows: DataFrame, names: Sequence[str], low: float = -4.0, high: float = 6.0, rounds: int = 5, steps: int = 9) -> dict[str, float]:
     """The parameter of most likelihood for each column. All columns are searched at once on grids that close in: each
     round is one pass that sums, for every column and grid point, what the likelihood needs."""
-    slim = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names])
     bounds = {c: (low, high) for c in names}
     best: dict[str, float] = {}
     for _ in range(rounds):
         grids = {c: np.linspace(a, b, steps) for c, (a, b) in bounds.items()}
-        parts = slim.mapInArrow(lambda batches, grids=grids: _spreads(batches, grids), "c string, j long, n long, mean double, square double, logs double")
-        total = F.sum(F.col("n") * F.col("mean"))
-        within = F.sum(F.col("square") + F.col("n") * F.col("mean") * F.col("mean")) - total * total / F.sum("n")
-        found = parts.groupBy("c", "j").agg(F.sum("n").alias("n"), within.alias("square"), F.sum("logs").alias("logs")).collect()
-        score = {c: np.full(steps, -np.inf) for c in names}
-        for r in found:
-            if r["square"] > 0:
-                score[r["c"]][r["j"]] = -r["n"] / 2 * np.log(r["square"] / r["n"]) + (grids[r["c"]][r["j"]] - 1) * r["logs"]
-        for c in names:
-            at = int(score[c].argmax())
+        for c, score in power_likelihoods(rows, grids).items():
+            at = int(score.argmax())
             best[c] = float(grids[c][at])
             bounds[c] = float(grids[c][max(0, at - 1)]), float(grids[c][min(steps - 1, at + 1)])
     return best
 
 
+def power_transform(rows: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, float], Standard]:
+    """Yeo-Johnson with the parameter of most likelihood, then mean 0 and deviation 1, for each column; with what was fitted."""
+    found = fit_yeo_johnson(rows, names)
+    bent = rows.withColumns({c: yeo_johnson(_value(c), found[c]) for c in names})
+    scale = fit_standard(bent, names)
+    return scale.apply(bent), found, scale
+
+
 def centre_by(rows: DataFrame, subject: str, names: Sequence[str]) -> DataFrame:
     """Less the subject's own mean. The means are joined, not windowed, so a subject may have any number of rows."""
     means = rows.groupBy(subject).agg(*[F.avg(f"`{c}`").alias(f"_m_{c}") for c in names])
@@ -143,10 +160,8 @@ def centre_by(rows: DataFrame, subject: str, names: Sequence[str]) -> DataFrame:
 
 
 def fit_knots(rows: DataFrame, names: Sequence[str], low: float = 2, high: float = 98, count: int = 9) -> dict[str, list[float]]:
-    """Percentiles of each column, evenly spaced from low to high."""
-    at = F.array(*[F.lit(float(q) / 100) for q in np.linspace(low, high, count)])
-    found = rows.agg(*[F.percentile(_value(c), at) for c in names]).first()
-    return {c: list(v) for c, v in zip(names, found, strict=True)}
+    """Percentiles of each column, evenly spaced from low to high; exact, see quantiles.exact_quantiles."""
+    return exact_quantiles(rows, {c: _value(c) for c in names}, [float(q) / 100 for q in np.linspace(low, high, count)])
 
 
 def target_correlations(rows: DataFrame, names: Sequence[str], target: str) -> list[tuple[str, float]]:

@@ -6,11 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import physio, surfaces
-from ..operators import transforms
 from ..operators.kernels import apply_kernel, names_of
 from . import tasks
-from .fixtures import channels, windows
+from .fixtures import WINDOWS_SQL, channels, r6, rounded, table, windows
 
 FLAT = surfaces.log_prior(np.ones(len(surfaces.BPM)))
 
@@ -28,9 +28,53 @@ def surface_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bump_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 1,960 columns of each window, as one array."""
     rows = _inputs(spark, sf_dir).withColumn("y", F.lit(None).cast("double"))
-    names = names_of(tasks.scalar_kernel(FLAT), tasks.C_WIDTHS)
-    found = transforms.fit_knots(surface_scalars(spark, sf_dir), names)
-    return tasks.design_c(rows, FLAT, np.array([found[c] for c in names])).select("row_id", "x")
+    return _design(spark, sf_dir, rows, False)
+
+
+def full_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5,032 columns of each window: with the 2,172 tensors and ten distributions of 90."""
+    rows = _inputs(spark, sf_dir).withColumn("y", F.lit(None).cast("double"))
+    return _design(spark, sf_dir, rows, True)
+
+
+def _design(spark: SparkSession, sf_dir: str, rows: DataFrame, full: bool) -> DataFrame:
+    scalars = surface_scalars(spark, sf_dir).persist()
+    knots = tasks.fit_knots_c(scalars, names_of(tasks.scalar_kernel(FLAT), tasks.C_WIDTHS), full)
+    scalars.unpersist()
+    return tasks.design_c(rows, FLAT, knots).select("row_id", "x")
+
+
+#: Samples of a five-minute window of each channel, and the step between them in the samples of 300 vectors.
+SPANS = {"e4_bvp": (19200, 1), "e4_hr": (300, 64), "e4_eda": (1200, 16), "e4_temp": (1200, 17), "e4_acc": (28800, 7), "zephyr_ecg": (75000, 3), "zephyr_acc": (90000, 5), "zephyr_breathing": (7500, 11)}
+
+
+def subject_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 343 columns of five-minute windows of eight channels, made from 300 vectors of embeddings each."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", A.doubles(F.col("embedding")).alias("w"))
+    group = F.floor(F.col("vec_id") / 300)
+    pool = vectors.groupBy(group.alias("k")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "w"))).alias("parts")).where(F.size("parts") == 300)  # 300 rows a group
+    pool = pool.select("k", F.flatten(F.transform("parts", lambda p: p["w"])).alias("pool"))
+    cut = lambda n, step: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("pool", i * step % F.lit(19200)))
+    taken = {c: cut(*span) for c, span in SPANS.items()}
+    rows = pool.select(F.col("k").cast("string").alias("subject_id"), F.lit(0.0).alias("ts"), F.lit(None).cast("double").alias("glucose"), *[v.alias(c) for c, v in taken.items()])
+    return tasks.subject_features(rows).drop("ts", "glucose")
+
+
+BANDS = {"low": (0.5, 2.0), "mid": (2.0, 8.0), "high": (8.0, 32.0)}
+#: One Hann segment of a window of ten seconds: its density at k / 10 Hz.
+WELCH_SQL = f"""{WINDOWS_SQL}, h AS (SELECT row_id, pos, (v - avg(v) OVER (PARTITION BY row_id)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * pos / 640)) AS x FROM w),
+k AS (SELECT unnest(range(0, 321)) AS k), y AS (SELECT row_id, k, sum(x * cos(2 * pi() * ((k * pos) % 640) / 640)) AS c, sum(x * sin(2 * pi() * ((k * pos) % 640) / 640)) AS s FROM h, k GROUP BY 1, 2),
+d AS (SELECT row_id, k / 10::DOUBLE AS f, (c * c + s * s) / (64 * 240) * CASE WHEN k IN (0, 320) THEN 1 ELSE 2 END AS p FROM y),
+t AS (SELECT row_id, f, p, sum(p) OVER (PARTITION BY row_id) + 1e-20::DOUBLE AS total FROM d)"""
+
+
+def _band_sql(name: str, low: float, high: float) -> str:
+    inside = f"coalesce(sum(p) FILTER (WHERE f >= {low} AND f < {high}), 0)"
+    return f"{r6(f'ln({inside} + 1e-12::DOUBLE)', f'w_lp_{name}')}, {r6(f'{inside} / any_value(total)', f'w_rp_{name}')}"
+
+
+WELCH_BANDS_SQL = f"""WITH {WELCH_SQL} SELECT row_id, {', '.join(_band_sql(k, a, b) for k, (a, b) in BANDS.items())}, {r6('sum(p / total * f)', 'w_centroid')},
+{r6('-sum(p / total * ln(p / total + 1e-12::DOUBLE))', 'w_sent')}, {r6('ln(any_value(total))', 'w_ltot')}, {r6('max_by(f, struct_pack(p := p, l := -f))', 'w_fpeak')} FROM t GROUP BY row_id"""
 
 
 def evidence_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +90,7 @@ def evidence_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def welch_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = {"low": (0.5, 2.0), "mid": (2.0, 8.0), "high": (8.0, 32.0)}
-    return apply_kernel(windows(spark, sf_dir), lambda a, n: physio.band_powers(a["w"], 64, bands, "w"), {"w": 640}, ["row_id"])
+    return rounded(apply_kernel(windows(spark, sf_dir), lambda a, n: physio.band_powers(a["w"], 64, BANDS, "w"), {"w": 640}, ["row_id"]), ["row_id"])
 
 
 def beat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +120,32 @@ def skin_and_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_kernel(_inputs(spark, sf_dir), kernel, {"eda": 40, "motion": 960}, ["row_id"])
 
 
-QUERIES = {f.__name__: f for f in (surface_scalars, bump_design, evidence_surfaces, welch_bands, beat_intervals, beat_template, skin_and_motion)}
-ORACLE_SQL: dict[str, str] = {}
+#: Skin samples: every 16th, made positive.
+SKIN_SQL = f"""{WINDOWS_SQL}, e AS (SELECT row_id, pos // 16 AS pos, abs(v) AS v FROM w WHERE pos % 16 = 0),
+d AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY row_id ORDER BY pos)) AS d FROM e)"""
+
+
+def _stats_sql(tag: str, n: int) -> str:
+    """The sixteen statistics of n samples without holes."""
+    q = lambda at: f"quantile_cont(v, {at})"
+    of = {
+        "mean": "avg(v)", "std": "stddev_pop(v)", "min": "min(v)", "max": "max(v)", "rng": "max(v) - min(v)", "mad": "avg(d)",
+        "slope": f"avg(v * (pos - {(n - 1) / 2}::DOUBLE) / (sqrt({n * n - 1} / 12::DOUBLE) + 1e-9::DOUBLE))", "cv": "stddev_pop(v) / (abs(avg(v)) + 1e-6::DOUBLE)", "valid": "1",
+        "q5": q(0.05), "q25": q(0.25), "q50": q(0.5), "q75": q(0.75), "q95": q(0.95), "iqr9": f"{q(0.95)} - {q(0.05)}", "miss": "0",
+    }
+    return ", ".join(r6(v, f"{tag}_{k}") for k, v in of.items())
+
+
+def skin_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of the skin channel alone."""
+    return rounded(apply_kernel(_inputs(spark, sf_dir), lambda a, n: physio.signal_stats(a["eda"], "eda"), {"eda": 40}, ["row_id"]), ["row_id"])
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (surface_scalars, bump_design, full_design, evidence_surfaces, welch_bands, beat_intervals, beat_template, skin_and_motion, skin_stats, subject_features)
+}
+ORACLE_SQL: dict[str, str] = {
+    "welch_bands": WELCH_BANDS_SQL,
+    "skin_stats": f"WITH {SKIN_SQL} SELECT row_id, {_stats_sql('eda', 40)} FROM d GROUP BY row_id",
+}

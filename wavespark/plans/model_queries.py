@@ -14,8 +14,10 @@ from ..operators import gram as G
 from ..operators import joins as J
 from ..operators import linear as L
 from ..operators import metrics as M
+from ..operators import selection as SEL
 from ..operators import splits as S
 from ..operators import transforms as T
+from ..operators.quantiles import exact_quantiles, median
 from .fixtures import r6, rounded, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -80,17 +82,10 @@ def leave_one_subject_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.leave_one_out(events(spark, sf_dir), "user_id").select("event_id", F.coalesce("fold", F.lit(-1)).alias("fold"))
 
 
-@query("""WITH b(fold, a, z) AS (VALUES (0, 0, 2000), (1, 2000, 4500), (2, 4500, 9000))
-SELECT fold::INTEGER AS fold, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events JOIN b ON event_id >= a AND event_id < z GROUP BY 1""")
-def fold_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.contiguous(events(spark, sf_dir), [2000, 4500, 9000], "event_id")
-    return found.groupBy("fold").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
-
-
 @query("""WITH m AS (SELECT coalesce(max(event_id), -1) + 1 AS n FROM events), b AS (SELECT k AS fold, k * n // 5 AS a, (k + 1) * n // 5 AS z FROM m, range(0, 5) r(k))
 SELECT fold::INTEGER AS fold, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events JOIN b ON event_id >= a AND event_id < z GROUP BY 1""")
-def fold_range_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As fold_range_join, over five equal ranges up to the last event, so that every event is in a fold."""
+def fold_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five equal ranges up to the last event, so that every event is in a fold."""
     e = events(spark, sf_dir)
     n = e.agg((F.coalesce(F.max("event_id"), F.lit(-1)) + 1).alias("n")).first()["n"]
     found = S.contiguous(e, S.equal_parts(n, 5), "event_id")
@@ -203,14 +198,37 @@ def median_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.median_baseline(li.where("l_orderkey % 5 > 0"), li.where("l_orderkey % 5 = 0"), "l_extendedprice"), [])
 
 
-@query(f"""WITH w(name, weight) AS (VALUES ('bvp_mean', 0.5::DOUBLE), ('bvp_std', -1.5), ('acc_x', 0.25), ('eda_slope', 2.0), ('acc_y', -0.25))
-SELECT CASE WHEN starts_with(name, 'bvp') THEN 'pulse' WHEN starts_with(name, 'acc') THEN 'motion' ELSE 'skin' END AS kind, {r6('sum(abs(weight))', 'total')},
-row_number() OVER (ORDER BY sum(abs(weight)) DESC, kind)::INTEGER AS rank FROM w GROUP BY 1""")
+#: A weight for each feature and return flag: the slope of the price against the feature.
+WEIGHTS_SQL = "w AS (" + " UNION ALL ".join(
+    f"SELECT l_returnflag AS block, '{c}' AS name, regr_slope(l_extendedprice, {c}) / 1000 AS weight FROM lineitem GROUP BY 1" for c in FEATURES
+) + "), i AS (SELECT row_number() OVER (ORDER BY block, name)::INTEGER AS index, * FROM w)"
+
+
+def feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """index, block, name, weight: for each return flag the slope of the price against each feature, alone."""
+    li = table(spark, sf_dir, "lineitem")
+    wide = li.groupBy("l_returnflag").agg(*[F.regr_slope("l_extendedprice", c).alias(c) for c in FEATURES])
+    long = wide.select(F.col("l_returnflag").alias("block"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), (F.col(c) / 1000).alias("weight")) for c in FEATURES])).alias("w"))
+    return long.select(F.row_number().over(W.orderBy("block", "w.name")).alias("index"), "block", "w.name", "w.weight")  # a row a flag and feature
+
+
+@query(f"""WITH {WEIGHTS_SQL}, g AS (SELECT name AS "group", sum(abs(weight)) AS total FROM i GROUP BY 1)
+SELECT "group", {r6('total', 'total')}, row_number() OVER (ORDER BY total DESC, "group")::INTEGER AS rank FROM g""")
 def weight_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("bvp_mean", 0.5), ("bvp_std", -1.5), ("acc_x", 0.25), ("eda_slope", 2.0), ("acc_y", -0.25)]
-    kind = F.when(F.col("name").startswith("bvp"), "pulse").when(F.col("name").startswith("acc"), "motion").otherwise("skin")
-    found = spark.createDataFrame(rows, "name string, weight double").groupBy(kind.alias("kind")).agg(F.sum(F.abs("weight")).alias("total"))
-    return rounded(found.withColumn("rank", F.row_number().over(W.orderBy(F.desc("total"), "kind"))), ["kind"])  # a row a group
+    found = SEL.grouped_weights(feature_weights(spark, sf_dir), F.col("name"))
+    return rounded(found.withColumn("rank", F.row_number().over(W.orderBy(F.desc("total"), "group"))), ["group"])  # a row a group
+
+
+@query(f"""WITH {WEIGHTS_SQL} SELECT block, count(*) AS columns, {r6('sum(abs(weight))', 'total')}, {r6('avg(abs(weight))', 'mean')}, {r6('max(abs(weight))', 'largest')},
+{r6('sum(abs(weight)) / (SELECT sum(abs(weight)) FROM i)', 'share')} FROM i GROUP BY 1""")
+def weight_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(SEL.weights_table(feature_weights(spark, sf_dir)), ["block"])
+
+
+@query(f"WITH {WEIGHTS_SQL} SELECT index, block, name, {r6('weight', 'weight')} FROM i ORDER BY abs(weight) DESC, index LIMIT 5")
+def largest_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the five largest."""
+    return rounded(SEL.largest_weights(feature_weights(spark, sf_dir), 5), ["index", "block", "name"])
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, {r6('l_extendedprice', 'price')}, {r6('abs(l_extendedprice - (SELECT median(l_extendedprice) FROM lineitem))', 'distance')} FROM lineitem
@@ -218,8 +236,8 @@ WHERE l_quantity > 10 ORDER BY abs(l_extendedprice - (SELECT median(l_extendedpr
 def representative_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row nearest the median of the target among those of good quality."""
     li = table(spark, sf_dir, "lineitem")
-    middle = li.agg(F.median("l_extendedprice").alias("m"))
-    near = li.where("l_quantity > 10").crossJoin(F.broadcast(middle)).withColumn("distance", F.abs(F.col("l_extendedprice") - F.col("m")))
+    middle = median(li, F.col("l_extendedprice"))
+    near = li.where("l_quantity > 10").withColumn("distance", F.abs(F.col("l_extendedprice") - F.lit(middle)))
     top = near.orderBy("distance", "l_orderkey", "l_linenumber").limit(1)
     return rounded(top.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"), "distance"), ["l_orderkey", "l_linenumber"])
 
@@ -227,13 +245,167 @@ def representative_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH o AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
 SELECT user_id, count(*) AS n, count(*) FILTER (WHERE p IS NULL OR epoch_us(ts) - epoch_us(p) > 1800000000) AS sessions FROM o GROUP BY 1""")
 def subject_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = us - F.lag(us).over(order)
-    e = events(spark, sf_dir).select("user_id", (gap.isNull() | (gap > 1_800_000_000)).alias("new"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    gap = us("ts") - us("_previous")
+    e = J.previous(events(spark, sf_dir), "user_id", "ts", "event_id").select("user_id", (gap.isNull() | (gap > 1_800_000_000)).alias("new"))
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("new").alias("sessions"))
 
 
+def standard_design(spark: SparkSession, sf_dir: str, names: list[str] = FEATURES) -> DataFrame:
+    """The design of lineitem with columns less their mean and over their deviation plus 1e-8."""
+    rows = design(spark, sf_dir).withColumn("x", F.array(*[F.get("x", F.lit(FEATURES.index(c))) for c in names]))
+    everything = G.normal_equations(rows, len(names))[0]
+    gram, _, mean, _ = L.centred(everything)
+    scale = np.sqrt(np.diag(gram) / everything.weight) + 1e-8
+    at = [((F.get("x", F.lit(k)) - float(m)) / float(s)) for k, (m, s) in enumerate(zip(mean, scale, strict=True))]
+    return rows.withColumn("x", F.array(*at))
+
+
+#: Sums (n, sx, sy, sxx, sxy, syy) of l_quantity and the price in thousands, by fold and of all rows.
+ONE_SQL = """d AS (SELECT (l_orderkey % 5)::INTEGER AS fold, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE / 1000 AS y FROM lineitem),
+f AS (SELECT fold, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM d GROUP BY 1),
+a AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy, sum(syy) AS syy FROM f)"""
+ONE_LAMBDAS = [0.0, 0.1, 10.0, 1000.0, 100000.0]
+
+
+def one_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return design(spark, sf_dir).withColumn("x", F.array(F.get("x", F.lit(0))))
+
+
+@query(f"""WITH {ONE_SQL}, l AS (SELECT unnest({ONE_LAMBDAS})::DOUBLE AS penalty),
+t AS (SELECT fold, penalty, a.n - f.n AS n, a.sx - f.sx AS sx, a.sy - f.sy AS sy, a.sxx - f.sxx AS sxx, a.sxy - f.sxy AS sxy FROM f, a, l),
+m AS (SELECT fold, penalty, (sxy - sx * sy / n) / (sxx - sx * sx / n + penalty) AS w, sx, sy, n FROM t), c AS (SELECT fold, penalty, w, (sy - w * sx) / n AS b FROM m),
+e AS (SELECT penalty, avg((syy - 2 * b * sy - 2 * w * sxy + n * b * b + 2 * b * w * sx + w * w * sxx) / (syy - sy * sy / n)) AS nmse FROM c JOIN f USING (fold) GROUP BY 1)
+SELECT penalty, {r6('nmse', 'nmse', 8)}, penalty = (SELECT min_by(penalty, nmse) FROM e) AS best FROM e""")
+def ridge_cv_one_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors, best, _ = L.ridge_cv(one_column(spark, sf_dir), 1, ONE_LAMBDAS)
+    return spark.createDataFrame([(lam, round(e, 8), k == best) for k, (lam, e) in enumerate(zip(ONE_LAMBDAS, errors, strict=True))], "penalty double, nmse double, best boolean")
+
+
+@query(f"""WITH {ONE_SQL}, l AS (SELECT unnest([0.1, 10, 1000, 100000])::DOUBLE AS penalty), m AS (SELECT penalty, n, sx / n AS mx, sy / n AS my, sxx - sx * sx / n AS q, (sxy - sx * sy / n) / (sxx - sx * sx / n + penalty) AS w FROM a, l)
+SELECT penalty, {r6('avg(((y - my - w * (x - mx)) / (1 - (x - mx) ^ 2 / (q + penalty) - 1 / n)) ^ 2)', 'mse', 8)} FROM d, m GROUP BY penalty""")
+def ridge_leave_one_out_one_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, lambdas = one_column(spark, sf_dir), [0.1, 10.0, 1000.0, 100000.0]
+    found = L.leave_one_out(rows, G.normal_equations(rows, 1)[0], lambdas)
+    return spark.createDataFrame([(lam, round(float(e), 8)) for lam, e in zip(lambdas, found, strict=True)], "penalty double, mse double")
+
+
+NET_ALPHAS, NET_RATIOS = [float(v) for v in np.logspace(-2, 2, 50)], [0.1, 0.3, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0]
+
+
+@query(f"""WITH {ONE_SQL}, p AS (SELECT alpha, ratio FROM (SELECT unnest({NET_ALPHAS})::DOUBLE AS alpha), (SELECT unnest({NET_RATIOS})::DOUBLE AS ratio)),
+m AS (SELECT alpha, ratio, sxy / n - sx * sy / n / n AS c, sxx / n - sx * sx / n / n AS v, sx / n AS mx, sy / n AS my FROM a, p),
+w AS (SELECT alpha, ratio, mx, my, sign(c) * greatest(abs(c) - alpha * ratio, 0) / (v + alpha * (1 - ratio)) AS w FROM m)
+SELECT {r6('alpha', 'alpha')}, ratio, {r6('w', 'slope')}, {r6('my - w * mx', 'intercept')} FROM w""")
+def elastic_net_one_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full grid of penalties and ratios, from one set of sums."""
+    normal = G.normal_equations(one_column(spark, sf_dir), 1)[0]
+    found = [(a, r, L.elastic_net(normal, a, r)) for a in NET_ALPHAS for r in NET_RATIOS]
+    return rounded(spark.createDataFrame([(a, r, float(m.coef[0]), float(m.intercept)) for a, r, m in found], "alpha double, ratio double, slope double, intercept double"), [])
+
+
+@query(f"""WITH {ONE_SQL}, z AS (SELECT fold, y, (x - avg(x) OVER ()) / (stddev_pop(x) OVER () + 1e-8::DOUBLE) AS x, avg(y) OVER () AS m FROM d),
+s AS (SELECT sum(x * (y - m)) / (sum(x * x) + 10) AS w FROM z), r AS (SELECT z.*, y - m - w * x AS r FROM z, s), q AS (SELECT median(r) AS q FROM r),
+g AS (SELECT 1.345::DOUBLE * median(abs(r - q)) + 1e-3::DOUBLE AS g FROM r, q), v AS (SELECT r.*, 1 / greatest(abs(r), g) AS v FROM r, g),
+t AS (SELECT sum(v * x * (y - m)) / (sum(v * x * x) + 10 * avg(v)) AS w FROM v), h AS (SELECT y, m, x, avg(y) OVER () AS hm FROM z WHERE fold = 0),
+e AS (SELECT sum(abs(y - m - s.w * x)) / sum(abs(y - hm)) AS plain, sum(abs(y - m - t.w * x)) / sum(abs(y - hm)) AS bent FROM h, s, t)
+SELECT {r6('plain', 'plain_nmae')}, {r6('CASE WHEN bent < plain THEN bent ELSE plain END', 'nmae')}, {r6('CASE WHEN bent < plain THEN t.w ELSE s.w END', 'slope')}, {r6('any_value(m)', 'intercept')}
+FROM e, s, t, h GROUP BY ALL""")
+def reweighted_one_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round towards least absolute errors, scored on the fold held out."""
+    rows = standard_design(spark, sf_dir, FEATURES[:1]).persist()
+    gram, moment, level = L.about_mean(G.normal_equations(rows, 1)[0])
+    start, held = L.Linear(level, moment / (gram[0] + 10)), F.col("fold") == 0
+    m = L.irls(rows, 1, 10.0, start, rounds=1, held=held)
+    (plain, _), (best, _) = L.scored(rows.where(held), [start, m])
+    rows.unpersist()
+    return rounded(spark.createDataFrame([(plain, best, float(m.coef[0]), float(m.intercept))], "plain_nmae double, nmae double, slope double, intercept double"), [])
+
+
+ABLATION = [("first", (1.0, SEL.OFF)), ("second", (SEL.OFF, 1.0)), ("both", (1.0, 1.0)), ("preset", (0.1, 10.0))]
+ABLATION_LAMBDAS = [0.1, 10.0, 1000.0, 100000.0]
+_CONFIGS = ", ".join(f"('{name}', {a}::DOUBLE, {b}::DOUBLE)" for name, (a, b) in ABLATION)
+
+
+@query(f"""WITH d AS (SELECT l_orderkey % 5 = 0 AS held, l_quantity::DOUBLE AS u, l_tax::DOUBLE AS v, l_extendedprice::DOUBLE / 1000 AS y FROM lineitem),
+z AS (SELECT held, y, (u - avg(u) OVER ()) / (stddev_pop(u) OVER () + 1e-8::DOUBLE) AS u, (v - avg(v) OVER ()) / (stddev_pop(v) OVER () + 1e-8::DOUBLE) AS v FROM d),
+m AS (SELECT avg(y) AS m FROM z WHERE NOT held), g AS (SELECT sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(u * (y - m)) AS uy, sum(v * (y - m)) AS vy FROM z, m WHERE NOT held),
+c(config, a, b) AS (VALUES {_CONFIGS}), l AS (SELECT unnest({ABLATION_LAMBDAS})::DOUBLE AS penalty),
+w AS (SELECT config, penalty, ((vv + penalty * b) * uy - uv * vy) / ((uu + penalty * a) * (vv + penalty * b) - uv * uv) AS p, ((uu + penalty * a) * vy - uv * uy) / ((uu + penalty * a) * (vv + penalty * b) - uv * uv) AS q FROM g, c, l),
+h AS (SELECT y, u, v, avg(y) OVER () AS hm FROM z WHERE held), e AS (SELECT config, penalty, sum(abs(y - m - p * u - q * v)) / sum(abs(y - hm)) AS nmae FROM h, w, m GROUP BY 1, 2)
+SELECT config, {r6('min(nmae)', 'nmae')}, min_by(penalty, nmae) AS penalty FROM e GROUP BY 1""")
+def block_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two blocks of a column each, taken out by a penalty in turn: held-out error and penalty of each configuration."""
+    rows = standard_design(spark, sf_dir, [FEATURES[0], FEATURES[2]]).persist()
+    held = F.col("fold") == 0
+    found = SEL.ablation(G.normal_equations(rows.where(~held), 2)[0], rows.where(held), np.array([0, 1]), ABLATION, ABLATION_LAMBDAS)
+    rows.unpersist()
+    return rounded(spark.createDataFrame(found, "config string, nmae double, penalty double"), ["config"])
+
+
+@query()
+def column_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of embeddings against their label: held-out error of the first k columns by weight, for rising k."""
+    rows = table(spark, sf_dir, "embeddings").select(A.doubles(F.col("embedding")).alias("x"), F.col("label").cast("double").alias("y"), (F.col("vec_id") % 4 == 3).alias("held")).persist()
+    _, found = SEL.sweep(G.normal_equations(rows.where("NOT held"), 64)[0], rows.where("held"), np.ones(64), L.LAMBDAS_D, (2, 4, 8, 16, 32, 48))
+    rows.unpersist()
+    return rounded(spark.createDataFrame(found, "k int, nmae double, penalty double"), ["k"])
+
+
+@query(f"""WITH o AS (SELECT l_orderkey, l_linenumber, (l_quantity::DOUBLE - (SELECT avg(l_quantity) FROM lineitem)) / ((SELECT stddev_pop(l_quantity) FROM lineitem) + 1e-8::DOUBLE) AS x, l_extendedprice::DOUBLE / 1000 AS y,
+  row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS id, count(*) OVER () AS n FROM lineitem),
+k AS (SELECT *, CASE WHEN id < n * 1 // 5 THEN 0 WHEN id < n * 2 // 5 THEN 1 WHEN id < n * 3 // 5 THEN 2 WHEN id < n * 4 // 5 THEN 3 ELSE 4 END AS fold FROM o), b AS (SELECT unnest(range(0, 5)) AS held),
+t AS (SELECT held, avg(y) AS m, median(y) AS q FROM k, b WHERE fold <> held GROUP BY 1), w AS (SELECT held, sum(x * (y - m)) / (sum(x * x) + 10) AS w FROM k JOIN t ON fold <> held GROUP BY 1),
+p AS (SELECT fold, y, m + w * x AS p, q FROM k JOIN t ON fold = t.held JOIN w ON fold = w.held), f AS (SELECT *, avg(y) OVER (PARTITION BY fold) AS fm, avg(y) OVER () AS am FROM p),
+r AS (SELECT (fold + 1)::VARCHAR AS fold, sum(abs(y - p)) / sum(abs(y - fm)) AS nmae, sum((y - p) ^ 2) / sum((y - fm) ^ 2) AS nmse, sum(abs(y - q)) / sum(abs(y - fm)) AS median_nmae, sum((y - q) ^ 2) / sum((y - fm) ^ 2) AS median_nmse, any_value(q) AS median FROM f GROUP BY fold),
+u AS (SELECT * FROM r UNION ALL SELECT 'mean', avg(nmae), avg(nmse), avg(median_nmae), avg(median_nmse), avg(median) FROM r
+UNION ALL SELECT 'std', stddev_pop(nmae), stddev_pop(nmse), stddev_pop(median_nmae), stddev_pop(median_nmse), stddev_pop(median) FROM r
+UNION ALL SELECT 'pooled', sum(abs(y - p)) / sum(abs(y - am)), sum((y - p) ^ 2) / sum((y - am) ^ 2), sum(abs(y - q)) / sum(abs(y - am)), sum((y - q) ^ 2) / sum((y - am) ^ 2), NULL FROM f)
+SELECT fold, {', '.join(r6(c, c) for c in ('nmae', 'nmse', 'median_nmae', 'median_nmse', 'median'))} FROM u""")
+def cross_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five contiguous folds of all lines in order: out-of-fold scores of a ridge of one column, and of the median."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_extendedprice") / 1000).alias("y"))
+    placed = J.place_in_order(li.withColumn("all", F.lit(0)), "all", "l_orderkey", "l_linenumber")
+    about = li.agg(F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("s"), F.count("*").alias("n")).first()
+    x = F.array((F.col("l_quantity") - about["m"]) / (about["s"] + 1e-8))
+    rows = placed.select((F.col("_place") - 1).alias("row_id"), x.alias("x"), "y")
+    found = SEL.cross_validated(rows, about["n"], 1, np.zeros(1, int), [(1.0,)], [10.0], rounds=0, clip=False)
+    return rounded(SEL.cross_validation_table(found), ["fold"])
+
+
+KNOTS_AT = [0.0, 0.005, 0.25, 0.5, 0.7, 0.995, 1.0]
+
+
+@query("WITH q AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, unnest({KNOTS_AT}) AS share, unnest(quantile_cont({c}::DOUBLE, {KNOTS_AT})) AS value FROM lineitem" for c in [*FEATURES, "l_extendedprice"])
+       + f") SELECT name, share::DOUBLE AS share, {r6('value', 'value')} FROM q")
+def column_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of several columns, in a few passes and without a sort."""
+    names = [*FEATURES, "l_extendedprice"]
+    found = exact_quantiles(table(spark, sf_dir, "lineitem"), {c: F.col(c) for c in names}, KNOTS_AT)
+    rows = [(c, q, v) for c in names for q, v in zip(KNOTS_AT, found[c], strict=True)]
+    return rounded(spark.createDataFrame(rows, "name string, share double, value double"), ["name", "share"])
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {', '.join(r6(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()', c) for c in FEATURES[:3])} FROM lineitem")
+def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *FEATURES[:3])
+    return rounded(T.fit_standard(li, FEATURES[:3]).apply(li), ["l_orderkey", "l_linenumber"])
+
+
+_BENT = "CASE WHEN v >= 0 THEN CASE WHEN l = 0 THEN ln(1 + v) ELSE ((v + 1) ^ l - 1) / l END ELSE CASE WHEN l = 2 THEN -ln(1 - v) ELSE -((1 - v) ^ (2 - l) - 1) / (2 - l) END END"
+POWER_GRID = [-1.0, 0.0, 0.5, 1.0, 2.0, 3.0]
+
+
+@query("WITH v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, {c}::DOUBLE AS v FROM lineitem" for c in FEATURES) + f"""), l AS (SELECT unnest({POWER_GRID})::DOUBLE AS l),
+b AS (SELECT name, l, v, {_BENT} AS t FROM v, l)
+SELECT name, l AS power, {r6('-0.5::DOUBLE * ln(var_pop(t)) + (l - 1) * avg(sign(v) * ln(1 + abs(v)))', 'likelihood')} FROM b GROUP BY 1, 2""")
+def power_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean log likelihood of Yeo-Johnson parameters, which the search compares."""
+    found = T.power_likelihoods(table(spark, sf_dir, "lineitem"), {c: np.array(POWER_GRID) for c in FEATURES})
+    rows = [(c, lam, float(v)) for c in FEATURES for lam, v in zip(POWER_GRID, found[c], strict=True)]
+    return rounded(spark.createDataFrame(rows, "name string, power double, likelihood double"), ["name", "power"])
+
+
 @query()
 def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     lambdas = [0.0, 0.1, 10.0, 1000.0]
@@ -243,8 +415,8 @@ def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def block_ridge_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block ridge, reweighted towards least absolute errors, scored on the rows that were held out."""
-    rows = design(spark, sf_dir)
+    """Block ridge of standardised columns, reweighted towards least absolute errors, scored on the rows that were held out."""
+    rows = standard_design(spark, sf_dir).persist()
     m = L.block_ridge(rows, 4, np.array([0, 0, 1, 1]), [(0.1, 1.0), (1.0, 1.0), (0.03, 0.3), (0.01, 30.0)], L.LAMBDAS_C, F.col("fold") == 0)
     return M.scores(rows.where("fold = 0").withColumn("p", m.predict()), "y", "p")
 
@@ -258,7 +430,7 @@ def elastic_net_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ridge_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, lambdas = design(spark, sf_dir), [0.1, 10.0, 1000.0]
+    rows, lambdas = design(spark, sf_dir), [0.01, *L.LAMBDAS_D]
     found = L.leave_one_out(rows, G.normal_equations(rows, 4)[0], lambdas)
     return spark.createDataFrame(list(zip(lambdas, map(float, found), strict=True)), "lambda double, mse double")
 

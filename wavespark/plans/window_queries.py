@@ -156,21 +156,61 @@ def peak_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(windows(spark, sf_dir), A.peak_intervals(w, RATE))
 
 
-@query(f"""WITH {NEIGHBOURS}, m AS (SELECT *, v > a AND v > b AS peak, v < a AND v < b AS trough FROM n),
-f AS (SELECT *, max(CASE WHEN trough THEN pos END) OVER (PARTITION BY row_id ORDER BY pos) AS prev,
+def peaks_sql(samples: str, tag: str = "") -> str:
+    """Tables that end in one, p{tag}, of the morphology of the windows whose samples (row_id, pos, v) are in the table samples."""
+    return f"""n{tag} AS (SELECT *, lag(v) OVER o AS a, lead(v) OVER o AS b FROM {samples} WINDOW o AS (PARTITION BY row_id ORDER BY pos)),
+m{tag} AS (SELECT *, v > a AND v > b AS peak, v < a AND v < b AS trough FROM n{tag}),
+f{tag} AS (SELECT *, max(CASE WHEN trough THEN pos END) OVER (PARTITION BY row_id ORDER BY pos) AS prev,
   min(CASE WHEN trough THEN pos END) OVER (PARTITION BY row_id ORDER BY pos DESC) AS next,
-  lag(CASE WHEN peak THEN pos END IGNORE NULLS) OVER (PARTITION BY row_id ORDER BY pos) AS before FROM m),
-j AS (SELECT f.row_id, f.v - coalesce(x.v, y.v) AS amp, (f.pos - prev) / 64::DOUBLE AS rise, (next - f.pos) / 64::DOUBLE AS fall, (f.pos - before) / 64::DOUBLE AS gap
-  FROM f LEFT JOIN w x ON x.row_id = f.row_id AND x.pos = prev LEFT JOIN w y ON y.row_id = f.row_id AND y.pos = next WHERE peak),
-t AS (SELECT row_id, count(*) AS n FROM m WHERE trough GROUP BY 1)
-SELECT row_id, {r6('count(*)', 'peaks')}, {r6('max(n)', 'troughs')}, {r6('avg(amp)', 'amp_mean')}, {r6('stddev_pop(amp)', 'amp_std')}, {r6('avg(rise)', 'rise_mean')},
+  lag(CASE WHEN peak THEN pos END IGNORE NULLS) OVER (PARTITION BY row_id ORDER BY pos) AS before FROM m{tag}),
+j{tag} AS (SELECT f.row_id, f.v - coalesce(x.v, y.v) AS amp, (f.pos - prev) / 64::DOUBLE AS rise, (next - f.pos) / 64::DOUBLE AS fall, (f.pos - before) / 64::DOUBLE AS gap
+  FROM f{tag} f LEFT JOIN {samples} x ON x.row_id = f.row_id AND x.pos = prev LEFT JOIN {samples} y ON y.row_id = f.row_id AND y.pos = next WHERE peak),
+t{tag} AS (SELECT row_id, count(*) AS n FROM m{tag} WHERE trough GROUP BY 1),
+p{tag} AS (SELECT row_id, {r6('count(*)', 'peaks')}, {r6('max(n)', 'troughs')}, {r6('avg(amp)', 'amp_mean')}, {r6('stddev_pop(amp)', 'amp_std')}, {r6('avg(rise)', 'rise_mean')},
 {r6('stddev_pop(rise)', 'rise_std')}, {r6('avg(fall)', 'fall_mean')}, {r6('stddev_pop(fall)', 'fall_std')}, {r6('avg(rise) / (avg(fall) + 1e-8::DOUBLE)', 'rise_fall')},
-{r6('avg(gap)', 'gap_mean')}, {r6('stddev_pop(gap)', 'gap_std')}, {r6('stddev_pop(gap) / (avg(gap) + 1e-8::DOUBLE)', 'gap_cv')}, {r6('60 / (avg(gap) + 1e-8::DOUBLE)', 'bpm')}
-FROM j JOIN t USING (row_id) GROUP BY row_id""")
+{r6('avg(gap)', 'gap_mean')}, {r6('stddev_pop(gap)', 'gap_std')}, {r6('stddev_pop(gap) / (avg(gap) + 1e-8::DOUBLE)', 'gap_cv')}, {r6('60 / (avg(gap) + 1e-8::DOUBLE)', 'bpm', 9)}
+FROM j{tag} JOIN t{tag} USING (row_id) GROUP BY row_id)"""
+
+
+RECENT_SQL = "recent AS (SELECT row_id, pos - 448 AS pos, v FROM w WHERE pos >= 448)"
+
+
+@query(f"WITH {WINDOWS_SQL}, {peaks_sql('w')} SELECT * REPLACE ({r6('bpm', 'bpm')}) FROM p")
 def peak_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.peak_morphology(windows(spark, sf_dir), RATE), ["row_id"])
 
 
+@query(f"WITH {WINDOWS_SQL}, {RECENT_SQL}, {peaks_sql('recent')} SELECT * REPLACE ({r6('bpm', 'bpm')}) FROM p")
+def recent_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks and troughs of the last three seconds."""
+    recent = windows(spark, sf_dir).select("row_id", F.slice("w", 449, 192).alias("w"))
+    return rounded(L.peak_morphology(recent, RATE), ["row_id"])
+
+
+@query(f"""WITH {LAGS_SQL}, {RECENT_SQL}, {peaks_sql('w', '1')}, {peaks_sql('recent', '2')},
+z AS (SELECT row_id, count(*) FILTER (WHERE (x < 0) <> (y < 0)) * 30 / (639 / 64::DOUBLE) AS zero FROM (SELECT row_id, x, lag(x) OVER (PARTITION BY row_id ORDER BY pos) AS y FROM c) GROUP BY 1),
+h AS (SELECT x.row_id, x.lag, (x.c + y.c + z.c) / 3 AS c FROM r x JOIN r y ON y.row_id = x.row_id AND y.lag = 2 * x.lag JOIN r z ON z.row_id = x.row_id AND z.lag = 3 * x.lag WHERE x.lag <= 96),
+g AS (SELECT row_id, 3840.0::DOUBLE / max_by(lag, struct_pack(c := c, l := -lag)) AS harmonic FROM h GROUP BY 1),
+a AS (SELECT row_id, p1.bpm AS whole, zero, harmonic, p2.bpm AS recent FROM p1 JOIN p2 USING (row_id) JOIN z USING (row_id) JOIN g USING (row_id)),
+u AS (SELECT row_id, unnest([whole, zero, harmonic, recent]) AS v FROM a),
+q AS (SELECT row_id, avg(v) AS m, median(v) AS d, stddev_pop(v) AS s, max(v) - min(v) AS g FROM u GROUP BY 1)
+SELECT row_id, {r6('m', 'bpm_mean')}, {r6('d', 'bpm_median')}, {r6('s', 'bpm_std')}, {r6('g', 'bpm_range')}, {r6('harmonic / (whole + 1e-8::DOUBLE)', 'harmonic_over_peak')},
+{r6('recent - whole', 'recent_less_whole')} FROM q JOIN a USING (row_id)""")
+def bpm_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far four estimates of the rate agree: by peaks, by zero crossings, by the harmonics of the autocorrelation, and by
+    the peaks of the last three seconds."""
+    w = windows(spark, sf_dir)
+    recent = w.select("row_id", F.slice("w", 449, 192).alias("w"))
+    own = w.select("row_id", A.zero_crossing_bpm(F.col("w"), RATE).alias("zero"), A.harmonic_bank(F.col("w"), RATE)["harmonic_bpm"].alias("harmonic"))
+    peak = lambda rows, name: L.peak_morphology(rows, RATE).select("row_id", F.round("bpm", 9).alias(name))
+    found = peak(w, "whole").join(peak(recent, "recent"), "row_id").join(own, "row_id")
+    e = F.array("whole", "zero", "harmonic", "recent")
+    return named(found, {
+        "bpm_mean": A.mean(e), "bpm_median": A.quantile(e, 0.5), "bpm_std": A.std(e), "bpm_range": F.array_max(e) - F.array_min(e),
+        "harmonic_over_peak": F.col("harmonic") / (F.col("whole") + 1e-8), "recent_less_whole": F.col("recent") - F.col("whole"),
+    })
+
+
 @query(f"""WITH {SECONDS_SQL}, p AS (SELECT a.row_id, a.pos, avg(b.v) AS x FROM s a, range(0, 5) k(k) JOIN s b ON b.row_id = a.row_id AND b.pos = greatest(0, least(63, a.pos - 2 + k)) GROUP BY 1, 2),
 q AS (SELECT a.row_id, a.pos, avg(b.v) AS y FROM s a, range(0, 61) k(k) JOIN s b ON b.row_id = a.row_id AND b.pos = greatest(0, least(63, a.pos - 30 + k)) GROUP BY 1, 2)
 SELECT row_id, pos::INTEGER AS pos, {r6('x - y', 'v')} FROM p JOIN q USING (row_id, pos)""")
@@ -236,11 +276,11 @@ def motion_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SECONDS_SQL}, h AS (SELECT row_id, pos, (v - avg(v) OVER (PARTITION BY row_id)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * pos / 63)) AS x FROM s),
 k AS (SELECT unnest(range(0, 36)) AS k), p AS (SELECT row_id, k, sum(x * cos(2 * pi() * (36 + 5 * k) / 60 * pos / 64)) ^ 2 + sum(x * sin(2 * pi() * (36 + 5 * k) / 60 * pos / 64)) ^ 2 AS p FROM h, k GROUP BY 1, 2)
-SELECT row_id, k::INTEGER AS k, {r6('p', 'power')}, {r6('p / (sum(p) OVER (PARTITION BY row_id) + 1e-12::DOUBLE)', 'share')} FROM p""")
+SELECT row_id, k::INTEGER AS k, {r6('p', 'power')}, {r6('p / (sum(p) OVER (PARTITION BY row_id) + 1e-20::DOUBLE)', 'share')} FROM p""")
 def periodogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = L.periodogram(seconds(spark, sf_dir), [36 + 5 * k for k in range(36)], RATE)
     total = F.sum("power").over(W.partitionBy("row_id"))
-    return rounded(found.withColumn("share", F.col("power") / (total + 1e-12)), ["row_id", "k"])
+    return rounded(found.withColumn("share", F.col("power") / (total + 1e-20)), ["row_id", "k"])
 
 
 SOFT = f"{SECONDS_SQL}, e AS (SELECT row_id, pos, v, exp(v - max(v) OVER (PARTITION BY row_id)) AS e FROM s), p AS (SELECT *, e / sum(e) OVER (PARTITION BY row_id) AS p FROM e), c AS (SELECT *, sum(p) OVER (PARTITION BY row_id ORDER BY pos) AS c FROM p)"
@@ -284,14 +324,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seconds(spark, sf_dir).select("row_id", F.posexplode(parts).alias("pos", "x")).select("row_id", "pos", "x.*")
 
 
-@query(f"""WITH {SECONDS_SQL}, q AS (SELECT row_id, avg(v * v) AS q FROM s GROUP BY 1), c AS (SELECT row_id, pos, v FROM s WHERE pos % 10 = 0)
-SELECT row_id, pos::INTEGER AS pos, {r6('v * v / q', 'square')}, {r6('v * (1 + 0.6::DOUBLE * tanh(12 * (abs(v) - 0.1::DOUBLE)))', 'gated')}, {r6('ln(greatest(v, 1e-12::DOUBLE))', 'log_safe')} FROM c JOIN q USING (row_id)""")
-def sample_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(samples(spark, sf_dir).where("pos % 10 = 0"), ["row_id", "pos"])
-
-
 @query(f"""WITH {SECONDS_SQL}, q AS (SELECT row_id, avg(v * v) AS q FROM s GROUP BY 1)
 SELECT row_id, pos::INTEGER AS pos, {r6('v * v / q', 'square')}, {r6('v * (1 + 0.6::DOUBLE * tanh(12 * (abs(v) - 0.1::DOUBLE)))', 'gated')}, {r6('ln(greatest(v, 1e-12::DOUBLE))', 'log_safe')} FROM s JOIN q USING (row_id)""")
-def sample_functions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As sample_functions, at every sample of each vector."""
+def sample_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(samples(spark, sf_dir), ["row_id", "pos"])

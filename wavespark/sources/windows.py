@@ -114,10 +114,39 @@ def write_errors(spark: SparkSession, path: str, lambdas: Sequence[float], error
     spark.createDataFrame(lines, "k int, value string").orderBy("k").coalesce(1).select("value").write.mode("overwrite").text(path)
 
 
+def write_best(spark: SparkSession, path: str, best: float) -> None:
+    """The chosen penalty, on one line."""
+    spark.createDataFrame([(f"{best:.10g}",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_report(rows: DataFrame, path: str) -> None:
+    """One tab-separated file with a header, in the rows' order: for tables of a few rows, such as weights and scores."""
     rows.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
+def _not_finite(c: Column) -> Column:
+    return c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+
+
+def write_features(rows: DataFrame, path: str, names: Sequence[str]) -> None:
+    """The columns names as doubles, with the other columns as they are, as Parquet; an error if a value isn't finite."""
+    rows = rows.withColumns({c: F.col(f"`{c}`").cast("double") for c in names})
+    checked_features(rows, names)
+    rows.write.mode("overwrite").parquet(path)
+
+
+def checked_features(rows: DataFrame, names: Sequence[str], n: int | None = None) -> DataFrame:
+    """rows, after a look at all of them: an error unless they are n and have finite values in all columns names."""
+    lacking = [c for c in names if c not in rows.columns]
+    if lacking:
+        raise ValueError(f"no columns {lacking[:5]}")
+    found = rows.agg(F.count("*").alias("n"), *[F.count_if(_not_finite(F.col(f"`{c}`"))).alias(f"b{k}") for k, c in enumerate(names)]).first()
+    bad = [c for k, c in enumerate(names) if found[f"b{k}"]]
+    if bad or n is not None and found["n"] != n:
+        raise ValueError(f"{found['n']} rows, expected {n}; not finite in {bad[:5]}")
+    return rows
+
+
 def write_model(spark: SparkSession, path: str, state: dict) -> None:
     """A model as JSON; reading one can run no code."""
     spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
