@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 from random import Random
 
 import numpy as np
@@ -15,12 +16,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KINDS = ("email", "ip", "card", "phone")
+#: The four kinds that fixed patterns find, and one that only the method finds: passwords, tokens and keys.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 #: Code points of context that features look at on either side.
 CONTEXT = 32
 #: Examples that the trees are fitted and calibrated on; trees, depth, rate, and the least share of right calls among
 #: what a threshold lets through.
-EXAMPLES, TREES, DEPTH, RATE, PRECISION = 6000, 40, 3, 0.3, 0.99
+EXAMPLES, TREES, DEPTH, RATE, PRECISION = 7500, 40, 3, 0.3, 0.99
 
 # What always counts, by the contract. Lookbehinds and possessive runs change no match; they keep long runs linear.
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -41,6 +44,8 @@ WIDE_NUMBERS = {
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ._/-]?[0-9]){11,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[ ./-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])"),
 }
+#: A run without a space, of so many characters that are used in keys, if it has digits and letters both.
+SECRET = re.compile(r"(?<![\w/+.-])(?=[A-Za-z_/+.-]*[0-9])(?=[0-9_/+.-]*[A-Za-z])[A-Za-z0-9_/+.-]{12,512}={0,2}(?![\w/+=.-])")
 #: Where numbers are: no match of a pattern for numbers, fixed or wide, reaches out of such a stretch, or from one to
 #: the next. One fast search for them spares the rest of the text the slower patterns.
 STRETCH = re.compile(r"[+(0-9][0-9 ().+_/\[\]-]*")
@@ -51,6 +56,7 @@ CUES = {
     "ip": ("ip", "host", "server", "addr", "login", "client"),
     "card": ("card", "visa", "credit", "tarjeta", "carte", "karte", "payment", "kredit", "amex"),
     "phone": ("call", "tel", "phone", "mobile", "fax", "cell", "llam", "appel", "ruf", "whatsapp"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access", "auth", "bearer", "key", "credential", "contraseña", "passwort", "clé"),
 }
 AGAINST = ("version", "isbn", "order", "ref", "no.", "nr", "#", "$", "€", "=", "id", "price", "total", "date", "page", "v.")
 
@@ -99,6 +105,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     out, low = [], text.lower()
     if any(x in low for x in HINTS):
         out += [("email", m.start(), m.end()) for m in WIDE_EMAIL.finditer(text)]
+    out += [("secret", m.start(), m.end()) for m in SECRET.finditer(text)]
     for stretch in STRETCH.finditer(text):
         if stretch.end() - stretch.start() >= 7:
             out += [(kind, m.start(), m.end()) for kind, pattern in WIDE_NUMBERS.items() for m in pattern.finditer(text, *stretch.span())]
@@ -121,10 +128,19 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         int(digits[0]) if digits else -1, len(last) if last.isalpha() else 0, bool(re.search(r"[(\[](?:at|dot|\.)[)\]]", span, re.I)),
         bool(re.search(r"\s(?:at|dot)\s", span, re.I)), any(c in near for c in CUES[kind]), any(c in before for c in AGAINST),
         before[-1:].isalnum(), after[:1].isalnum(), bool(re.search(r"(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}", span)),
-        "@" in span, any(c in before[-2:] for c in "$€=#"),
+        "@" in span, any(c in before[-2:] for c in "$€=#"), *_randomness(span), before.rstrip("\"' :=")[-16:].endswith(CUES[kind]), before[-1:] in ("'", '"'),
     ]
 
 
+def _randomness(span: str) -> tuple[float, float, float, float]:
+    """Bits a character, changes between digits, small and capital letters and others a character, share of capitals, and
+    longest run of letters: what keys have and words, numbers, addresses of pages and versions don't."""
+    counts = np.array(list(Counter(span).values()), float) / len(span)
+    sort = ["d" if "0" <= c <= "9" else "u" if c.isupper() else "l" if c.isalpha() else "o" for c in span]
+    changes = sum(a != b for a, b in pairwise(sort)) / len(span)
+    return float(-(counts * np.log2(counts)).sum()), changes, sort.count("u") / len(span), max(map(len, re.findall(r"[A-Za-z]+", span)), default=0)
+
+
 @dataclass(frozen=True)
 class Trees:
     """Boosted regression trees on the log-odds. A tree is a list of (feature, cut) in heap order and its leaves' values."""
@@ -219,6 +235,15 @@ def example(r: Random) -> tuple[str, str, int, int, bool]:
         if good and n < 16:
             lead = cue
         span = sep.join(d[k : k + 4] for k in range(0, len(d), 4))
+    elif kind == "secret":
+        pick = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        span = r.choice((pick("0123456789abcdef", r.choice((16, 20, 24, 32, 40, 48, 64))), pick(letters, r.randint(16, 64)), "AK" + pick(letters[:26] + "0123456789", 18), "sk-" + pick(letters, r.randint(20, 48)), pick(letters + "+/", r.choice((22, 43, 86))) + "=="))
+        quote = r.choice(('"', "'", ""))
+        lead = r.choice(CUES[kind]) + r.choice((" = ", "=", ": ", ":", " is ", " ")) + quote if good else r.choice((word() + " ", lead))
+        if not good:
+            date = f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"
+            span = r.choice((f"{word()}-{word()}-{word()}-{number(3)}", f"{word()}_{word()}_{word()}{number(2)}", f"{date}T{number(2)}", f"www.{word()}{number(2)}.{word()}/{word()}", f"{word()}{word()}{word()}{number(1)}", f"v{number(1)}.{number(2)}.{number(3)}-{word()}{word()}", f"{word()}/{word()}/{word()}{number(4)}.html", f"{word().upper()}{number(10)}", span if r.random() < 0.3 else f"{word()}{number(4)}{word()}{word()}"))
     else:
         a, b, c = number(3), number(3), number(4)
         span = r.choice((f"({a}) {b}-{c}", f"({a}){b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{number(2)} {a} {b} {c}", f"0{number(2)} {b} {c}"))
@@ -279,15 +304,15 @@ def _written(spans: list[tuple[str, int, int]]) -> str:
 def _found(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"base": [], "spans": []}
-        counts = {k: [] for k in KINDS}
+        counts = {k: [] for k in BASE_KINDS}
         for value in batch.column(1):
             base, spans = find(value.as_py() or "", model)
             out["base"].append(_written(base))
             out["spans"].append(_written(spans))
-            for k in KINDS:
+            for k in BASE_KINDS:
                 counts[k].append(sum(s[0] == k for s in base))
-        columns = [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), *(pa.array(out[k], pa.string()) for k in out)]
-        yield pa.RecordBatch.from_arrays(columns, ["id", *(f"n_{k}" for k in KINDS), *out])
+        columns = [batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE_KINDS), *(pa.array(out[k], pa.string()) for k in out)]
+        yield pa.RecordBatch.from_arrays(columns, ["id", *(f"n_{k}" for k in BASE_KINDS), *out])
 
 
 def find_pii(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,13 +327,14 @@ def find_pii(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     """
     model = model or fit()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
+    counts = ", ".join(f"n_{k} long" for k in BASE_KINDS)
     schema = f"id {slim.dtypes[0][1]}, {counts}, base string, spans string"
     return slim.mapInArrow(lambda batches: _found(batches, model), schema).withColumnRenamed("id", id_col)
 
 
 def redact(text: str, model: Model) -> str:
-    """The text with each span replaced by its kind in angle brackets."""
+    """The text with each span replaced by its kind in angle brackets; of overlapping ones, the first's. An empty text stays
+    empty; any length is one pass."""
     out, at = [], 0
     for kind, start, end in sorted(find(text, model)[1], key=lambda c: (c[1], -c[2])):
         if start >= at:
@@ -323,6 +349,3 @@ def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
 
-
-def sha256_of(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(_written(spans).encode()).hexdigest()

@@ -120,16 +120,44 @@ def neighbour_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
+def with_swapped_answers(turns: DataFrame) -> DataFrame:
+    """Each conversation c twice: as 2c with its own turns, and as 2c + 1 with the text of its last answer (the last turn
+    of a trained role) replaced by that of its neighbour's, conversations 2k and 2k + 1 being neighbours; what came after
+    that answer is left off. A conversation without an answer, or whose neighbour has none, is only there as 2c.
+
+    So neighbour_pairs() of the result sets a conversation against itself with a reply that was given to something else.
+    Of answers of the same turn number the one of the largest text counts. One row a conversation is joined to its turns.
+    Turns with a null conv_id or, in 2c + 1, turn are left out; a null text is the empty text. Empty tables give none.
+    """
+    turns = turns.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    answer = F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))
+    last = turns.where((F.col("role") == TRAINED) & F.col("turn").isNotNull()).groupBy("conv_id").agg(F.max(answer).alias("own"))
+    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.col("own.text").alias("other"))
+    swap = last.select("conv_id", F.col("own.turn").alias("at")).join(other, "conv_id")
+    before = turns.join(swap, "conv_id").where("turn < at").select((2 * F.col("conv_id") + 1).alias("conv_id"), "turn", "role", "text")
+    reply = swap.select((2 * F.col("conv_id") + 1).alias("conv_id"), F.col("at").alias("turn"), F.lit(TRAINED).alias("role"), F.col("other").alias("text"))
+    return turns.withColumn("conv_id", 2 * F.col("conv_id")).unionByName(before).unionByName(reply)
+
+
 def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
+    turns = with_swapped_answers(table(spark, sf_dir, "conversations"))
     return format_preferences(turns, neighbour_pairs(turns))
 
 
 OP7_SQL = f"""
-WITH t AS (
+WITH given AS (SELECT conv_id::BIGINT AS conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+answers AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, coalesce(text, '') DESC) AS k
+  FROM given WHERE role = '{TRAINED}' AND turn IS NOT NULL
+), swap AS (SELECT a.conv_id, a.turn AS place, b.text AS other FROM answers a JOIN answers b ON b.conv_id = xor(a.conv_id, 1) WHERE a.k = 1 AND b.k = 1),
+doubled AS (
+  SELECT 2 * conv_id AS conv_id, turn, role, text FROM given
+  UNION ALL SELECT 2 * g.conv_id + 1, turn, role, text FROM given g JOIN swap s ON s.conv_id = g.conv_id AND turn < place
+  UNION ALL SELECT 2 * conv_id + 1, place, '{TRAINED}', other FROM swap
+), t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS pos
-  FROM conversations WHERE conv_id IS NOT NULL
+  FROM doubled
 ), pairs AS (
   SELECT conv_id // 2 AS pair_id, max(CASE WHEN conv_id % 2 = 0 THEN conv_id END) AS chosen_id,
          max(CASE WHEN conv_id % 2 = 1 THEN conv_id END) AS rejected_id FROM t GROUP BY 1
@@ -144,7 +172,7 @@ differ AS (
 ), turns AS (
   SELECT s.pair_id, t.conv_id, t.pos, t.role, t.pos > s.prompt_turns AS own,
          '{OPEN}' || t.role || '{CLOSE[:-1]}' || chr(10) || t.text || '{END[:-1]}' || chr(10) AS shown
-  FROM shared s JOIN t ON t.conv_id = s.chosen_id OR t.conv_id = s.rejected_id
+  FROM shared s JOIN t ON t.conv_id // 2 = s.pair_id AND (t.conv_id = s.chosen_id OR t.conv_id = s.rejected_id)
 ), placed AS (
   SELECT *, sum(CASE WHEN own THEN length(shown) ELSE 0 END) OVER (PARTITION BY pair_id, conv_id ORDER BY pos) AS till FROM turns
 ), done AS (

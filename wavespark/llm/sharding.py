@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, fresh, table
 
 #: Bits of the directory that one round looks at; its histogram has at most 2 ** STEP rows for each bucket being split.
 STEP = 12
@@ -56,11 +56,12 @@ def shard(
     The address of a row is 60 bits of the key's hash, then 60 bits of the hash of key and row. So a key that alone is
     over the limit, even a third of all rows, still splits; rows with one key stay together as far as they fit. Rounds
     look at 12 bits each, through histograms that combine before the shuffle; the first has at most 4,096 entries, the
-    later ones at most so many for each bucket still too large. No round reads rows that have their shard already, and
-    no bucket is ever gathered.
+    later ones at most so many for each bucket still too large. What is left for the next round is written once, so no
+    round reads rows that have their shard already, or repeats a join; and no bucket is ever gathered.
 
     Defined results: null keys hash like the empty string; null sizes count 0 bytes. A row that is larger than the limit
-    by itself is a shard of its own, over the limit (shard_rows is 1). Empty tables give an empty result.
+    by itself is a shard of its own, over the limit (shard_rows is 1). Should 120 bits leave a bucket over the limit, that
+    is an error; no row is left out. Empty tables give an empty result.
     """
     size = F.octet_length("text") if size is None else size
     key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
@@ -83,9 +84,11 @@ def shard(
         placed = placed.withColumn("_shard", F.concat("_bucket", bits))
         done.append(placed.where("_bits is not null").select("_key", "_bytes", "_shard", "shard_bytes", "shard_rows", *kept))
         at += STEP
-        if at == 2 * HASH_BITS or directory.where("_bits is null").isEmpty():
+        if directory.where("_bits is null").isEmpty():
             break
-        pending = placed.where("_bits is null").select("_key", "_text", "_bytes", "_nth", F.col("_shard").alias("_bucket"), *kept)
+        if at == 2 * HASH_BITS:
+            raise ValueError(f"{at} bits leave a bucket over the limit")
+        pending = checkpoint(placed.where("_bits is null").select("_key", "_text", "_bytes", "_nth", F.col("_shard").alias("_bucket"), *kept))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -96,12 +99,15 @@ def shard(
 
 
 def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", size: Column | None = None, limit: int = SHARD_BYTES) -> None:
-    """Writes the rows of docs, with all their columns, as Parquet in one folder shard=b<bits> for each shard."""
+    """Writes the rows of docs, with all their columns, as Parquet in one folder shard=b<bits> for each shard; if docs has a
+    column shard, the folders are named shard_=b<bits>. Nulls, large rows and empty tables are as in shard(); repeated
+    rows are written as often as they come."""
+    folder = fresh("shard", docs)
     size = F.octet_length("text") if size is None else size
     whole = docs.select(F.col(key_col).alias("_key"), F.coalesce(size, F.lit(0)).alias("_size"), F.struct(*docs.columns).alias("_whole"))
     placed = shard(whole, "_key", F.col("_size"), limit, carry="_whole")
-    placed = placed.select("_whole.*", F.concat(F.lit("b"), "shard").alias("shard"))
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    placed = placed.select("_whole.*", F.concat(F.lit("b"), "shard").alias(folder))
+    placed.repartition(folder).write.partitionBy(folder).parquet(path)
 
 
 def op10_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

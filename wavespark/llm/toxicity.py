@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Labelled documents that the model is fitted on at most, about, those of the lowest id hash; longer texts than
-#: SAMPLE_CHARS are not among them, so that the driver's part is bounded.
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 200_000
+#: Bounds of the sample that the model is fitted on, those of the lowest id hash: labelled documents, characters of all
+#: their texts together, and characters of one text. They are parameters of fit(), and bound what the driver holds.
+SAMPLE_DOCS, SAMPLE_CHARS, LONGEST = 6000, 50_000_000, 200_000
 #: Hashed features, character n-grams of a word between boundary marks, and steps, rate and L1 penalty of the fit.
 FEATURES, GRAMS = 1 << 20, (4, 5)
 STEPS, RATE, DECAY = 150, 0.1, 3e-5
@@ -121,16 +121,26 @@ def fit_noisy_or(docs: list[list[list[str]]], labels: np.ndarray, steps: int = S
     return SentenceModel(weights, float(params[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_DOCS) -> SentenceModel:
-    """Fits on about sample labelled documents, drawn by id hash alike wherever the rows lie. Rows without a label, and
-    labels without a document, are left out; a document that is labelled toxic in any row is toxic."""
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_DOCS,
+    sample_chars: int = SAMPLE_CHARS, longest: int = LONGEST,
+) -> SentenceModel:
+    """Fits on a sample of the labelled documents, drawn by id hash alike wherever the rows lie: about sample of them, or
+    fewer, so that their texts have about sample_chars characters together. Labelled texts of more than longest characters
+    are not drawn; they are scored like any other.
+
+    Defined results: rows without a label, and labels without a document or an id, are left out; a null text has no
+    sentences; a document that is labelled toxic in any row is toxic; repeated rows count as often as they come. Without
+    labels, or with labels of one kind, all weights are zero."""
     labels = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    share = min(1.0, sample / max(1, labels.count()))
+    known = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= longest)
+    sizes = known.select(id_col, F.length(text_col).alias("_chars")).join(labels, id_col).agg(F.count("*").alias("n"), F.sum("_chars").alias("chars")).first()
+    share = min(1.0, sample / max(1, sizes["n"]), sample_chars / max(1, sizes["chars"] or 0))
     drawn = labels.where(F.pmod(F.xxhash64(id_col, F.lit(29)), F.lit(1 << 30)) < int(share * (1 << 30)))
     # About sample rows, whatever the table's size: the one side that is broadcast has this bound.
-    rows = docs.where(F.length(text_col) <= SAMPLE_CHARS).select(id_col, text_col).join(F.broadcast(drawn), id_col)
+    rows = known.select(id_col, text_col).join(F.broadcast(drawn), id_col)
     found = rows.select(text_col, F.col("_label").cast("int"), F.xxhash64(id_col, text_col).alias("_order")).toPandas().sort_values("_order", kind="stable")
-    words = [[w for _, _, w in sentences(t)] for t in found[text_col]]
+    words = [[w for _, _, w in sentences(t or "")] for t in found[text_col]]
     return fit_noisy_or(words, found["_label"].to_numpy(np.int64))
 
 
@@ -142,11 +152,10 @@ def sentence_scores(text: str, words: _Words, bias: float) -> list[tuple[int, in
 
 def _scores(batches: Iterator[pa.RecordBatch], model: SentenceModel) -> Iterator[pa.RecordBatch]:
     words = _Words(model.weights)
-    get = words.__getitem__
     for batch in batches:
         out = []
         for text in batch.column(batch.num_columns - 1):
-            z = np.array([model.bias + sum(map(get, WORD.findall(s))) for s in SENTENCE.findall((text.as_py() or "").lower()) if WORD.search(s)])
+            z = np.array([z for _, _, z in sentence_scores(text.as_py() or "", words, model.bias)])
             out.append(float(-np.expm1(-_softplus(z).sum())) if len(z) else 0.0)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*batch.schema.names[:-1], "score"])
 
@@ -183,7 +192,10 @@ def _located(batches: Iterator[pa.RecordBatch], model: SentenceModel, least: flo
 
 def offending_sentences(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id", text_col: str = "text", least: float = OFFENDING) -> DataFrame:
     """The sentences with a probability of least or more: id_col, start and end (code points, end exclusive), score,
-    sentence. A toxic document may have none of them, if it is the sum of its sentences that makes it so."""
+    sentence. A toxic document may have none of them, if it is the sum of its sentences that makes it so.
+
+    Defined results: null texts and ones without a word have none. Repeated rows give theirs as often as they come; an
+    empty table gives none. Texts of any length are read whole; their sentences are cut as score() cuts them."""
     slim = docs.select(F.col(id_col).alias("id"), text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"id {slim.dtypes[0][1]}, start long, end long, score double, sentence string"
