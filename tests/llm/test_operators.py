@@ -548,7 +548,7 @@ def test_swapped_answers(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", long), (0, 2, "user", "ok"), (0, 3, "assistant", "mine"), (0, 4, "user", "bye"), (1, 0, "user", "q"), (1, 1, "assistant", "theirs"), (2, 0, "user", "x"), (3, 0, "assistant", None), (None, 0, "user", "x")]
     df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, extra int")
     both = preferences.with_swapped_answers(df)
-    got = {r["pair_id"]: r for r in preferences.format_preferences(both, preferences.neighbour_pairs(both)).collect()}
+    got = {r["pair_id"]: r for r in preferences.format_preferences(both, preferences.own_pairs(df)).collect()}
     shown = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
     assert set(got) == {0, 1, 2, 3} and got[0]["prompt_turns"] == 3 and got[0]["prompt"] == shown("user", "hi") + shown("assistant", long) + shown("user", "ok")
     assert got[0]["chosen"] == shown("assistant", "mine") + shown("user", "bye") and got[0]["rejected"] == shown("assistant", "theirs")

@@ -125,7 +125,7 @@ def with_swapped_answers(turns: DataFrame) -> DataFrame:
     of a trained role) replaced by that of its neighbour's, conversations 2k and 2k + 1 being neighbours; what came after
     that answer is left off. A conversation without an answer, or whose neighbour has none, is only there as 2c.
 
-    So neighbour_pairs() of the result sets a conversation against itself with a reply that was given to something else.
+    So own_pairs() sets each conversation against itself with a reply that was given to something else.
     Of answers of the same turn number the one of the largest text counts. One row a conversation is joined to its turns.
     Turns with a null conv_id or, in 2c + 1, turn are left out; a null text is the empty text. Empty tables give none.
     """
@@ -139,9 +139,16 @@ def with_swapped_answers(turns: DataFrame) -> DataFrame:
     return turns.withColumn("conv_id", 2 * F.col("conv_id")).unionByName(before).unionByName(reply)
 
 
+def own_pairs(turns: DataFrame) -> DataFrame:
+    """A pair for each conversation c of turns: 2c as the chosen one, 2c + 1 as the rejected one, as with_swapped_answers
+    numbers them; the latter may be missing there."""
+    ids = turns.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("pair_id")).distinct()
+    return ids.select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id"))
+
+
 def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = with_swapped_answers(table(spark, sf_dir, "conversations"))
-    return format_preferences(turns, neighbour_pairs(turns))
+    turns = table(spark, sf_dir, "conversations")
+    return format_preferences(with_swapped_answers(turns), own_pairs(turns))
 
 
 OP7_SQL = f"""
@@ -158,9 +165,7 @@ doubled AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS pos
   FROM doubled
-), pairs AS (
-  SELECT conv_id // 2 AS pair_id, max(CASE WHEN conv_id % 2 = 0 THEN conv_id END) AS chosen_id,
-         max(CASE WHEN conv_id % 2 = 1 THEN conv_id END) AS rejected_id FROM t GROUP BY 1
+), pairs AS (SELECT DISTINCT conv_id AS pair_id, 2 * conv_id AS chosen_id, 2 * conv_id + 1 AS rejected_id FROM given
 ), sizes AS (SELECT conv_id, max(pos) AS n FROM t GROUP BY 1),
 differ AS (
   SELECT p.pair_id, min(a.pos) AS pos FROM pairs p JOIN t a ON a.conv_id = p.chosen_id
