@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import longform as L
+from ..operators.quantiles import exact_quantiles, median
 from .fixtures import SECONDS_SQL, WINDOWS_SQL, channels, r6, rounded, seconds, windows
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -69,14 +70,14 @@ def window_impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SECONDS_SQL}, m AS (SELECT row_id, avg(v) AS m, stddev_pop(v) AS s FROM s GROUP BY 1)
 SELECT row_id, {r6('avg(((v - m) / (s + 1e-8::DOUBLE)) ^ 3)', 'skew')}, {r6('avg(((v - m) / (s + 1e-8::DOUBLE)) ^ 4) - 3', 'kurtosis')},
-{r6('max(abs(v - m)) / (max(s) + 1e-6::DOUBLE)', 'crest')}, {r6('avg(CASE WHEN abs((v - m) / (s + 1e-6::DOUBLE)) > 2 THEN 1 ELSE 0 END)', 'spikes')}
+{r6('max(abs(v - m)) / (max(s) + 1e-6::DOUBLE)', 'crest')}, {r6('avg(CASE WHEN abs((v - m) / (s + 1e-6::DOUBLE)) > 3 THEN 1 ELSE 0 END)', 'spikes')}
 FROM s JOIN m USING (row_id) GROUP BY row_id""")
 def window_skew_kurt(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.col("w")
     z = A.zscore(w, 1e-6)
     return named(seconds(spark, sf_dir), {
         "skew": A.moment(w, 3, 1e-8), "kurtosis": A.moment(w, 4, 1e-8) - 3, "crest": F.array_max(F.transform(z, F.abs)),
-        "spikes": A.mean(z, lambda x: F.when(F.abs(x) > 2, 1.0).otherwise(0.0)),
+        "spikes": A.mean(z, lambda x: F.when(F.abs(x) > 3, 1.0).otherwise(0.0)),
     })
 
 
@@ -328,3 +329,23 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT row_id, pos::INTEGER AS pos, {r6('v * v / q', 'square')}, {r6('v * (1 + 0.6::DOUBLE * tanh(12 * (abs(v) - 0.1::DOUBLE)))', 'gated')}, {r6('ln(greatest(v, 1e-12::DOUBLE))', 'log_safe')} FROM s JOIN q USING (row_id)""")
 def sample_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(samples(spark, sf_dir), ["row_id", "pos"])
+
+
+@query(f"""WITH {WINDOWS_SQL}, g AS (SELECT vec_id // 10 AS row_id, avg(label) AS target FROM embeddings GROUP BY 1),
+q AS (SELECT row_id, stddev_pop(v) AS std, max(abs(v - m)) / (stddev_pop(v) + 1e-9::DOUBLE) AS most, min(CASE WHEN pos % 16 = 0 THEN abs(v) END) AS skin
+  FROM (SELECT *, avg(v) OVER (PARTITION BY row_id) AS m FROM w) GROUP BY 1),
+k AS (SELECT * FROM q JOIN g USING (row_id) WHERE std > (SELECT quantile_cont(std, 0.25) FROM q) AND most < 5 AND skin > 1e-6)
+SELECT row_id, {r6('target', 'target')}, {r6('abs(target - (SELECT median(target) FROM k))', 'distance')}, {r6('std', 'std')} FROM k
+ORDER BY abs(target - (SELECT median(target) FROM k)), row_id LIMIT 1""")
+def representative_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the windows of good quality (a pulse above the lower quartile of deviations, without spikes of five deviations, and
+    a skin signal) the one whose target is nearest their median; the target is the mean label of its vectors."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy(F.floor(F.col("vec_id") / 10).alias("row_id")).agg(F.avg("label").alias("target"))
+    w = F.col("w")
+    spread = A.let(A.mean(w), lambda m: A.let(A.std(w) + 1e-9, lambda s: F.array_max(F.transform(w, lambda x: F.abs(x - m) / s))))
+    rows = windows(spark, sf_dir).select("row_id", A.std(w).alias("std"), spread.alias("most"), F.array_min(F.transform(A.every(w, 16), lambda x: F.abs(x))).alias("skin"))
+    rows = rows.join(e, "row_id").persist()
+    low = exact_quantiles(rows, {"std": F.col("std")}, [0.25])["std"][0]
+    fine = rows.where((F.col("std") > low) & (F.col("most") < 5) & (F.col("skin") > 1e-6))
+    near = fine.withColumn("distance", F.abs(F.col("target") - F.lit(median(fine, F.col("target")))))
+    return rounded(near.orderBy("distance", "row_id").limit(1).select("row_id", "target", "distance", "std"), ["row_id"])
