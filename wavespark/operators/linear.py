@@ -186,6 +186,8 @@ def irls(
     the start, the model of least nmae on the rows that held selects (all, if None) stays.
 
     Each round sums once, scores once, and takes some passes over the residuals alone for the medians."""
+    if not rounds:
+        return start
     tested = rows if held is None else rows.where(held)
     mean = tested.agg(F.avg(y)).first()[0]
     best, best_score, model = start, scored(tested, [start], x, y, mean)[0][0], start

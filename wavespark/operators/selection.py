@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import metrics, splits
 from .gram import Normal, normal_equations
 from .linear import Linear, block_ridge, clip_range, predicted, ridge_path, scored
-from .quantiles import median
+from .quantiles import exact_quantiles
 
 #: A multiplier of the penalty that takes a block out of a model.
 OFF = 1e9
@@ -83,16 +83,18 @@ def cross_validated(
     training rows held out for the choice of penalties."""
     placed = splits.contiguous(rows, splits.equal_parts(n, folds), key).persist()
     ends, out, start = splits.equal_parts(n, folds), None, 0
+    middles = exact_quantiles(placed, {str(k): F.when(F.col("fold") != k, F.col("y")) for k in range(folds)}, [0.5])
+    spans = {r["fold"]: r for r in placed.groupBy("fold").agg(F.min("y").alias("a"), F.max("y").alias("b")).collect()}
     for k, end in enumerate(ends):
         train = placed.where(F.col("fold") != k)
         # Row numbers among the training rows: those after the fold move up by its size.
         place = F.when(F.col(key) >= end, F.col(key) - (end - start)).otherwise(F.col(key))
         model = block_ridge(train, p, block_of, presets, penalties, place >= int((n - (end - start)) * 0.75), rounds=rounds)
-        about = train.agg(F.min("y").alias("a"), F.max("y").alias("b")).first()
-        low, high = clip_range(about["a"], about["b"]) if clip else (float("-inf"), float("inf"))
+        others = [r for fold, r in spans.items() if fold != k]
+        low, high = clip_range(min(r["a"] for r in others), max(r["b"] for r in others)) if clip else (float("-inf"), float("inf"))
         own = predicted(placed.where(F.col("fold") == k), model)
         value = F.greatest(F.lit(low), F.least(F.lit(high), F.col("p")))
-        own = own.select(key, "fold", "y", F.when(F.isnan("p"), F.lit(model.intercept)).otherwise(value).alias("p"), F.lit(median(train, F.col("y"))).alias("middle"))
+        own = own.select(key, "fold", "y", F.when(F.isnan("p"), F.lit(model.intercept)).otherwise(value).alias("p"), F.lit(middles[str(k)][0]).alias("middle"))
         out, start = own if out is None else out.unionAll(own), end
     return out
 
