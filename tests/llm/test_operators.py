@@ -849,3 +849,30 @@ def test_pipeline(spark, tmp_path):
     assert set(left[3]) == set(left[4]) == clean - {3} | {102, 104}
     ran = corpus_pipeline.run(spark, folder)
     assert sorted(x[0] for x in ran.select("doc_id").distinct().collect()) == left[4]
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    folder = str(tmp_path)
+    empty(spark).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_clashing_columns_stay(docs, spark):
+    names = ["_key", "_again", "_full", "_touched", "_stays", "_bucket", "_bitmap", "_more", "picked", "rows", "key", "grp", "name"]
+    named = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    for kept in (exact_dedup.deduplicate(named), near_copies.representatives(named), exact_dedup.exact_dedup(named.withColumn("_size", F.lit("x")).withColumn("_keep", F.lit("y")))):
+        found = kept.select(*names).distinct().collect()
+        assert [tuple(r) for r in found] == [tuple(f"own {c}" for c in names)]
+    full = exact_dedup.exact_dedup(named.withColumn("_size", F.lit("x")).withColumn("_keep", F.lit("y")))
+    assert full.select("_size", "_keep").distinct().collect() == [("x", "y")]
+    got = pii.find_pii(named.withColumns({"n_email": F.lit("clash"), "spans": F.lit("clash"), "id": F.lit("clash")})).collect()
+    assert len(got) == len(TEXTS) and all(isinstance(r["n_email"], int) for r in got)
+
+
+def test_very_long_pages(spark):
+    url = "https://a.example.org/" + "x" * 200_000
+    html = "<p>" + "word " * 200_000 + f'</p><link rel="canonical" href="{url}y">'
+    pages = spark.createDataFrame([(1, url, html), (2, url + "y", None), (3, None, html)], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in urlfilter.judge(pages, [("example.org", "/" + "x" * 200_000 + "y", "block")], urlfilter.page_edges(pages)).collect()}
+    assert [found[k]["verdict"] for k in (1, 2, 3)] == ["block", "block", "allow"] and found[1]["rule"] is None and len(found[1]["path"]) == 200_001

@@ -23,11 +23,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only where that is unset (tests,
-    local runs) is one made."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only where that is unset and all of
+    Spark is in one process (tests, local runs) is one made; on a cluster it is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wavespark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wavespark-"))
     return context.getCheckpointDir()
 
 

@@ -105,14 +105,20 @@ def _labelled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
 
 def tokenize_preferences(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
     """Token ids of prompt and completions of format_preferences, and labels of the completions: the id where the token
-    lies within the mask, else -100. tokenizer_path: a tokenizer file that every executor can read."""
+    lies within the mask, else -100. tokenizer_path: a tokenizer file that every executor can read.
+
+    Defined results: a null completion has no ids and no labels, as has an empty one; a token that lies only partly within
+    the mask is not trained on. Texts of any length are encoded whole. Rows are returned as often as they come; an empty
+    table gives none; other columns are left out."""
     slim = formatted.select("pair_id", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
     lists = ", ".join(f"{c} array<int>" for c in ("prompt_ids", "chosen_ids", "chosen_labels", "rejected_ids", "rejected_labels"))
     return slim.mapInArrow(lambda batches: _labelled(batches, tokenizer_path), f"pair_id {slim.dtypes[0][1]}, {lists}")
 
 
 def neighbour_pairs(turns: DataFrame) -> DataFrame:
-    """Pairs conversation 2k, as the chosen one, with 2k + 1, as the rejected one; one may be missing."""
+    """Pairs conversation 2k, as the chosen one, with 2k + 1, as the rejected one; one may be missing, and its id is null
+    then. Turns with a null conv_id are left out; repeated turns make no further pairs; an empty table gives none. Only ids
+    are read, so texts may be of any length and other columns have any names."""
     even = F.pmod("conv_id", F.lit(2)) == 0
     pair = F.floor((F.col("conv_id") - F.pmod("conv_id", F.lit(2))) / 2).cast("long")
     return turns.where("conv_id IS NOT NULL").groupBy(pair.alias("pair_id")).agg(

@@ -50,7 +50,11 @@ def canonical(url: Column) -> Column:
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges (src, dst) between addresses that a page itself states: its canonical link, og:url and meta refresh, wherever
     they name an absolute address, and the address that the usual redirects lead to. Relative ones stay on their page's
-    host and are resolved if they begin with a slash."""
+    host and are resolved if they begin with a slash.
+
+    Defined results: a null url gives no edge, null html only the usual redirects' one; of several links of a kind the
+    first counts; urls and html of any length are read whole; repeated rows give repeated edges, an empty table none; other
+    columns are ignored."""
     url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
     link = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     shown = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bproperty\s*=\s*[\"']?og:url\b)[^>]*?\bcontent\s*=\s*[\"']?([^\"'\s>]+)", 1)
