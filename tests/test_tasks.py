@@ -646,3 +646,9 @@ def test_kernels_take_gaps_and_odd_lengths(spark):
     rows = spark.createDataFrame([(0, [1.0, None, 3.0]), (1, None), (2, [1.0])], "id int, w array<double>")
     got = apply_kernel(rows, lambda a, n: {"m": np.nanmean(a["w"], axis=1)}, {"w": 3}, ["id"]).orderBy("id").collect()
     assert got[0]["m"] == 2.0 and np.isnan(got[1]["m"]) and np.isnan(got[2]["m"])
+
+
+@pytest.mark.parametrize("name", ["column_sweep", "ridge_cv", "elastic_net_cv", "ridge_leave_one_out", "yeo_johnson", "gram_wide", "evidence_surfaces", "beat_intervals", "beat_template", "skin_and_motion"])
+def test_queries_without_sql_give_finite_rows(spark, name):
+    found = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas().select_dtypes("number")
+    assert len(found) and np.isfinite(found.to_numpy(float)).all()

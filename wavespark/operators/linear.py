@@ -124,7 +124,9 @@ def _moved(batches: Iterator[pa.RecordBatch], mean: np.ndarray, scale: np.ndarra
 
 
 def moved(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, x: str = "x") -> DataFrame:
-    """x less mean, times scale, batch by batch: for designs too wide to write as an expression."""
+    """x less mean, times scale: of a narrow design as an expression, of a wide one batch by batch."""
+    if len(mean) <= NARROW:
+        return rows.withColumn(x, F.array(*[(F.get(x, F.lit(j)) - float(m)) * float(s) for j, (m, s) in enumerate(zip(mean, scale, strict=True))]))
     rows = rows.withColumn(x, F.col(x).cast("array<double>"))
     at = rows.columns.index(x)
     return rows.mapInArrow(lambda batches: _moved(batches, mean, scale, at), rows.schema)

@@ -442,7 +442,7 @@ def elastic_net_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ridge_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, lambdas = design(spark, sf_dir), [0.01, *L.LAMBDAS_D]
     found = L.leave_one_out(rows, G.normal_equations(rows, 4)[0], lambdas)
-    return spark.createDataFrame(list(zip(lambdas, map(float, found), strict=True)), "lambda double, mse double")
+    return spark.createDataFrame([(float(lam), float(e)) for lam, e in zip(lambdas, found, strict=True)], "lambda double, mse double")
 
 
 @query()
