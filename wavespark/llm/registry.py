@@ -1,6 +1,6 @@
 """Queries of this subpackage, one for each operator, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, langid, packing, pii, preferences, sharding, simhash, tiling, toxicity, urlfilter
+from . import exact_dedup, langid, merkle, packing, pii, preferences, sharding, simhash, tiling, toxicity, urlfilter
 
 QUERIES = {
     "op1_redirect_rules": urlfilter.op1_redirect_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_language_bitmask": langid.op8_language_bitmask,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op7_preference_pairs": preferences.OP7_SQL,
     "op10_extendible_sharding": sharding.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
