@@ -1,6 +1,6 @@
 """Queries of this subpackage, one for each operator, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, langid, merkle, packing, pii, preferences, sharding, simhash, tiling, toxicity, urlfilter
+from . import collocations, exact_dedup, langid, merkle, packing, pii, preferences, sharding, simhash, tiling, tokencache, toxicity, urlfilter
 
 QUERIES = {
     "op1_redirect_rules": urlfilter.op1_redirect_rules,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_digest_cache": tokencache.op12_digest_cache,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,5 @@ ORACLE_SQL = {
     "op7_preference_pairs": preferences.OP7_SQL,
     "op10_extendible_sharding": sharding.OP10_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
