@@ -4,102 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from . import ordered
 
-#: Stretches of the order that a key's rows are dealt to, so that no key is one task's.
-STRETCHES = 64
 
+def asof_forward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str, clip: bool = False, parts: int | None = None) -> DataFrame:
+    """Adds to each row of left the first value of right at or after its position on, within the columns by; null if
+    there is none, or with clip the last one before it. value is a column of right; its nulls don't count. A row of left
+    without a position finds nothing.
 
-def _number(rows: DataFrame, on: str) -> Column:
-    """A number in the order of the column on."""
-    c = F.col(f"`{on}`")
-    kind = rows.schema[on].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    return c.cast("double")
-
-
-def stretch_edges(rows: DataFrame, on: str, stretches: int = STRETCHES) -> list[float]:
-    """Values that cut the column on into stretches of about as many rows each."""
-    at = [k / stretches for k in range(1, stretches)]
-    found = rows.agg(F.percentile_approx(_number(rows, on), at, 1000)).first()[0]
-    return sorted(set(found or []))
-
+    Both sides go through a sort of their union, instead of a join that would pair all rows of a key; a key's rows are dealt
+    to as many partitions as they fill (see ordered), and what a partition lacks comes from the nearest one that has a value.
+    """
+    return ordered.nearest(left, right, by, on, value, clip, parts)
 
-def stretch_of(rows: DataFrame, on: str, edges: Sequence[float]) -> Column:
-    """The number of the stretch that a row's value is in; rows without a value are in the first."""
-    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < _number(rows, on))) if edges else F.lit(0)
 
+def place_in_order(rows: DataFrame, by: str, on: str, tie: str, parts: int | None = None) -> DataFrame:
+    """Adds _place, the number (from 1) of a row among those of its key by on and then tie, and _count, the key's rows.
+    A key's rows are numbered partition by partition, as asof_forward deals them, and the partitions' sizes added."""
+    return ordered.placed(rows, by, on, tie, parts)
 
-def asof_forward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str, clip: bool = False, edges: Sequence[float] | None = None) -> DataFrame:
-    """Adds to each row of left the first value of right at or after its position on, within the columns by; null if
-    there is none, or with clip the last one before it. value is a column of right; its nulls don't count.
 
-    Both sides go through a sort of their union, instead of a join that would pair all rows of a key. A key's rows are
-    dealt to stretches of the order (edges cut them; the default is by right's quantiles), and what a stretch lacks comes
-    from a table of the nearest later (or earlier) stretch that has a value: one row a key and stretch.
-    """
-    edges = stretch_edges(right, on) if edges is None else edges
-    left = left.withColumn("_stretch", stretch_of(left, on, edges))
-    right = right.select(*by, on, value).where(F.col(value).isNotNull()).withColumn("_stretch", stretch_of(right, on, edges))
-    columns = [c for c in left.columns if c != "_stretch"]
-    packed = left.select(*by, "_stretch", on, F.struct(*columns).alias("_row"))
-    none = lambda field: F.lit(None).cast(field.dataType)
-    both = packed.withColumn("_value", none(right.schema[value])).unionByName(
-        right.select(*by, "_stretch", on, none(packed.schema["_row"]).alias("_row"), F.col(value).alias("_value"))
-    )
-    # Frames end at the current row, so that each is one step from the one before; looking ahead is looking back in
-    # falling order. At the same position a row of left sees those of right.
-    per = W.partitionBy(*by, "_stretch")
-    seen = lambda *order: F.last("_value", ignorenulls=True).over(per.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    near = [seen(F.col(on).desc_nulls_first(), F.col("_row").isNotNull()).alias("_next")]
-    if clip:
-        near.append(seen(F.col(on).asc_nulls_last(), F.col("_row").isNotNull()).alias("_before"))
-    found = both.select(*by, "_stretch", "_row", *near).where("_row IS NOT NULL")
-    if edges:
-        ends = right.groupBy(*by, "_stretch").agg(F.min_by(value, on).alias("_first"), F.max_by(value, on).alias("_last"))
-        # Every stretch of a key, whether it has a value or not, sees the nearest that has one.
-        every = F.explode(F.sequence(F.lit(0), F.lit(len(edges)))).alias("_stretch")
-        all_ = ends.select(*by).distinct().select(*by, every).join(ends, [*by, "_stretch"], "left")
-        order = W.partitionBy(*by).orderBy("_stretch")
-        later = F.last("_first", ignorenulls=True).over(W.partitionBy(*by).orderBy(F.desc("_stretch")).rowsBetween(W.unboundedPreceding, -1))
-        earlier = F.last("_last", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
-        found = found.join(all_.select(*by, "_stretch", later.alias("_later"), earlier.alias("_earlier")), [*by, "_stretch"], "left")
-    else:
-        found = found.withColumns({"_later": none(right.schema[value]), "_earlier": none(right.schema[value])})
-    choice = ["_next", "_later", *(["_before", "_earlier"] if clip else [])]
-    return found.select("_row.*", F.coalesce(*choice).alias(value))
-
-
-def place_in_order(rows: DataFrame, by: str, on: str, tie: str, edges: Sequence[float] | None = None) -> DataFrame:
-    """Adds _place, the number (from 1) of a row among those of its key by on and then tie, and _count, the key's rows.
-    A key's rows are numbered stretch by stretch, as asof_forward deals them, and the stretches' sizes added."""
-    edges = stretch_edges(rows, on) if edges is None else edges
-    rows = rows.withColumn("_stretch", stretch_of(rows, on, edges))
-    sizes = rows.groupBy(by, "_stretch").agg(F.count("*").alias("_n"))
-    per = W.partitionBy(by)
-    before = F.coalesce(F.sum("_n").over(per.orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(F.col(by).alias("_by"), F.col("_stretch").alias("_at"), before.alias("_before"), F.sum("_n").over(per).alias("_count"))
-    inner = F.row_number().over(W.partitionBy(by, "_stretch").orderBy(on, tie))
-    same = rows[by].eqNullSafe(sizes["_by"]) & (rows["_stretch"] == sizes["_at"])
-    return rows.withColumn("_inner", inner).join(sizes, same).withColumn("_place", F.col("_before") + F.col("_inner")).drop("_stretch", "_inner", "_before", "_by", "_at")
-
-
-def previous(rows: DataFrame, by: str, on: str, tie: str, edges: Sequence[float] | None = None) -> DataFrame:
+def previous(rows: DataFrame, by: str, on: str, tie: str, parts: int | None = None) -> DataFrame:
     """Adds _previous, the value of on in the row before, among those of its key by on and then tie; null in the first. A
-    key's rows are dealt to stretches, as asof_forward deals them; the first row of a stretch looks to the ones before."""
-    edges = stretch_edges(rows, on) if edges is None else edges
-    rows = rows.withColumn("_stretch", stretch_of(rows, on, edges))
-    ends = rows.groupBy(by, "_stretch").agg(F.max(on).alias("_last"))
-    earlier = F.max("_last").over(W.partitionBy(by).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1))
-    ends = ends.select(F.col(by).alias("_by"), F.col("_stretch").alias("_at"), earlier.alias("_earlier"))
-    same = rows[by].eqNullSafe(ends["_by"]) & (rows["_stretch"] == ends["_at"])
-    inner = F.lag(on).over(W.partitionBy(by, "_stretch").orderBy(on, tie))
-    return rows.withColumn("_inner", inner).join(ends, same).withColumn("_previous", F.coalesce("_inner", "_earlier")).drop("_stretch", "_inner", "_by", "_at", "_earlier")
+    key's rows are dealt as asof_forward deals them; the first row of a partition looks to the ones before."""
+    return ordered.lagged(rows, by, on, tie, parts)
 
 
 def fold_of(rows: DataFrame, bounds: Sequence[tuple[int, int]], key: str = "row_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,36 +41,32 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.linalg.lstsq(a, b, rcond=None)[0]
 
 
+def _fitted(normal: Normal, gram: np.ndarray, scale: np.ndarray) -> Linear:
+    coef = scale * _solve(gram, normal.spread[:-1, -1] * scale)
+    return Linear(float(normal.mean[-1] - normal.mean[:-1] @ coef), coef)
+
+
 def ols(normal: Normal) -> Linear:
-    w = _solve(normal.gram, normal.moment)
-    return Linear(float(w[0]), w[1:])
+    return _fitted(normal, normal.spread[:-1, :-1], np.ones(normal.width))
 
 
 def ridge(normal: Normal, penalty: float, scale: np.ndarray | None = None) -> Linear:
     """The penalty isn't scaled by the number of rows, and the intercept isn't penalised. scale multiplies columns before
     the penalty is applied: a penalty m times as large for a block is a scale of 1 / sqrt(m)."""
-    p = len(normal.moment) - 1
-    s = np.ones(p + 1)
-    if scale is not None:
-        s[1:] = scale
-    shrink = np.full(p + 1, float(penalty))
-    shrink[0] = 0.0
-    w = s * _solve(normal.gram * np.outer(s, s) + np.diag(shrink), normal.moment * s)
-    return Linear(float(w[0]), w[1:])
+    s = np.ones(normal.width) if scale is None else np.asarray(scale, float)
+    return _fitted(normal, normal.spread[:-1, :-1] * np.outer(s, s) + penalty * np.eye(len(s)), s)
 
 
 def centred(normal: Normal) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Gram and moment of the centred columns, with the means of columns and target."""
-    n = normal.weight
-    mean, y_mean = normal.gram[0, 1:] / n, normal.moment[0] / n
-    return normal.gram[1:, 1:] - n * np.outer(mean, mean), normal.moment[1:] - n * mean * y_mean, mean, float(y_mean)
+    return normal.spread[:-1, :-1], normal.spread[:-1, -1], normal.mean[:-1], float(normal.mean[-1])
 
 
 def about_mean(normal: Normal) -> tuple[np.ndarray, np.ndarray, float]:
     """Gram of the columns as they are and moment with the target less its mean: the form of models whose intercept is the
     target's (weighted) mean and whose columns were standardised beforehand."""
-    level = float(normal.moment[0] / normal.weight)
-    return normal.gram[1:, 1:], normal.moment[1:] - level * normal.gram[0, 1:], level
+    mean = normal.mean[:-1]
+    return normal.spread[:-1, :-1] + normal.weight * np.outer(mean, mean), normal.spread[:-1, -1], float(normal.mean[-1])
 
 
 def ridge_path(normal: Normal, penalties: Sequence[float], scale: np.ndarray | None = None, centre: bool = True) -> list[Linear]:
@@ -162,18 +158,23 @@ def scored(rows: DataFrame, models: Sequence[Linear], x: str = "x", y: str = "y"
 
 def nmse_of(part: Normal, model: Linear) -> float:
     """nmse over the rows that were summed, from their sums alone."""
-    full = np.append(model.intercept, model.coef)
-    squares = part.squares - 2 * full @ part.moment + full @ part.gram @ full
-    return float(squares / (part.squares - part.moment[0] ** 2 / part.weight))
+    return part.residual_squares(model.intercept, model.coef) / float(part.spread[-1, -1])
+
+
+def mse_of(part: Normal, model: Linear) -> float:
+    return part.residual_squares(model.intercept, model.coef) / part.weight
 
 
-def ridge_cv(rows: DataFrame, p: int, penalties: Sequence[float], x: str = "x", y: str = "y", fold: str = "fold") -> tuple[list[float], int, Linear]:
-    """Mean over folds of each penalty's nmse on the held-out fold, the index of the best (the first of equals) and the
-    model of all rows with it. One pass sums the folds' normal equations: training sums are the total less the fold, and
-    a fold's squared errors come from its sums."""
+def ridge_cv(
+    rows: DataFrame, p: int, penalties: Sequence[float], x: str = "x", y: str = "y", fold: str = "fold", error: Callable[[Normal, Linear], float] = nmse_of
+) -> tuple[list[float], int, Linear]:
+    """Mean over folds of each penalty's error (nmse, or mse_of) on the held-out fold, the index of the best (the first of
+    equals) and the model of all rows with it. One pass sums the folds' normal equations: training sums are the total less
+    the fold, and a fold's squared errors come from its sums."""
     parts = normal_equations(rows, p, x, y, fold)
     everything = total(parts)
-    errors = [float(np.mean([nmse_of(part, ridge(everything - part, lam)) for part in parts.values()])) for lam in penalties]
+    paths = [(part, ridge_path(everything - part, penalties)) for part in parts.values()]
+    errors = [float(np.mean([error(part, path[k]) for part, path in paths])) for k in range(len(penalties))]
     best = int(np.argmin(errors))
     return errors, best, ridge(everything, penalties[best])
 
@@ -203,7 +204,7 @@ def irls(
         residual.unpersist()
         gram, moment, level = about_mean(sums)
         if not weighted_level:
-            moment, level = moment + (level - plain) * sums.gram[0, 1:], plain
+            moment, level = moment + (level - plain) * sums.weight * sums.mean[:-1], plain
         model = Linear(level, _solve(gram + penalty * sums.weight / n * np.eye(p), moment))
         if (now := scored(tested, [model], x, y, mean)[0][0]) < best_score:
             best, best_score = model, now
@@ -246,28 +247,80 @@ def elastic_net_cv(parts: dict[int, Normal], alphas: Sequence[float], ratios: Se
             for a in sorted(alphas, reverse=True):
                 model = elastic_net(train, a, ratio, w)
                 w = model.coef
-                full = np.append(model.intercept, w)
-                errors[a] += (part.squares - 2 * full @ part.moment + full @ part.gram @ full) / part.weight / len(parts)
+                errors[a] += mse_of(part, model) / len(parts)
         for a, e in errors.items():
             if best is None or e < best[0]:
                 best = e, a, ratio
     return best[1], best[2], elastic_net(everything, best[1], best[2])
 
 
+@dataclass
+class Basis:
+    """A fitted ridge path over the rows that were summed, in the form that leave-one-out errors need: columns less mean over
+    scale, turned by vectors, have these values (the eigenvalues) and projections of the target."""
+
+    n: float
+    mean: np.ndarray
+    scale: np.ndarray
+    level: float
+    values: np.ndarray
+    vectors: np.ndarray
+    projected: np.ndarray
+
+    @classmethod
+    def of(cls, normal: Normal, standardise: bool = False) -> Basis:
+        """standardise: columns by their deviation; a constant one is left as it is."""
+        scale = np.sqrt(np.maximum(np.diag(normal.spread)[:-1], 0) / normal.weight) if standardise else np.ones(normal.width)
+        scale = np.where(scale > 0, scale, 1.0)
+        values, vectors = np.linalg.eigh(normal.spread[:-1, :-1] / np.outer(scale, scale))
+        return cls(normal.weight, normal.mean[:-1], scale, float(normal.mean[-1]), np.maximum(values, 0), vectors, vectors.T @ (normal.spread[:-1, -1] / scale))
+
+    def errors(self, x: np.ndarray, y: np.ndarray, penalties: np.ndarray) -> np.ndarray:
+        """The squared error of each of the rows summed, left out of the fit, for each penalty: (rows, penalties)."""
+        turned = ((x - self.mean) / self.scale) @ self.vectors
+        shrunk = 1 / np.maximum(self.values[:, None] + penalties, 1e-300)
+        residual = y[:, None] - self.level - turned @ (self.projected[:, None] * shrunk)
+        return (residual / (1 - (turned * turned) @ shrunk - 1 / self.n)) ** 2
+
+    def model(self, penalty: float) -> Linear:
+        coef = self.vectors @ (self.projected / np.maximum(self.values + penalty, 1e-300)) / self.scale
+        return Linear(self.level - float(self.mean @ coef), coef)
+
+
+def _left_out(batches: Iterator[pa.RecordBatch], bases: dict[int, Basis], penalties: np.ndarray, own: Callable[[int, int], bool], variants: Callable | None, count: int) -> Iterator[pa.RecordBatch]:
+    """Of all rows of a task: the summed squared errors of each basis (whose key is fold * count + variant) over the rows that
+    it was fitted on, which own(fold of the basis, fold of the row) tells."""
+    sums = {key: np.zeros(len(penalties)) for key in bases}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fold, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        for k, design in enumerate(variants(x) if variants else [x]):
+            for key, basis in bases.items():
+                if key % count == k:
+                    at = np.isin(fold, [f for f in np.unique(fold) if own(key // count, int(f))])
+                    sums[key] += basis.errors(design[at], y[at], penalties).sum(axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["key", "e"])
+
+
+def left_out_errors(
+    rows: DataFrame, bases: dict[int, Basis], penalties: Sequence[float], own: Callable[[int, int], bool], x: str = "x", y: str = "y", fold: str | None = None,
+    variants: Callable | None = None, count: int = 1,
+) -> dict[int, np.ndarray]:
+    """Mean squared leave-one-out errors by basis and penalty, in one pass; a task sends one row a basis."""
+    shared = rows.sparkSession.sparkContext.broadcast((bases, np.asarray(penalties, float)))
+    slim = rows.select((F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"), F.col(x).cast("array<double>"), F.col(y).cast("double"))
+    parts = slim.mapInArrow(lambda batches: _left_out(batches, *shared.value, own, variants, count), "key int, e array<double>")
+    found = parts.groupBy("key").agg(*[F.sum(F.get("e", F.lit(j))).alias(f"e{j}") for j in range(len(penalties))]).collect()
+    return {r["key"]: np.array(r[1:]) / bases[r["key"]].n for r in found}
+
+
 def leave_one_out(rows: DataFrame, normal: Normal, penalties: Sequence[float], x: str = "x", y: str = "y") -> list[float]:
-    """Mean squared leave-one-out error of each penalty, by the hat matrix's diagonal: one pass for all of them."""
-    gram, _, mean, _ = centred(normal)
-    values, vectors = np.linalg.eigh(gram)
-    models = ridge_path(normal, penalties)
-    z = F.zip_with(F.col(x), A.constant(mean), lambda a, b: a - b)
-    squared = F.array(*[A.dot(F.col("_z"), A.constant(v)) * A.dot(F.col("_z"), A.constant(v)) for v in vectors.T])
-    rows = rows.withColumn("_z", z).withColumn("_q", squared)
-    errors = []
-    for lam, m in zip(penalties, models, strict=True):
-        leverage = A.dot(F.col("_q"), A.constant(1 / (np.maximum(values, 0) + lam))) + 1 / normal.weight
-        e = (F.col(y) - m.predict(x)) / (1 - leverage)
-        errors.append(F.avg(e * e))
-    return list(rows.agg(*errors).first())
+    """Mean squared leave-one-out error of each penalty, by the hat matrix's diagonal: one pass for all of them, a product of
+    matrices a batch."""
+    found = left_out_errors(rows, {0: Basis.of(normal)}, penalties, lambda basis, row: True, x, y)
+    return found[0].tolist() if found else [float("nan")] * len(penalties)
 
 
 def block_ridge(rows: DataFrame, p: int, block_of: np.ndarray, presets: Sequence[Sequence[float]], penalties: Sequence[float], held: Column, x: str = "x", y: str = "y", rounds: int = 3) -> Linear:
@@ -280,7 +333,7 @@ def block_ridge(rows: DataFrame, p: int, block_of: np.ndarray, presets: Sequence
     train, everything, tested = both[0], total(both), rows.where(held)
     scale_of = lambda preset: 1 / np.sqrt(np.asarray(preset, float)[block_of])
     models = [m for preset in presets for m in ridge_path(train, penalties, scale_of(preset), centre=False)]
-    errors = [nmae for nmae, _ in scored(tested, models, x, y, float(both[1].moment[0] / both[1].weight))]
+    errors = [nmae for nmae, _ in scored(tested, models, x, y, float(both[1].mean[-1]))]
     best = int(np.argmin(errors))
     penalty, scale = penalties[best % len(penalties)], scale_of(presets[best // len(penalties)])
     gram, moment, level = about_mean(everything)

@@ -27,18 +27,13 @@ class Choice:
     columns: np.ndarray | None = None
 
 
-def part_of(normal: Normal, columns: np.ndarray) -> Normal:
-    at = np.r_[0, np.asarray(columns) + 1]
-    return Normal(normal.gram[np.ix_(at, at)], normal.moment[at], normal.squares)
-
-
 def best_of_choices(train: Normal, held: DataFrame, choices: Sequence[Choice], penalties: Sequence[float], x: str = "x", y: str = "y") -> list[tuple[float, float, Linear]]:
     """For each choice the least nmae on the held-out rows over the path of penalties, its penalty and its model. All models
     of all choices come from the sums of the training rows and are scored in one pass."""
-    p, models = len(train.moment) - 1, []
+    p, models = train.width, []
     for c in choices:
         columns = np.arange(p) if c.columns is None else c.columns
-        for m in ridge_path(part_of(train, columns), penalties, 1 / np.sqrt(c.multipliers[columns]), centre=False):
+        for m in ridge_path(train.columns(columns), penalties, 1 / np.sqrt(c.multipliers[columns]), centre=False):
             coef = np.zeros(p)
             coef[columns] = m.coef
             models.append(Linear(m.intercept, coef))
@@ -61,7 +56,7 @@ def ranking(coef: np.ndarray) -> np.ndarray:
 def sweep(train: Normal, held: DataFrame, multipliers: np.ndarray, penalties: Sequence[float], sizes: Sequence[int]) -> tuple[np.ndarray, list[tuple[int, float, float]]]:
     """The columns ranked by the weights of the best model of all of them; and for each size (number of first columns) its
     columns, nmae and penalty. The last row is of all columns."""
-    p = len(train.moment) - 1
+    p = train.width
     order = ranking(best_of_choices(train, held, [Choice("all", multipliers)], penalties)[0][2].coef)
     sizes = list(dict.fromkeys([*(min(k, p) for k in sizes), p]))
     found = best_of_choices(train, held, [Choice(str(k), multipliers, np.sort(order[:k])) for k in sizes], penalties)

@@ -14,6 +14,7 @@ from ..operators import gram as G
 from ..operators import joins as J
 from ..operators import linear as L
 from ..operators import metrics as M
+from ..operators import search as SEARCH
 from ..operators import selection as SEL
 from ..operators import splits as S
 from ..operators import transforms as T
@@ -261,12 +262,12 @@ def subject_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("new").alias("sessions"))
 
 
-def standard_design(spark: SparkSession, sf_dir: str, names: list[str] = FEATURES) -> DataFrame:
-    """The design of lineitem with columns less their mean and over their deviation plus 1e-8."""
+def standard_design(spark: SparkSession, sf_dir: str, names: list[str] = FEATURES, epsilon: float = 1e-8) -> DataFrame:
+    """The design of lineitem with columns less their mean and over their deviation plus epsilon."""
     rows = design(spark, sf_dir).withColumn("x", F.array(*[F.get("x", F.lit(FEATURES.index(c))) for c in names]))
     everything = G.normal_equations(rows, len(names))[0]
     gram, _, mean, _ = L.centred(everything)
-    scale = np.sqrt(np.diag(gram) / everything.weight) + 1e-8
+    scale = np.sqrt(np.diag(gram) / everything.weight) + epsilon
     at = [((F.get("x", F.lit(k)) - float(m)) / float(s)) for k, (m, s) in enumerate(zip(mean, scale, strict=True))]
     return rows.withColumn("x", F.array(*at))
 
@@ -440,9 +441,63 @@ def elastic_net_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ridge_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, lambdas = design(spark, sf_dir), [0.01, *L.LAMBDAS_D]
-    found = L.leave_one_out(rows, G.normal_equations(rows, 4)[0], lambdas)
-    return spark.createDataFrame([(float(lam), float(e)) for lam, e in zip(lambdas, found, strict=True)], "lambda double, mse double")
+    rows = design(spark, sf_dir)
+    found = L.leave_one_out(rows, G.normal_equations(rows, 4)[0], SEARCH.PENALTIES)
+    return spark.createDataFrame([(float(lam), float(e)) for lam, e in zip(SEARCH.PENALTIES, found, strict=True)], "lambda double, mse double")
+
+
+FOLD_PENALTIES = np.logspace(-3, 3, 25).tolist()
+
+
+@query(f"""WITH {ONE_SQL}, l AS (SELECT unnest({FOLD_PENALTIES})::DOUBLE AS penalty),
+s AS (SELECT sx / n AS m, sqrt(sxx / n - (sx / n) ^ 2) AS s FROM a), z AS (SELECT fold, (x - m) / s AS x, y FROM d, s),
+g AS (SELECT fold, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM z GROUP BY 1), h AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM g),
+t AS (SELECT fold, penalty, h.n - g.n AS n, h.sx - g.sx AS sx, h.sy - g.sy AS sy, h.sxx - g.sxx AS sxx, h.sxy - g.sxy AS sxy FROM g, h, l),
+m AS (SELECT fold, penalty, (sxy - sx * sy / n) / (sxx - sx * sx / n + penalty) AS w, sx, sy, n FROM t), c AS (SELECT fold, penalty, w, (sy - w * sx) / n AS b FROM m),
+e AS (SELECT penalty, avg((syy - 2 * b * sy - 2 * w * sxy + n * b * b + 2 * b * w * sx + w * w * sxx) / n) AS mse FROM c JOIN g USING (fold) GROUP BY 1)
+SELECT penalty, {r6('mse', 'mse')} FROM e""")
+def ridge_folds_one_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean squared errors over five folds of a standardised column, for each of 25 penalties."""
+    errors, _, _ = L.ridge_cv(standard_design(spark, sf_dir, FEATURES[:1], 0.0), 1, FOLD_PENALTIES, error=L.mse_of)
+    return rounded(spark.createDataFrame(list(zip(FOLD_PENALTIES, errors, strict=True)), "penalty double, mse double"), ["penalty"])
+
+
+#: A column between -1 and 1, as a correlation is, and a second one that passes.
+GATED_SQL = "g AS (SELECT (l_orderkey % 5)::INTEGER AS fold, (l_quantity::DOUBLE - 25.5::DOUBLE) / 24.5::DOUBLE AS c, l_extendedprice::DOUBLE / 1000 AS y FROM lineitem)"
+
+
+def gated_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return design(spark, sf_dir).withColumn("x", F.transform("x", lambda v, k: F.when(k == 0, (v - 25.5) / 24.5).otherwise(v)))
+
+
+_PER = "PARTITION BY strength, t.fold"
+
+
+@query(f"""WITH {GATED_SQL}, s AS (SELECT unnest({list(SEARCH.STRENGTHS)})::DOUBLE AS strength), l AS (SELECT unnest({list(SEARCH.PENALTIES)})::DOUBLE AS penalty),
+d AS (SELECT strength, fold, c * (1 + 0.6::DOUBLE * tanh(12 * (abs(c) - strength))) AS x, y FROM g, s),
+f AS (SELECT DISTINCT fold FROM g UNION ALL SELECT -1),
+m AS (SELECT strength, f.fold, count(*)::DOUBLE AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) / stddev_pop(x) * count(*) AS sxy FROM d JOIN f ON d.fold <> f.fold GROUP BY 1, 2),
+w AS (SELECT *, sxy / (n + penalty) AS w FROM m, l),
+e AS (SELECT w.strength, w.fold, penalty, avg(((d.y - my - w * (x - mx) / sx) / (1 - ((x - mx) / sx) ^ 2 / (n + penalty) - 1 / n)) ^ 2) AS e FROM d JOIN w ON d.strength = w.strength AND d.fold <> w.fold GROUP BY 1, 2, 3),
+b AS (SELECT strength, fold, arg_min(penalty, struct_pack(e := e, p := penalty)) AS penalty FROM e GROUP BY 1, 2),
+o AS (SELECT strength, fold, avg((d.y - my - w * (x - mx) / sx) ^ 2) AS e FROM d JOIN (SELECT * FROM w JOIN b USING (strength, fold, penalty)) USING (strength, fold) GROUP BY 1, 2),
+r AS (SELECT strength, avg(e) AS mse FROM o GROUP BY 1)
+SELECT strength, {r6('mse', 'mse')}, penalty, strength = (SELECT arg_min(strength, struct_pack(e := mse, s := strength)) FROM r) AS best FROM r JOIN b USING (strength) WHERE fold = -1""")
+def gate_search_one_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strength of a gate on one column: each fold's ridge chooses its penalty by leave-one-out errors of its training rows."""
+    rows = gated_design(spark, sf_dir).withColumn("x", F.slice("x", 1, 1))
+    return _searched(spark, SEARCH.nested_search(rows, 1, [SEARCH.Gate((0,), s) for s in SEARCH.STRENGTHS]))
+
+
+def _searched(spark: SparkSession, found: SEARCH.Found) -> DataFrame:
+    table = [(s, e, p, k == found.best) for k, (s, e, p) in enumerate(zip(SEARCH.STRENGTHS, found.errors, found.penalties, strict=True))]
+    return rounded(spark.createDataFrame(table, "strength double, mse double, penalty double, best boolean"), ["strength", "penalty", "best"])
+
+
+@query()
+def gate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with four columns, of which the first is gated."""
+    return _searched(spark, SEARCH.nested_search(gated_design(spark, sf_dir), 4, [SEARCH.Gate((0,), s) for s in SEARCH.STRENGTHS]))
 
 
 @query()

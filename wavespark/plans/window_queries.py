@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import longform as L
+from ..operators.ordered import ewma, ewma_filled
 from ..operators.quantiles import exact_quantiles, median
 from .fixtures import SECONDS_SQL, WINDOWS_SQL, channels, r6, rounded, seconds, windows
 
@@ -238,11 +239,20 @@ f AS (SELECT user_id, k, x, x AS level, 0::DOUBLE AS var FROM o WHERE k = 1
   FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1, (SELECT 0.5::DOUBLE ^ (1 / 8::DOUBLE) AS a))
 SELECT user_id, """ + ", ".join([r6("max_by(level, k)", "level"), r6("sqrt(max_by(var, k) + 1e-12::DOUBLE)", "std"), r6("max_by(x, k) - max_by(level, k)", "momentum")]) + " FROM f GROUP BY user_id")
 def ewma_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One subject's whole series is folded in its order: the array is the subject's row, as in the windows' own layout."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    series = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
-    x = F.transform("e", lambda e: e["value"].cast("double"))
-    return rounded(series.select("user_id", *[c.alias(k) for k, c in A.ewma(x, 8).items()]), ["user_id"])
+    """Of each subject's series, however long: a parallel scan of maps."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "value")
+    return rounded(ewma(events, "user_id", "ts", "event_id", "value", 8).drop("n"), ["user_id"])
+
+
+EWMA_SQL = ORACLE_SQL["ewma_recency"].split("SELECT user_id, round")[0]
+
+
+@query(EWMA_SQL + f"SELECT event_id, k AS place, {r6('level', 'level')}, {r6('var', 'var')} FROM (SELECT f.*, event_id FROM f JOIN (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) USING (user_id, k))")
+def ewma_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level and variance after every event of a subject."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "value")
+    found = ewma_filled(events, "user_id", "ts", "event_id", "value", 8)
+    return rounded(found.select("event_id", F.col("_place").cast("long").alias("place"), F.col("_level").alias("level"), F.col("_var").alias("var")), ["event_id", "place"])
 
 
 @query(f"""WITH {SECONDS_SQL}, t AS (SELECT row_id, v, 2 * pos / 63::DOUBLE - 1 AS t FROM s),
