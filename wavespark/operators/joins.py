@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ordered
@@ -46,6 +46,29 @@ def align(rows: DataFrame, names: Sequence[str], fill: float = float("nan")) ->
     return rows.select(*[F.col(f"`{c}`").cast("double").alias(c) if c in have else F.lit(fill).alias(c) for c in names])
 
 
+#: Columns whose presence one number tells.
+_BITS = 62
+
+
+def common_columns(rows: DataFrame, source: str | Column, names: Sequence[str]) -> list[str]:
+    """Those of names that have a value in every source, in the order given: one pass, in which each source's presence is a
+    few bitmaps. Only null is absence; rows of no source at all have no common columns."""
+    masks = []
+    for k in range(0, len(names), _BITS):
+        bits = [F.when(F.col(f"`{c}`").isNotNull(), F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j, c in enumerate(names[k : k + _BITS])]
+        masks.append(F.bit_or(sum(bits[1:], bits[0])).alias(f"m{k // _BITS}"))
+    if not masks:
+        return []
+    source = F.col(source) if isinstance(source, str) else source
+    found = rows.groupBy(source.alias("_source")).agg(*masks).agg(*[F.bit_and(f"m{k}") for k in range(len(masks))]).first()
+    return [c for k, c in enumerate(names) if (found[k // _BITS] or 0) >> (k % _BITS) & 1]
+
+
+def union_of_sources(rows: DataFrame, source: str | Column, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """The rows of all sources, which one scan gives with null for what a source lacks: keys and the columns that all have."""
+    return rows.select(*keys, *[F.col(f"`{c}`") for c in common_columns(rows, source, names)])
+
+
 def union_common(tables: Sequence[DataFrame]) -> DataFrame:
     """UNION ALL of the columns that all tables have, in the first one's order."""
     common = [c for c in tables[0].columns if all(c in t.columns for t in tables[1:])]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,14 +24,55 @@ def equal_parts(n: int, folds: int) -> list[int]:
 
 
 def shuffled(rows: DataFrame, n: int, folds: int = 5, seed: int = 0, key: str = "row_id") -> DataFrame:
-    """Folds of a legacy NumPy permutation of n rows, as other tools draw them; the permutation is made on the driver and
-    joined by row number, so it is meant for training tables."""
+    """Folds of a legacy NumPy permutation of n rows, as other tools draw them. The permutation is made on the driver and goes
+    out as one small number a row, so it is meant for training tables; permuted() has no such bound. Rows whose key is no row
+    number are left out."""
     order = np.random.RandomState(seed).permutation(n)
-    fold = np.empty(n, np.int64)
+    fold = np.empty(n, np.min_scalar_type(-folds))
     for k, part in enumerate(np.array_split(order, folds)):
         fold[part] = k
-    table = rows.sparkSession.createDataFrame(list(zip(range(n), fold.tolist(), strict=True)), f"{key} long, fold int")
-    return rows.join(table, key)
+    shared = rows.sparkSession.sparkContext.broadcast(fold)
+
+    @F.arrow_udf("int")
+    def fold_of_row(row: pa.Array) -> pa.Array:
+        return pa.array(shared.value[row.to_numpy(zero_copy_only=False)], pa.int32())
+
+    return rows.where((F.col(key) >= 0) & (F.col(key) < n)).withColumn("fold", fold_of_row(F.col(key).cast("long")))
+
+
+def permutation(values: np.ndarray, n: int, seed: int, rounds: int = 4) -> np.ndarray:
+    """Where a keyed permutation of 0..n-1 puts each value: Feistel rounds on the least even number of bits that holds n - 1,
+    repeated for results of n or more until they are below it, which a permutation's cycles reach."""
+    half = max(1, -(-int(n - 1).bit_length() // 2))
+    mask, keys = np.uint64((1 << half) - 1), np.random.SeedSequence(seed).generate_state(rounds, np.uint64)
+
+    def once(v: np.ndarray) -> np.ndarray:
+        left, right = v >> np.uint64(half), v & mask
+        for k in keys:
+            x = (right + k) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((x ^ (x >> np.uint64(32))) & mask)
+        return (left << np.uint64(half)) | right
+
+    out = once(values.astype(np.uint64))
+    while (over := out >= n).any():
+        out[over] = once(out[over])
+    return out.astype(np.int64)
+
+
+def permuted(rows: DataFrame, n: int, folds: int = 5, seed: int = 0, key: str = "row_id") -> DataFrame:
+    """Folds of a shuffle of the row numbers 0..n-1 whose sizes differ by one at most, from each row's number alone: no
+    permutation is stored, and nothing is shuffled. Rows whose key is no row number are left out."""
+    least, larger = divmod(n, folds)
+
+    @F.arrow_udf("int")
+    def fold_of_row(row: pa.Array) -> pa.Array:
+        place = permutation(row.to_numpy(zero_copy_only=False), n, seed)
+        head = larger * (least + 1)
+        fold = np.where(place < head, place // (least + 1), larger + (place - head) // max(least, 1))
+        return pa.array(fold, pa.int32())
+
+    return rows.where((F.col(key) >= 0) & (F.col(key) < n)).withColumn("fold", fold_of_row(F.col(key).cast("long")))
 
 
 def hashed(rows: DataFrame, folds: int = 5, seed: int = 0, key: str = "row_id") -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .gram import Normal
 from .quantiles import exact_quantiles
 
 
@@ -115,14 +116,20 @@ def _spreads(batches: Iterator[pa.RecordBatch], grids: dict[str, np.ndarray]) ->
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["c", "j", "n", "mean", "square", "logs"])
 
 
+def _combined(group: pa.Table) -> pa.Table:
+    """Batches' counts, means and squared distances as one: about the common mean, so that nothing large is subtracted."""
+    n, mean = group["n"].to_numpy(), group["mean"].to_numpy()
+    apart = mean - n @ mean / n.sum()
+    square = float(group["square"].to_numpy().sum() + n @ (apart * apart))
+    return pa.table({"c": group["c"][:1], "j": group["j"][:1], "n": [int(n.sum())], "square": [square], "logs": [float(group["logs"].to_numpy().sum())]})
+
+
 def power_likelihoods(rows: DataFrame, grids: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The mean log likelihood of each Yeo-Johnson parameter of each column's grid, all from one pass over the rows; -inf
     where the transformed column is constant."""
     slim = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in grids])
     parts = slim.mapInArrow(lambda batches: _spreads(batches, grids), "c string, j long, n long, mean double, square double, logs double")
-    total = F.sum(F.col("n") * F.col("mean"))
-    within = F.sum(F.col("square") + F.col("n") * F.col("mean") * F.col("mean")) - total * total / F.sum("n")
-    found = parts.groupBy("c", "j").agg(F.sum("n").alias("n"), within.alias("square"), F.sum("logs").alias("logs")).collect()
+    found = parts.groupBy("c", "j").applyInArrow(_combined, "c string, j long, n long, square double, logs double").collect()
     out = {c: np.full(len(grid), -np.inf) for c, grid in grids.items()}
     for r in found:
         if r["square"] > 0:
@@ -130,18 +137,106 @@ def power_likelihoods(rows: DataFrame, grids: dict[str, np.ndarray]) -> dict[str
     return out
 
 
-def fit_yeo_johnson(rows: DataFrame, names: Sequence[str], low: float = -4.0, high: float = 6.0, rounds: int = 5, steps: int = 9) -> dict[str, float]:
-    """The parameter of most likelihood for each column. All columns are searched at once on grids that close in: each
-    round is one pass that sums, for every column and grid point, what the likelihood needs."""
-    bounds = {c: (low, high) for c in names}
-    best: dict[str, float] = {}
+def _bends(u: np.ndarray, lam: float) -> np.ndarray:
+    """(exp(lam u) - 1) / lam of u = ln(1 + v) >= 0, and its first two derivatives by lam: columns."""
+    small = np.abs(lam * u) < 0.5
+    out = np.empty((len(u), 3))
+    s = u[small]
+    if len(s):
+        # The power series; its k-th term is u (lam u)^k / (k + 1)!.
+        value, first, second = np.zeros((3, len(s)))
+        factor = s.copy()  # u^(k + 1) / (k + 1)!
+        for k in range(18):
+            value += factor * lam**k
+            first += factor * (k * lam ** (k - 1) if k > 0 else 0.0)
+            second += factor * (k * (k - 1) * lam ** (k - 2) if k > 1 else 0.0)
+            factor = factor * s / (k + 2)
+        out[small] = np.column_stack([value, first, second])
+    b = u[~small]
+    if len(b):
+        grown = np.exp(lam * b)
+        value = (grown - 1) / lam
+        first = (b * grown - value) / lam
+        out[~small] = np.column_stack([value, first, (b * b * grown - 2 * first) / lam])
+    return out
+
+
+def _derivatives(v: np.ndarray, lam: float) -> np.ndarray:
+    """Yeo-Johnson values of v and their first two derivatives by the parameter: columns."""
+    out = np.empty((len(v), 3))
+    up = v >= 0
+    out[up] = _bends(np.log1p(v[up]), lam)
+    out[~up] = _bends(np.log1p(-v[~up]), 2 - lam) * np.array([-1.0, 1.0, -1.0])
+    return out
+
+
+def _curves(batches: Iterator[pa.RecordBatch], at: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """Of all rows of a task, a row a column: weight, means and spread of the values and their derivatives, and the sum of
+    signed logs."""
+    sums: dict[str, Normal] = {}
+    logs = dict.fromkeys(at, 0.0)
+    for batch in batches:
+        for k, (c, lam) in enumerate(at.items()):
+            v = batch.column(k).to_numpy(zero_copy_only=False).astype(float)
+            v = v[np.isfinite(v)]
+            if len(v):
+                part = Normal.of(_derivatives(v, lam), np.ones(len(v)))
+                sums[c] = sums[c] + part if c in sums else part
+                logs[c] += float((np.sign(v) * np.log1p(np.abs(v))).sum())
+    out = [(c, n.weight, n.mean.tolist(), n.spread.ravel().tolist(), logs[c]) for c, n in sums.items()]
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["c", "n", "mean", "spread", "logs"])
+
+
+def _added(group: pa.Table) -> pa.Table:
+    out = None
+    for r in group.to_pylist():
+        part = Normal(r["n"], np.array(r["mean"]), np.array(r["spread"]).reshape(3, 3))
+        out = part if out is None else out + part
+    return pa.table({"c": group["c"][:1], "n": [out.weight], "mean": [out.mean.tolist()], "spread": [out.spread.ravel().tolist()], "logs": [sum(group["logs"].to_pylist())]})
+
+
+def power_slopes(rows: DataFrame, at: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """The first and second derivative of each column's mean log likelihood at a Yeo-Johnson parameter, from one pass. The
+    variances and covariances in them are combined from tasks' own, about their means. (0, 0) where a column is constant."""
+    slim = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in at])
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    schema = "c string, n double, mean array<double>, spread array<double>, logs double"
+    parts = slim.coalesce(cores).mapInArrow(lambda batches: _curves(batches, at), schema)
+    out = dict.fromkeys(at, (0.0, 0.0))
+    for r in parts.groupBy("c").applyInArrow(_added, schema).collect():
+        n, s = r["n"], np.array(r["spread"]).reshape(3, 3)
+        var = s[0, 0] / n
+        if var > 1e-300 and var > 1e-24 * r["mean"][0] ** 2:
+            slope, bend = 2 * s[0, 1] / n, 2 * (s[1, 1] + s[0, 2]) / n
+            out[r["c"]] = float(-slope / var / 2 + r["logs"] / n), float(-(bend / var - (slope / var) ** 2) / 2)
+    return out
+
+
+def fit_yeo_johnson(rows: DataFrame, names: Sequence[str], rounds: int = 60, tol: float = 1e-10) -> dict[str, float]:
+    """The parameter of most likelihood for each column, wherever it is: Newton steps for all columns at once, one pass a
+    round, until every derivative is below tol. A step that leaves what is known of a maximum's place is halved into it. A
+    constant column keeps 1. Persist rows that are costly to make."""
+    lam = dict.fromkeys(names, 1.0)
+    low, high, open_ = dict.fromkeys(names, -np.inf), dict.fromkeys(names, np.inf), dict(lam)
     for _ in range(rounds):
-        grids = {c: np.linspace(a, b, steps) for c, (a, b) in bounds.items()}
-        for c, score in power_likelihoods(rows, grids).items():
-            at = int(score.argmax())
-            best[c] = float(grids[c][at])
-            bounds[c] = float(grids[c][max(0, at - 1)]), float(grids[c][min(steps - 1, at + 1)])
-    return best
+        for c, (slope, bend) in power_slopes(rows, open_).items():
+            if abs(slope) < tol:
+                del open_[c]
+                continue
+            (low if slope > 0 else high)[c] = lam[c]
+            step = -slope / bend if bend < 0 else np.sign(slope) * np.inf
+            reach = 2 + abs(lam[c])
+            new = lam[c] + float(np.clip(step, -reach, reach))
+            if not low[c] < new < high[c]:
+                new = (low[c] + high[c]) / 2
+            if new in (low[c], high[c]) or new == lam[c]:
+                del open_[c]  # no number lies between
+                continue
+            lam[c] = open_[c] = float(new)
+        if not open_:
+            break
+    return lam
 
 
 def power_transform(rows: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, float], Standard]:

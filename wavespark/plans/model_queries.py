@@ -500,11 +500,53 @@ def gate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched(spark, SEARCH.nested_search(gated_design(spark, sf_dir), 4, [SEARCH.Gate((0,), s) for s in SEARCH.STRENGTHS]))
 
 
-@query()
+#: Derivative of the mean log likelihood by the parameter l, of the distinct values (name, v, n), by the closed forms.
+_UP, _DOWN = "ln(1 + v)", "ln(1 - v)"
+_VALUE = f"CASE WHEN v >= 0 THEN (exp(l * {_UP}) - 1) / l ELSE -(exp((2 - l) * {_DOWN}) - 1) / (2 - l) END"
+_SLOPE = f"CASE WHEN v >= 0 THEN ({_UP} * exp(l * {_UP}) - (exp(l * {_UP}) - 1) / l) / l ELSE ({_DOWN} * exp((2 - l) * {_DOWN}) - (exp((2 - l) * {_DOWN}) - 1) / (2 - l)) / (2 - l) END"
+
+
+@query("WITH RECURSIVE u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, {c}::DOUBLE AS v, count(*)::DOUBLE AS n FROM lineitem GROUP BY 2" for c in FEATURES) + f"""),
+b AS (SELECT name, 0 AS k, -60.1::DOUBLE AS lo, 60.3::DOUBLE AS hi FROM (SELECT DISTINCT name FROM u)
+  UNION ALL SELECT name, any_value(k) + 1, any_value(CASE WHEN d > 0 THEN l ELSE lo END), any_value(CASE WHEN d > 0 THEN hi ELSE l END) FROM (
+    SELECT name, k, lo, hi, l, -(sum(n * (t - mt) * (s - ms)) / sum(n)) / (sum(n * (t - mt) ^ 2) / sum(n)) + sum(n * sign(v) * ln(1 + abs(v))) / sum(n) AS d FROM (
+      SELECT *, sum(n * t) OVER o / sum(n) OVER o AS mt, sum(n * s) OVER o / sum(n) OVER o AS ms FROM (
+        SELECT *, {_VALUE} AS t, {_SLOPE} AS s FROM (SELECT b.name, k, lo, hi, (lo + hi) / 2 AS l, v, n FROM b JOIN u USING (name) WHERE k < 50)) WINDOW o AS (PARTITION BY name)) GROUP BY name, k, lo, hi, l) GROUP BY name)
+SELECT name, {r6('(lo + hi) / 2', 'lambda', 5)}, {r6('0', 'slope', 7)} FROM b WHERE k = 50""")
 def yeo_johnson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    """Each column's parameter, and the derivative of its likelihood there, which is zero."""
+    li = table(spark, sf_dir, "lineitem").select(*FEATURES).persist()
     found = T.fit_yeo_johnson(li, FEATURES)
-    return spark.createDataFrame(list(found.items()), "name string, lambda double")
+    slopes = T.power_slopes(li, found)
+    li.unpersist()
+    return spark.createDataFrame([(c, round(lam, 5) + 0.0, round(slopes[c][0], 7) + 0.0) for c, lam in found.items()], "name string, lambda double, slope double")
+
+
+@query("SELECT k::INTEGER AS fold, n // 5 + (k < n % 5)::INTEGER AS n, n // 5 + (k < n % 5)::INTEGER AS distinct_rows FROM (SELECT count(*) AS n FROM events), (SELECT unnest(range(0, 5)) AS k)")
+def permuted_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of five folds of a shuffle of the events' numbers, each of which is in one fold."""
+    e = events(spark, sf_dir)
+    bounds = e.agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).first()
+    if bounds["low"] is None:
+        return spark.createDataFrame([], "fold int, n long, distinct_rows long")
+    rows = e.select((F.col("event_id") - bounds["low"]).alias("row_id"))
+    return S.permuted(rows, bounds["high"] - bounds["low"] + 1).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("distinct_rows"))
+
+
+#: What a source of subjects lacks: of the columns of lineitem taken as a source each for seven suppliers' remainders.
+LACKS = {"l_quantity": 3, "l_tax": 5}
+
+
+@query("WITH d AS (SELECT l_orderkey, l_linenumber, l_suppkey % 7 AS source, " + ", ".join(f"CASE WHEN l_suppkey % 7 <> {LACKS.get(c, -1)} THEN {c}::DOUBLE END AS {c}" for c in FEATURES) + " FROM lineitem), u AS (" + " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, source, '{c}' AS name, {c} AS value FROM d" for c in FEATURES) + """),
+c AS (SELECT name FROM (SELECT name, source, count(value) AS n FROM u GROUP BY 1, 2) GROUP BY 1 HAVING min(n) > 0)
+SELECT l_orderkey, l_linenumber, name, value FROM u WHERE name IN (SELECT name FROM c)""")
+def subject_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of seven sources, two of which lack a column, with the columns that all have, in long form."""
+    li = table(spark, sf_dir, "lineitem")
+    source = F.col("l_suppkey") % 7
+    rows = li.select(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), source.alias("source"), *[F.when(source != LACKS.get(c, -1), F.col(c).cast("double")).alias(c) for c in FEATURES])
+    found = J.union_of_sources(rows, "source", ["order", "line"], FEATURES)
+    return found.unpivot(["order", "line"], found.columns[2:], "name", "value").withColumnsRenamed({"order": "l_orderkey", "line": "l_linenumber"})
 
 
 @query()

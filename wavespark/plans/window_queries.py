@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions import tables
 from ..operators import longform as L
 from ..operators.ordered import ewma, ewma_filled
 from ..operators.quantiles import exact_quantiles, median
@@ -359,3 +360,25 @@ def representative_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = rows.where((F.col("std") > low) & (F.col("most") < 5) & (F.col("skin") > 1e-6))
     near = fine.withColumn("distance", F.abs(F.col("target") - F.lit(median(fine, F.col("target")))))
     return rounded(near.orderBy("distance", "row_id").limit(1).select("row_id", "target", "distance", "std"), ["row_id"])
+
+
+@query(f"""WITH {WINDOWS_SQL}, k AS (SELECT unnest(range(0, 8)) AS k)
+SELECT row_id, k::INTEGER AS k, {r6('avg(v)', 'mean')}, {r6('stddev_pop(v)', 'std')}, {r6('sum(v * v)', 'energy')} FROM w JOIN k ON pos BETWEEN 64 * k AND 64 * k + 191 GROUP BY 1, 2""")
+def sub_window_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-second stretches of each window, a second apart, by a table function in SQL."""
+    tables.register(spark)
+    stats = "transform(part, x -> named_struct('v', x))"
+    found = spark.sql(f"""SELECT row_id, k, avg(v) AS mean, stddev_pop(v) AS std, sum(v * v) AS energy FROM (
+        SELECT row_id, k, inline({stats}) FROM {{w}}, LATERAL sub_windows(w, 192, 64) WHERE k < 8) GROUP BY row_id, k""", w=windows(spark, sf_dir))
+    return rounded(found, ["row_id", "k"])
+
+
+@query(f"""WITH {SECONDS_SQL}, h AS (SELECT row_id, pos, (v - avg(v) OVER (PARTITION BY row_id)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * pos / 63)) AS x FROM s),
+k AS (SELECT 40 + 10 * unnest(range(0, 18)) AS bpm), p AS (SELECT row_id, bpm, sum(x * cos(2 * pi() * bpm / 60 * pos / 64)) ^ 2 + sum(x * sin(2 * pi() * bpm / 60 * pos / 64)) ^ 2 AS p FROM h, k GROUP BY 1, 2),
+q AS (SELECT *, p / (sum(p) OVER (PARTITION BY row_id) + 1e-20::DOUBLE) AS share FROM p)
+SELECT row_id, {r6('bpm', 'bpm')}, {r6('p', 'power')}, {r6('share', 'share')} FROM q""")
+def evidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The power of each second's samples at 18 candidate rates, by a table function in SQL."""
+    tables.register(spark)
+    found = spark.sql("SELECT row_id, bpm, power, share FROM {w}, LATERAL evidence(w, 64.0D, 40.0D, 210.0D, 10.0D)", w=seconds(spark, sf_dir))
+    return rounded(found, ["row_id"])

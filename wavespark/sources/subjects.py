@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import io
+import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.physio import RATES, WINDOW_SECONDS
 
@@ -31,29 +34,106 @@ def _batch(sid: np.ndarray, ts: np.ndarray, glucose: np.ndarray, channels: dict[
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
-def _archives(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as z:
-                have = set(z.files)
+# ------------------------------------------------------------------ archives
+
+
+class Member:
+    """An array in an archive, read forwards: rows(n) gives the next n of it. Of a compressed member only what is read is
+    inflated, of a plain one the start is a seek, so neither is ever in memory whole."""
+
+    def __init__(self, archive: zipfile.ZipFile, name: str):
+        self.stream = archive.open(f"{name}.npy")
+        version = np.lib.format.read_magic(self.stream)
+        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        self.shape, columns_first, self.dtype = read(self.stream)
+        if self.dtype.hasobject or (columns_first and len(self.shape) > 1):
+            raise ValueError(f"{name}: only plain arrays in row order can be read in parts")
+        self.start, self.width = self.stream.tell(), int(np.prod(self.shape[1:], dtype=np.int64)) * self.dtype.itemsize
+
+    def skip(self, rows: int) -> Member:
+        # Seeking forwards inflates and drops, where a member is compressed.
+        self.stream.seek(self.start + rows * self.width)
+        return self
+
+    def rows(self, n: int) -> np.ndarray:
+        content = self.stream.read(n * self.width)
+        if len(content) != n * self.width:
+            raise ValueError(f"{self.stream.name}: ends early")
+        return np.frombuffer(content, self.dtype).reshape(n, *self.shape[1:])
+
+
+@dataclass
+class Rows(InputPartition):
+    path: str
+    start: int
+    stop: int
+
+
+def _opened(path: str) -> tuple[pa.NativeFile, zipfile.ZipFile]:
+    """A file by path or URI, of any file system that Arrow knows, and the archive in it; only what is asked is fetched."""
+    system, name = pa_fs.FileSystem.from_uri(path) if "://" in path else (pa_fs.LocalFileSystem(), path)
+    file = system.open_input_file(name)
+    return file, zipfile.ZipFile(file)
+
+
+class ArchiveReader(DataSourceReader):
+    def __init__(self, folder: str, rows: int, rows_per_task: int):
+        self.folder, self.rows, self.rows_per_task = folder, rows, rows_per_task
+
+    def partitions(self) -> list[Rows]:
+        """Only the archives' directories and one array's header each are read here."""
+        remote = "://" in self.folder
+        system, name = pa_fs.FileSystem.from_uri(self.folder) if remote else (pa_fs.LocalFileSystem(), self.folder)
+        found = system.get_file_info(pa_fs.FileSelector(name)) if system.get_file_info(name).type == pa_fs.FileType.Directory else [system.get_file_info(name)]
+        base = self.folder.split("://", 1)[0] + "://" if remote else ""
+        out = []
+        for path in sorted(base + f.path for f in found if f.is_file and f.path.endswith(".npz")):
+            file, archive = _opened(path)
+            with file, archive:
+                have = {n.removesuffix(".npy") for n in archive.namelist()}
                 first = next((k for k in ("glucose", "subject_id", "timestamp", "e4_hr", "e4_eda") if k in have), None)
                 if first is None:
                     raise ValueError(f"{path}: no member gives the number of windows")
-                n = len(z[first])
-                sid = z["subject_id"] if "subject_id" in have else np.array([path] * n)
-                ts = z["timestamp"] if "timestamp" in have else np.arange(n)
-                glucose = z["glucose"] if "glucose" in have else np.full(n, np.nan)
-                found = {c: z[c] for c in WIDTHS if c in have}
-            for k in range(0, n, rows):
-                part = slice(k, k + rows)
-                yield _batch(sid[part], ts[part], glucose[part], {c: v[part] for c, v in found.items()})
-
-
-def read_archives(spark: SparkSession, folder: str, rows: int = 16) -> DataFrame:
-    """One row a window of the .npz archives in a folder, and file, its archive's path; channels that an archive lacks are
-    null. An archive is read whole by one task, so tables are best written as Parquet once and read from there."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(folder)
-    return files.select("path", "content").mapInArrow(lambda batches: _archives(batches, rows), SCHEMA)
+                n = Member(archive, first).shape[0]
+            out += [Rows(path, k, min(k + self.rows_per_task, n)) for k in range(0, n, self.rows_per_task)]
+        return out
+
+    def read(self, partition: Rows | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without archives
+            return
+        file, archive = _opened(partition.path)
+        with file, archive:
+            have = {n.removesuffix(".npy") for n in archive.namelist()}
+            members = {c: Member(archive, c).skip(partition.start) for c in ("subject_id", "timestamp", "glucose", *WIDTHS) if c in have}
+            for start in range(partition.start, partition.stop, self.rows):
+                n = min(self.rows, partition.stop - start)
+                part = {c: m.rows(n) for c, m in members.items()}
+                sid = part.pop("subject_id", np.array([partition.path] * n))
+                ts, glucose = part.pop("timestamp", np.arange(start, start + n)), part.pop("glucose", np.full(n, np.nan))
+                yield _batch(sid, ts, glucose, part)
+
+
+class ArchiveSource(DataSource):
+    """spark.read.format("window_archives").load(folder): windows of the .npz archives in a folder, or of one archive."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "window_archives"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> ArchiveReader:
+        return ArchiveReader(self.options["path"], int(self.options.get("rows", 16)), int(self.options.get("rows_per_task", 512)))
+
+
+def read_archives(spark: SparkSession, folder: str, rows: int = 16, rows_per_task: int = 512) -> DataFrame:
+    """One row a window of the .npz archives in a folder; channels that an archive lacks are null, and where it names no
+    subject its path does. Archives are split: a task reads rows_per_task windows of one, member by member, rows at a
+    time, so an archive of any size is read by as many tasks as its windows fill. A member that is compressed is inflated up
+    to the task's last window; write archives plain, or tables as Parquet, where that matters."""
+    spark.dataSource.register(ArchiveSource)
+    return spark.read.format("window_archives").option("rows", rows).option("rows_per_task", rows_per_task).load(folder)
 
 
 def _made_up(batches: Iterator[pa.RecordBatch], windows: int, seed: int) -> Iterator[pa.RecordBatch]:
