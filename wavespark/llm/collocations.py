@@ -30,7 +30,9 @@ LEAST_BITS, MOST_BITS = 1 << 23, 1 << 28
 #: Shares of what is asked of one word, and of one language.
 SALT = 16
 
-GRAMS = "lang string, gram string, key long, f long"
+#: A phrase with its language in front, so that a row that is shuffled has one string: no word holds the mark between them.
+MARK = "\t"
+COUNTS = pa.schema([("gram", pa.string()), ("f", pa.int64())])
 
 
 def pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -55,18 +57,28 @@ def _database(memory_mb: int):
 
 
 def summed(batches: Iterator[pa.RecordBatch], least: int, memory_mb: int) -> Iterator[pa.RecordBatch]:
-    """Sums f by lang and gram out of core, of rows that stream through the database; phrases of fewer than least go."""
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("key", pa.int64()), ("f", pa.int64())])
+    """Sums f by gram out of core, of rows that stream through the database; phrases of fewer than least go."""
     db, scratch = _database(memory_mb)
     try:
-        db.register("grams", pa.RecordBatchReader.from_batches(schema, (b.cast(schema) for b in batches)))
-        found = db.sql(f"SELECT lang, gram, any_value(key) AS key, sum(f)::BIGINT AS f FROM grams GROUP BY lang, gram HAVING sum(f) >= {least}")
-        yield from (b.cast(schema) for b in found.to_arrow_reader(1 << 16))
+        db.register("grams", pa.RecordBatchReader.from_batches(COUNTS, (b.cast(COUNTS) for b in batches)))
+        found = db.sql(f"SELECT gram, sum(f)::BIGINT AS f FROM grams GROUP BY gram HAVING sum(f) >= {least}")
+        yield from (b.cast(COUNTS) for b in found.to_arrow_reader(1 << 16))
     finally:
         db.close()
         shutil.rmtree(scratch, ignore_errors=True)
 
 
+def _keyed(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """Counted phrases of the length as lang, gram, key and f."""
+    parts = pc.split_pattern(batch.column(0), MARK, max_splits=1, reverse=True)
+    lang, gram = pc.list_element(parts, 0), pc.list_element(parts, 1)
+    words = pc.split_pattern(gram, " ")
+    keys = _hashes(lang)
+    for k in range(length):
+        keys = _mixed(keys, _hashes(pc.list_element(words, k)))
+    return pa.RecordBatch.from_arrays([lang, gram, pa.array(keys.view(np.int64)), batch.column(1)], ["lang", "gram", "key", "f"])
+
+
 def _mixed(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Keys of phrases one word longer, from theirs and the last word's (all uint64). Keys only serve as filters."""
     keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words
@@ -81,27 +93,24 @@ def _hashes(strings: pa.Array) -> np.ndarray:
 
 
 def _phrases(batch: pa.RecordBatch, length: int, frequent: np.ndarray | None) -> pa.RecordBatch:
-    """Every phrase of the length in a batch of pieces (lang, piece, times), both of whose parts of one word less may be
-    frequent by the filter. Repeats are not added up yet."""
+    """Every phrase of the length, language in front, in a batch of pieces (lang, piece, times), both of whose parts of one
+    word less may be frequent by the filter. Repeats are not added up yet."""
     lang, piece, times = batch.columns
     split = pc.split_pattern(piece, " ")
     words, ends = split.flatten(), np.cumsum(pc.list_value_length(split).to_numpy())
     owner = np.repeat(np.arange(len(batch)), pc.list_value_length(split).to_numpy())
-    of_word = _hashes(words)
-    keys = _mixed(_hashes(lang)[owner], of_word)
     here = np.arange(len(words))
     if length > 1:
+        of_word = _hashes(words)
+        keys = _mixed(_hashes(lang)[owner], of_word)
         for k in range(1, length - 1):
             keys = _mixed(keys[:-1], of_word[k:])
         likely = _holds(frequent, keys)  # those of phrases that run over a piece's end mean nothing
         here = here[: len(likely) - 1]
         here = here[likely[:-1] & likely[1:] & (ends[owner[here]] - here >= length)]
-        keys = _mixed(keys[here], of_word[here + length - 1])
-    gram = words.take(pa.array(here))
-    if length > 1:
-        gram = pc.binary_join_element_wise(*[words.take(pa.array(here + k)) for k in range(length)], " ")
     rows = pa.array(owner[here])
-    return pa.RecordBatch.from_arrays([lang.take(rows), gram, pa.array(keys.view(np.int64)), times.take(rows)], ["lang", "gram", "key", "f"])
+    gram = pc.binary_join_element_wise(*[words.take(pa.array(here + k)) for k in range(length)], " ")
+    return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lang.take(rows), gram, MARK), times.take(rows)], schema=COUNTS)
 
 
 def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -143,9 +152,12 @@ def frequent_phrases(found: DataFrame, length: int, least: int = LEAST, shorter:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return summed((_phrases(p, length, known and known.value) for b in batches for p in _portions(b)), 1, memory_mb)
 
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (_keyed(b, length) for b in summed(batches, least, memory_mb))
+
     slim = found.where(F.col("words") >= length).select("lang", "piece", "times")
-    partial = slim.mapInArrow(count, GRAMS)
-    return partial.repartition("lang", "gram").mapInArrow(lambda batches: summed(batches, least, memory_mb), GRAMS)
+    partial = slim.mapInArrow(count, "gram string, f long")
+    return partial.repartition("gram").mapInArrow(add_up, "lang string, gram string, key long, f long")
 
 
 def _words(phrase: str, start: Column | int, count: Column | int) -> Column:
