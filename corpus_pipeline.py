@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wavespark.llm import exact_dedup, langid, near_copies, packing, tiling
 from wavespark.llm.common import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text in any language go."""
+    """Documents that are in no language of the corpus go: those without letters, and those whose n-grams no language's filter
+    accounts for."""
     return langid.identified(docs, langid.fit(docs))
 
 
@@ -26,13 +28,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover a benchmark item go."""
+    """Documents that cover a benchmark item go. Null and empty texts cover none, repeated rows share their fate; without items,
+    or documents, nothing happens."""
     return tiling.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, dealt to sequences: a row for each piece of a document."""
-    return packing.pack(docs)
+    """What is left, dealt to sequences by its tokens and one for each document's end: a row for each piece of a document.
+    Null and empty texts, and repeated rows, are as in packing.pack; an empty table gives no rows."""
+    return packing.pack(packing.token_counts(docs), tokens=F.col("n") + 1)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

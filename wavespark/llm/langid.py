@@ -20,6 +20,11 @@ SAMPLE_PER_LANG = 2000
 #: An n-gram is put in a language's filter if it is in this share of the language's sampled documents at least: rarer
 #: ones are mostly quotations, names and copies of other languages.
 LEAST_SHARE = 0.01
+#: Scripts that put no space between words (ranges of code points, south-east Asian and east Asian): single letters and
+#: pairs of them are n-grams, too, as longer ones hardly ever recur.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+#: The pipeline rejects a text of which the filters know less than this share of the n-grams.
+LEAST_KNOWN = 0.1
 #: Slots of the filters and hashes of an n-gram. Each slot holds one bit for each language, in words of WORD bits.
 SLOTS, HASHES, WORD = 1 << 20, 3, 64
 #: Characters handled at a time, so that a text of any length needs a fixed amount of memory.
@@ -38,9 +43,27 @@ def lettered(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def _mixed(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ points.astype(np.uint64)) * _MIX
+    return hashes ^ (hashes >> np.uint64(29))
+
+
+def _short(points: np.ndarray, seen: int) -> Iterator[np.ndarray]:
+    """Hashes of single letters and pairs of unspaced scripts that end after the first seen points."""
+    unspaced = np.zeros(len(points), bool)
+    for low, high in UNSPACED:
+        unspaced |= (points >= low) & (points <= high)
+    if unspaced.any():
+        one = _mixed(np.full(len(points), 1, np.uint64), points)
+        yield one[seen:][unspaced[seen:]]
+        start = max(seen - 1, 0)
+        pair = _mixed(_mixed(np.full(max(len(points) - 1, 0), 2, np.uint64), points[:-1]), points[1:])
+        yield pair[start:][unspaced[start:-1] & unspaced[start + 1 :]]
+
+
 def grams(text: str, n: int = GRAM) -> Iterator[np.ndarray]:
     """Hashes of the n-grams of the lower-cased text, repeats included, in pieces. Runs of anything but letters count as
-    one space; so do both ends. N-grams of more than one word are left out."""
+    one space; so do both ends. N-grams of more than one word are left out; of unspaced scripts there are shorter ones, too."""
     tail = np.zeros(1, np.uint32)
     for k in range(0, len(text), CHUNK):
         points = np.frombuffer(text[k : k + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -49,7 +72,8 @@ def grams(text: str, n: int = GRAM) -> Iterator[np.ndarray]:
             points = np.r_[points, np.zeros(1, np.uint32)]
         keep = np.ones(len(points), bool)
         keep[1:] = (points[1:] != 0) | (points[:-1] != 0)
-        points = points[keep]
+        points, seen = points[keep], len(tail)
+        yield from _short(points, seen)
         tail = points[-(n - 1) :]
         if len(points) < n:
             tail = points
@@ -58,8 +82,7 @@ def grams(text: str, n: int = GRAM) -> Iterator[np.ndarray]:
         inner = np.zeros(len(hashes), bool)
         for j in range(n):
             at = points[j : j + len(hashes)]
-            hashes = (hashes ^ at.astype(np.uint64)) * _MIX
-            hashes ^= hashes >> np.uint64(29)
+            hashes = _mixed(hashes, at)
             if 0 < j < n - 1:
                 inner |= at == 0
         yield hashes[~inner]
@@ -100,17 +123,22 @@ class LanguageFilters:
                 found[k] += np.count_nonzero(mask[:, k // WORD] & np.uint64(1 << k % WORD))
         return found, total
 
-    def predict(self, text: str | None, rates: np.ndarray) -> tuple[str, float]:
+    def judge(self, text: str | None, rates: np.ndarray) -> tuple[str, float, float]:
+        """The language, its share of all languages' counts, and the share of the text's n-grams that it accounts for (1 for a
+        text with letters but no n-grams, or if nothing could be learned: nothing speaks against such a text)."""
         if not lettered(text):
-            return "und", 0.0
+            return "und", 0.0, 0.0
         if not self.langs:
-            return "und", 0.0
+            return "und", 0.0, 1.0
         found, total = self.counts(text)
         true = np.clip((found - total * rates) / np.maximum(1 - rates, 1e-9), 0, None)
         if not true.sum():
-            return self.usual, 0.0
+            return self.usual, 0.0, 0.0 if total else 1.0
         best = int(true.argmax())
-        return self.langs[best], float(true[best] / true.sum())
+        return self.langs[best], float(true[best] / true.sum()), float(true[best] / total)
+
+    def predict(self, text: str | None, rates: np.ndarray) -> tuple[str, float]:
+        return self.judge(text, rates)[:2]
 
 
 def _document_grams(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
@@ -139,6 +167,9 @@ def fit(
 ) -> LanguageFilters:
     """Builds the filters from up to per_lang documents of each language; rows without a language are left out.
 
+    Defined results: null and letterless texts add nothing, repeated rows count as often as they come, texts of any length
+    are read whole. A table without languages gives filters without any, which call everything `und`.
+
     All languages take part. What comes to the driver is bounded by their number: a row for each language, and for every
     64 of them one mask for each slot at most.
     """
@@ -192,19 +223,23 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text",
     return slim.mapInArrow(lambda batches: _predictions(batches, shared.value), schema)
 
 
-def _identified(batches: Iterator[pa.RecordBatch], filters: LanguageFilters, column: int) -> Iterator[pa.RecordBatch]:
+def _identified(batches: Iterator[pa.RecordBatch], filters: LanguageFilters, column: int, least_known: float) -> Iterator[pa.RecordBatch]:
     rates = filters.false_rates
     for batch in batches:
-        texts = [x.as_py() for x in batch.column(column)]
-        yield batch.filter(pa.array([filters.predict(x, rates)[0] != "und" or lettered(x) for x in texts], pa.bool_()))
+        known = [filters.judge(x.as_py(), rates)[2] for x in batch.column(column)]
+        yield batch.filter(pa.array([x > 0 and x >= least_known for x in known], pa.bool_()))
+
 
+def identified(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", least_known: float = LEAST_KNOWN) -> DataFrame:
+    """The rows of docs, with all their columns, that are in a language of the filters: those of whose n-grams the predicted
+    language's filter has least_known or more, after taking off what it would have by chance.
 
-def identified(docs: DataFrame, filters: LanguageFilters, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text may be in some language: all but those that are null or without
-    a letter. A text that identify() calls `und` as nothing could be learned, or as that is a language in the data, stays."""
+    Defined results: null texts and those without a letter go. Texts with letters but without n-grams (too short for one)
+    stay, and so does everything with letters if nothing could be learned. Repeated rows share their fate. Texts are read
+    whole, however long; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     column = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda batches: _identified(batches, shared.value, column), docs.schema)
+    return docs.mapInArrow(lambda batches: _identified(batches, shared.value, column, least_known), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
