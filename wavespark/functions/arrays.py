@@ -166,7 +166,7 @@ def zero_crossing_bpm(w: Column, rate: float) -> Column:
 
 
 def ewma(w: Column, half_life: float) -> dict[str, Column]:
-    """Exponentially weighted level, deviation and momentum (last sample less level) at the end, seeded with the first
+    """Exponentially weighted level, deviation and momentum (level less the plain mean) at the end, seeded with the first
     sample; half_life in samples. The variance averages squared distances from the level at their time."""
     keep = float(0.5 ** (1 / half_life))
     first = F.get(w, F.lit(0))
@@ -177,7 +177,7 @@ def ewma(w: Column, half_life: float) -> dict[str, Column]:
         return state(level, F.lit(keep) * s["var"] + F.lit(1 - keep) * (x - level) * (x - level))
 
     end = F.aggregate(F.slice(w, 2, F.size(w) - 1), state(first, F.lit(0.0)), step)
-    return {"level": end["level"], "std": F.sqrt(end["var"] + 1e-12), "momentum": F.element_at(w, -1) - end["level"]}
+    return {"level": end["level"], "std": F.sqrt(end["var"] + 1e-12), "momentum": end["level"] - mean(w)}
 
 
 def trailing_mean(w: Column, width: int) -> Column:

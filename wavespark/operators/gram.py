@@ -84,6 +84,11 @@ class Normal:
         at = np.append(np.asarray(chosen, int), self.width)
         return Normal(self.weight, self.mean[at], self.spread[np.ix_(at, at)])
 
+    def scaled(self, by: np.ndarray) -> Normal:
+        """The sums of the columns times by, each."""
+        s = np.append(by, 1.0)
+        return Normal(self.weight, self.mean * s, self.spread * np.outer(s, s))
+
     def residual_squares(self, intercept: float, coef: np.ndarray) -> float:
         """The rows' squared distances from a linear model."""
         full = np.append(coef, -1.0)

@@ -171,7 +171,11 @@ def ridge_cv(
     """Mean over folds of each penalty's error (nmse, or mse_of) on the held-out fold, the index of the best (the first of
     equals) and the model of all rows with it. One pass sums the folds' normal equations: training sums are the total less
     the fold, and a fold's squared errors come from its sums."""
-    parts = normal_equations(rows, p, x, y, fold)
+    return ridge_choice(normal_equations(rows, p, x, y, fold), penalties, error)
+
+
+def ridge_choice(parts: dict[int, Normal], penalties: Sequence[float], error: Callable[[Normal, Linear], float] = nmse_of) -> tuple[list[float], int, Linear]:
+    """ridge_cv from the folds' sums alone."""
     everything = total(parts)
     paths = [(part, ridge_path(everything - part, penalties)) for part in parts.values()]
     errors = [float(np.mean([error(part, path[k]) for part, path in paths])) for k in range(len(penalties))]

@@ -131,11 +131,11 @@ def _grouped(maps: DataFrame, by: str, chunk: int) -> DataFrame:
 
 
 def _scan(rows: DataFrame, by: str, on: str, tie: str, value: str, half_life: float, parts: int | None, chunk: int) -> tuple[list[DataFrame], DataFrame]:
-    """Samples as maps, numbered; the levels of runs over them up to one map a key; and each key's first and last sample."""
+    """Samples as maps, numbered; the levels of runs over them up to one map a key; and each key's first sample and mean."""
     keep = float(0.5 ** (1 / half_life))
     samples = placed(rows, by, on, tie, parts)
     x = F.col(value).cast("double")
-    ends = samples.groupBy(by).agg(F.min_by(x, "_place").alias("first"), F.max_by(x, "_place").alias("last"), F.max("_count").alias("n"))
+    ends = samples.groupBy(by).agg(F.min_by(x, "_place").alias("first"), F.avg(x).alias("mean"), F.max("_count").alias("n"))
     levels = [samples.select("*", (F.col("_place") - 1).alias("at"), _sample(x, keep).alias("m"))]
     most = ends.agg(F.max("n")).first()[0] or 0
     while most > 1:
@@ -147,7 +147,7 @@ def _scan(rows: DataFrame, by: str, on: str, tie: str, value: str, half_life: fl
 def ewma(rows: DataFrame, by: str, on: str, tie: str, value: str, half_life: float, parts: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """by, n, level, std and momentum at each key's end: the exponentially weighted level (half_life in samples, seeded with
     the first one), the deviation (squared distances of samples from the level at their time, weighted in the same way)
-    and the last sample less the level.
+    and the level less the plain mean.
 
     A parallel scan: a stretch of samples is an affine map of the level and a quadratic one of the variance, and maps
     compose. Runs of chunk consecutive samples are folded into one map each, runs of chunk maps into one, and so on, so a
@@ -155,7 +155,7 @@ def ewma(rows: DataFrame, by: str, on: str, tie: str, value: str, half_life: flo
     levels, ends = _scan(rows, by, on, tie, value, half_life, parts, chunk)
     top = levels[-1].select(F.col(by).alias("_by"), "m")
     level, var = _applied(F.col("m"), F.col("first"), F.lit(0.0))
-    return ends.join(top, ends[by].eqNullSafe(top["_by"])).select(by, "n", level.alias("level"), F.sqrt(var + 1e-12).alias("std"), (F.col("last") - level).alias("momentum"))
+    return ends.join(top, ends[by].eqNullSafe(top["_by"])).select(by, "n", level.alias("level"), F.sqrt(var + 1e-12).alias("std"), (level - F.col("mean")).alias("momentum"))
 
 
 def _states(run: pa.Table, after: bool) -> pa.Table:

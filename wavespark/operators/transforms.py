@@ -259,6 +259,17 @@ def fit_knots(rows: DataFrame, names: Sequence[str], low: float = 2, high: float
     return exact_quantiles(rows, {c: _value(c) for c in names}, [float(q) / 100 for q in np.linspace(low, high, count)])
 
 
+def expand_bumps(rows: DataFrame, column: str, knots: Sequence[float], name: str) -> DataFrame:
+    """Adds name0, name1, ...: the normalised Gaussian bumps of a column around sorted knots, as arrays.bumps has them. The
+    knots are known, so the bumps are plain columns that generated code runs."""
+    width = max((knots[-1] - knots[0]) / max(len(knots) - 1, 1), 1e-9)
+    v = F.col(f"`{column}`").cast("double")
+    raw = [f"{name}{k}" for k in range(len(knots))]
+    rows = rows.withColumns({c: F.exp(-0.5 * ((v - float(k)) / width) * ((v - float(k)) / width)) for c, k in zip(raw, knots, strict=True)})
+    rows = rows.withColumn(f"{name}_sum", sum((F.col(c) for c in raw[1:]), F.col(raw[0])) + 1e-9)
+    return rows.withColumns({c: F.col(c) / F.col(f"{name}_sum") for c in raw}).drop(f"{name}_sum")
+
+
 def target_correlations(rows: DataFrame, names: Sequence[str], target: str) -> list[tuple[str, float]]:
     """|correlation| of each column with the target, the largest first; equal ones in the columns' order."""
     found = rows.agg(*[F.corr(f"`{c}`", target) for c in names]).first()

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import physio, surfaces
+from ..operators.joins import place_in_order
 from ..operators.kernels import apply_kernel, names_of
-from . import tasks
+from . import rates, tasks
 from .fixtures import WINDOWS_SQL, channels, r6, rounded, table, windows
 
 FLAT = surfaces.log_prior(np.ones(len(surfaces.BPM)))
@@ -141,9 +142,22 @@ def skin_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(apply_kernel(_inputs(spark, sf_dir), lambda a, n: physio.signal_stats(a["eda"], "eda"), {"eda": 40}, ["row_id"]), ["row_id"])
 
 
+def rate_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of each window's mean label by the gated, shaped and harmonic variants, fitted on all windows."""
+    label = table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 10).alias("row_id")).agg(F.avg("label").alias("y"))
+    rows = _inputs(spark, sf_dir).join(label, "row_id")
+    placed = place_in_order(rows.withColumn("_all", F.lit(0)), "_all", "row_id", "row_id")
+    rows = placed.withColumn("row_id", F.col("_place") - 1).drop("_all", "_place", "_count").persist()
+    n, out = rows.count(), None
+    for name in ("gated", "shaped", "harmonic"):
+        found = rates.fit(rows, n, rates.VARIANTS[name]).predict(rows).select(F.lit(name).alias("variant"), "row_id", "p")
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 QUERIES = {
     f.__name__: f
-    for f in (surface_scalars, bump_design, full_design, evidence_surfaces, welch_bands, beat_intervals, beat_template, skin_and_motion, skin_stats, subject_features)
+    for f in (surface_scalars, bump_design, full_design, evidence_surfaces, welch_bands, beat_intervals, beat_template, skin_and_motion, skin_stats, subject_features, rate_predictions)
 }
 ORACLE_SQL: dict[str, str] = {
     "welch_bands": WELCH_BANDS_SQL,

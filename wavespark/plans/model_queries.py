@@ -19,6 +19,7 @@ from ..operators import selection as SEL
 from ..operators import splits as S
 from ..operators import transforms as T
 from ..operators.quantiles import exact_quantiles, median
+from . import tasks
 from .fixtures import r6, rounded, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -157,18 +158,20 @@ def tensor_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT l_orderkey, l_linenumber, pos, bump FROM lineitem JOIN ({ORACLE_SQL['bump_basis']}) USING (l_quantity)")
 def bump_basis_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As bump_basis, of each row of lineitem."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     knots = T.fit_knots(li, ["l_quantity"])["l_quantity"]
-    found = li.select("l_orderkey", "l_linenumber", F.posexplode(A.bumps(F.col("l_quantity"), A.constant(knots))).alias("pos", "bump"))
+    bumps = T.expand_bumps(li, "l_quantity", knots, "b")
+    found = bumps.select("l_orderkey", "l_linenumber", F.posexplode(F.array(*[f"b{k}" for k in range(len(knots))])).alias("pos", "bump"))
     return rounded(found, ["l_orderkey", "l_linenumber", "pos"])
 
 
 @query(f"SELECT l_orderkey, l_linenumber, pos, value FROM lineitem JOIN ({ORACLE_SQL['tensor_basis']}) USING (l_discount, l_tax)")
 def tensor_basis_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As tensor_basis, of each row of lineitem."""
-    one, two = A.constant([k * 0.025 for k in range(5)]), A.constant([k * 0.04 for k in range(3)])
-    both = A.outer(A.bumps(F.col("l_discount"), one), A.bumps(F.col("l_tax"), two))
-    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(both).alias("pos", "value"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
+    bumps = T.expand_bumps(T.expand_bumps(li, "l_discount", [k * 0.025 for k in range(5)], "u"), "l_tax", [k * 0.04 for k in range(3)], "v")
+    products = F.array(*[F.col(f"u{i}") * F.col(f"v{j}") for i in range(5) for j in range(3)])
+    found = bumps.select("l_orderkey", "l_linenumber", F.posexplode(products).alias("pos", "value"))
     return rounded(found, ["l_orderkey", "l_linenumber", "pos"])
 
 
@@ -454,12 +457,12 @@ s AS (SELECT sx / n AS m, sqrt(sxx / n - (sx / n) ^ 2) AS s FROM a), z AS (SELEC
 g AS (SELECT fold, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM z GROUP BY 1), h AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM g),
 t AS (SELECT fold, penalty, h.n - g.n AS n, h.sx - g.sx AS sx, h.sy - g.sy AS sy, h.sxx - g.sxx AS sxx, h.sxy - g.sxy AS sxy FROM g, h, l),
 m AS (SELECT fold, penalty, (sxy - sx * sy / n) / (sxx - sx * sx / n + penalty) AS w, sx, sy, n FROM t), c AS (SELECT fold, penalty, w, (sy - w * sx) / n AS b FROM m),
-e AS (SELECT penalty, avg((syy - 2 * b * sy - 2 * w * sxy + n * b * b + 2 * b * w * sx + w * w * sxx) / n) AS mse FROM c JOIN g USING (fold) GROUP BY 1)
-SELECT penalty, {r6('mse', 'mse')} FROM e""")
+e AS (SELECT penalty, avg((syy - 2 * b * sy - 2 * w * sxy + n * b * b + 2 * b * w * sx + w * w * sxx) / (syy - sy * sy / n)) AS nmse FROM c JOIN g USING (fold) GROUP BY 1)
+SELECT penalty, {r6('nmse', 'nmse', 9)} FROM e""")
 def ridge_folds_one_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean squared errors over five folds of a standardised column, for each of 25 penalties."""
-    errors, _, _ = L.ridge_cv(standard_design(spark, sf_dir, FEATURES[:1], 0.0), 1, FOLD_PENALTIES, error=L.mse_of)
-    return rounded(spark.createDataFrame(list(zip(FOLD_PENALTIES, errors, strict=True)), "penalty double, mse double"), ["penalty"])
+    """Mean errors over five folds of a standardised column, for each of 25 penalties."""
+    errors, _, _ = L.ridge_cv(standard_design(spark, sf_dir, FEATURES[:1], 0.0), 1, FOLD_PENALTIES)
+    return rounded(spark.createDataFrame(list(zip(FOLD_PENALTIES, errors, strict=True)), "penalty double, nmse double"), ["penalty"], 9)
 
 
 #: A column between -1 and 1, as a correlation is, and a second one that passes.
@@ -533,6 +536,56 @@ def permuted_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.permuted(rows, bounds["high"] - bounds["low"] + 1).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("distinct_rows"))
 
 
+@query(f"""WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), c AS (SELECT arg_min(user_id, struct_pack(n := n, u := user_id)) AS user_id FROM u),
+k AS (SELECT event_id, value FROM events WHERE user_id = (SELECT user_id FROM c) AND value IS NOT NULL)
+SELECT event_id, {r6('value', 'value')}, {r6('abs(value - (SELECT median(value) FROM k))', 'distance')} FROM k ORDER BY abs(value - (SELECT median(value) FROM k)), event_id LIMIT 1""")
+def representative_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the subject with the fewest events, the one whose value is nearest their median."""
+    e = events(spark, sf_dir)
+    least = e.groupBy("user_id").count().orderBy("count", "user_id").limit(1).select("user_id")  # one row
+    fine = e.where("value IS NOT NULL").join(F.broadcast(least), "user_id").select("event_id", F.col("value").cast("double").alias("value")).persist()
+    return rounded(tasks.nearest_to_median(fine, "value", "event_id"), ["event_id"])
+
+
+TWO_LAMBDAS = [0.0, 10.0, 1000.0, 100000.0]
+#: Sums of l_quantity (u) and l_discount in hundredths (v), about the training rows' means, by held-out fold and penalty.
+TWO_SQL = """d AS (SELECT (l_orderkey % 5)::INTEGER AS fold, l_quantity::DOUBLE AS u, 100 * l_discount::DOUBLE AS v, l_extendedprice::DOUBLE / 1000 AS y FROM lineitem),
+k AS (SELECT unnest(range(0, 5))::INTEGER AS held), m AS (SELECT held, count(*) AS n, avg(u) AS mu, avg(v) AS mv, avg(y) AS my, covar_pop(u, u) * count(*) AS uu, covar_pop(u, v) * count(*) AS uv,
+  covar_pop(v, v) * count(*) AS vv, covar_pop(u, y) * count(*) AS uy, covar_pop(v, y) * count(*) AS vy FROM d JOIN k ON fold <> held GROUP BY 1)"""
+
+
+@query(f"""WITH {TWO_SQL}, l AS (SELECT unnest({TWO_LAMBDAS})::DOUBLE AS penalty),
+w AS (SELECT *, ((vv + penalty) * uy - uv * vy) / ((uu + penalty) * (vv + penalty) - uv * uv) AS a, ((uu + penalty) * vy - uv * uy) / ((uu + penalty) * (vv + penalty) - uv * uv) AS b FROM m, l),
+e AS (SELECT penalty, held, sum((y - my - a * (u - mu) - b * (v - mv)) ^ 2) / (var_pop(y) * count(*)) AS e FROM d JOIN w ON fold = held GROUP BY 1, 2), s AS (SELECT penalty, avg(e) AS nmse FROM e GROUP BY 1)
+SELECT penalty, {r6('nmse', 'nmse', 8)}, penalty = (SELECT min_by(penalty, nmse) FROM s) AS best FROM s""")
+def ridge_cv_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = design(spark, sf_dir).withColumn("x", F.array(F.get("x", F.lit(0)), 100 * F.get("x", F.lit(1))))
+    errors, best, _ = L.ridge_cv(rows, 2, TWO_LAMBDAS)
+    return spark.createDataFrame([(lam, round(e, 8), k == best) for k, (lam, e) in enumerate(zip(TWO_LAMBDAS, errors, strict=True))], "penalty double, nmse double, best boolean")
+
+
+CHOICE_ALPHAS, CHOICE_RATIOS = [0.01, 0.1, 1.0, 10.0], [0.1, 0.5, 1.0]
+
+
+CHOICE_SQL = "d AS (SELECT (l_orderkey % 5)::INTEGER AS fold, l_quantity::DOUBLE AS x, l_quantity::DOUBLE * (1 - l_discount::DOUBLE) / 10 + l_orderkey % 7 AS y FROM lineitem)"
+
+
+@query(f"""WITH {CHOICE_SQL}, p AS (SELECT alpha, ratio FROM (SELECT unnest({CHOICE_ALPHAS})::DOUBLE AS alpha), (SELECT unnest({CHOICE_RATIOS})::DOUBLE AS ratio)),
+k AS (SELECT unnest(range(0, 5))::INTEGER AS held), m AS (SELECT held, avg(x) AS mx, avg(y) AS my, var_pop(x) AS q, covar_pop(x, y) AS c FROM d JOIN k ON fold <> held GROUP BY 1),
+w AS (SELECT *, sign(c) * greatest(abs(c) - alpha * ratio, 0) / (q + alpha * (1 - ratio)) AS w FROM m, p),
+e AS (SELECT alpha, ratio, held, avg((y - my - w * (x - mx)) ^ 2) AS e FROM d JOIN w ON fold = held GROUP BY 1, 2, 3), s AS (SELECT alpha, ratio, avg(e) AS mse FROM e GROUP BY 1, 2),
+b AS (SELECT arg_min(struct_pack(a := alpha, r := ratio), mse) AS b FROM s), n AS (SELECT b.b.a AS alpha, b.b.r AS ratio, avg(x) AS mx, avg(y) AS my, var_pop(x) AS q, covar_pop(x, y) AS c FROM d, b GROUP BY 1, 2)
+SELECT alpha, ratio, {r6('sign(c) * greatest(abs(c) - alpha * ratio, 0) / (q + alpha * (1 - ratio))', 'coef')}, {r6('my - mx * sign(c) * greatest(abs(c) - alpha * ratio, 0) / (q + alpha * (1 - ratio))', 'intercept')} FROM n""")
+def elastic_net_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The penalty and mixture of least squared error over the folds, and the model of all rows with them."""
+    li = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("double")
+    y = q * (1 - F.col("l_discount").cast("double")) / 10 + F.col("l_orderkey") % 7
+    parts = G.normal_equations(li.select((F.col("l_orderkey") % 5).alias("fold"), F.array(q).alias("x"), y.alias("y")), 1, fold="fold")
+    alpha, ratio, m = L.elastic_net_cv(parts, CHOICE_ALPHAS, CHOICE_RATIOS)
+    return rounded(spark.createDataFrame([(alpha, ratio, float(m.coef[0]), m.intercept)], "alpha double, ratio double, coef double, intercept double"), ["alpha", "ratio"])
+
+
 #: What a source of subjects lacks: of the columns of lineitem taken as a source each for seven suppliers' remainders.
 LACKS = {"l_quantity": 3, "l_tax": 5}
 

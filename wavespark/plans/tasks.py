@@ -13,8 +13,9 @@ from ..functions import physio, surfaces
 from ..operators import gram as G
 from ..operators import joins, linear, metrics, splits, transforms
 from ..operators.kernels import apply_kernel, names_of
+from ..operators.quantiles import exact_quantiles, median
 from ..sources import windows as src
-from ..sources.subjects import WIDTHS, finite_targets
+from ..sources.subjects import WIDTHS, finite_targets, read_archives
 
 
 def task_a(spark: SparkSession, train: str, test: str, width: int | None = src.WIDTH) -> tuple[DataFrame, linear.Linear]:
@@ -206,8 +207,8 @@ def with_protocol(rows: DataFrame, protocol: str, folds: int = 5) -> DataFrame:
 
 def protocol_splits(rows: DataFrame, protocol: str) -> list[tuple[Column, Column]]:
     """Training and test conditions over rows of with_protocol: d2 has two, the latest quarter of each subject and, before
-    it, the quarter before that. Splits without a row on either side are left out; if none is left, a quarter of the rows,
-    by a hash, is for testing."""
+    it, the quarter before that. Splits without a row on either side are left out; if none is left, the last quarter of the
+    rows by their numbers (row_id) is for testing, or, of rows without numbers, a quarter by a hash."""
     if protocol == "d2":
         part = F.col("part")
         found = [(part < 2, part == 2), (part < 1, part == 1)]
@@ -217,8 +218,13 @@ def protocol_splits(rows: DataFrame, protocol: str) -> list[tuple[Column, Column
         found = [(fold != r[0], fold == r[0]) for r in known]
     sizes = rows.agg(*[F.count_if(c) for pair in found for c in pair]).first() if found else []
     found = [pair for k, pair in enumerate(found) if sizes[2 * k] and sizes[2 * k + 1]]
+    if found:
+        return found
     test = F.pmod(F.xxhash64("subject_id", "ts", F.lit(3)), F.lit(4)) == 0
-    return found or [(~test, test)]
+    if "row_id" in rows.columns and (n := rows.count()) > 1:
+        at = int(n * 0.75) / (n - 1)
+        test = F.col("row_id") > exact_quantiles(rows, {"row_id": F.col("row_id")}, [at])["row_id"][0] - 0.5
+    return [(~test, test)]
 
 
 def evaluate_penalties(rows: DataFrame, protocol: str, p: int, penalties, x: str = "x", fitted_on: str = "x") -> list[float]:
@@ -288,3 +294,25 @@ def apply_glucose(features: DataFrame, state: dict) -> DataFrame:
 def load_features(tables: list[DataFrame]) -> DataFrame:
     """Feature tables of several sources, as one, with the columns that all of them have."""
     return joins.union_common(tables)
+
+
+def nearest_to_median(rows: DataFrame, target: str, order: str) -> DataFrame:
+    """The row whose target is nearest the rows' median, with distance; of equals the first in order. Empty for no rows."""
+    middle = median(rows, F.col(target))
+    return rows.withColumn("distance", F.abs(F.col(target) - F.lit(middle))).orderBy("distance", order).limit(1)
+
+
+def representative_subject_window(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the smallest archive in a folder (by bytes, then path), the window with a finite target and no gap in its heart rate
+    whose target is nearest their median, and squared, its acceleration's square over the mean: what a figure shows.
+    Only the names and sizes of the other archives are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(folder).select("path", "length")
+    path = files.orderBy("length", "path").first()["path"]
+    rows = read_archives(spark, path)
+    finite = lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))
+    fine = rows.where(finite(F.col("glucose")) & F.col("e4_hr").isNotNull() & F.forall("e4_hr", lambda v: finite(v)))
+    found = nearest_to_median(fine, "glucose", "ts")
+    axes = F.transform(F.sequence(F.lit(0), F.size("e4_acc") / 3 - 1), lambda k: F.slice("e4_acc", (3 * k + 1).cast("int"), F.lit(3)))
+    squares = F.transform(axes, lambda a: A.energy(a.cast("array<double>")))
+    squared = A.let(squares, lambda s: A.let(A.mean(A.finite(s)), lambda m: F.transform(s, lambda v: v / m)))
+    return found.withColumn("squared", F.when(F.col("e4_acc").isNotNull(), squared)).withColumn("path", F.lit(path))

@@ -238,7 +238,7 @@ def trailing_tonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT user_id, k, x, x AS level, 0::DOUBLE AS var FROM o WHERE k = 1
   UNION ALL SELECT o.user_id, o.k, o.x, a * f.level + (1 - a) * o.x, a * f.var + (1 - a) * (o.x - (a * f.level + (1 - a) * o.x)) ^ 2
   FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1, (SELECT 0.5::DOUBLE ^ (1 / 8::DOUBLE) AS a))
-SELECT user_id, """ + ", ".join([r6("max_by(level, k)", "level"), r6("sqrt(max_by(var, k) + 1e-12::DOUBLE)", "std"), r6("max_by(x, k) - max_by(level, k)", "momentum")]) + " FROM f GROUP BY user_id")
+SELECT user_id, """ + ", ".join([r6("max_by(level, k)", "level"), r6("sqrt(max_by(var, k) + 1e-12::DOUBLE)", "std"), r6("max_by(level, k) - avg(x)", "momentum")]) + " FROM f GROUP BY user_id")
 def ewma_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each subject's series, however long: a parallel scan of maps."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "value")
