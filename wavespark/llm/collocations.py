@@ -39,9 +39,11 @@ def pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
     """lang, piece (its words, joined by single spaces), words (how many) and times (how often it comes), of every
     distinct piece. Texts become pieces in the scan and equal ones are added up before they are shuffled, so a line that
     a third of all documents hold is one row a task."""
-    cut = F.explode(F.split(ascii_lower(F.col(text_col)), CUTS, -1)).alias("piece")
-    found = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), cut)
-    found = found.select("lang", F.trim(F.regexp_replace("piece", GAPS, " ")).alias("piece")).where("piece <> ''")
+    found = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(text_col, CUTS, -1)).alias("piece"))
+    # Case is levelled, and blanks where there are several, piece by piece: most pieces are ASCII with single spaces.
+    single = ~F.contains("piece", F.lit("\t")) & ~F.contains("piece", F.lit("  "))
+    low = ascii_lower(F.when(single, F.col("piece")).otherwise(F.regexp_replace("piece", GAPS, " ")))
+    found = found.select("lang", F.trim(low).alias("piece")).where("piece <> ''")
     counted = found.groupBy("lang", "piece").agg(F.count("*").alias("times"))
     return counted.select("lang", "piece", F.size(F.split("piece", " ")).cast("long").alias("words"), "times")
 
