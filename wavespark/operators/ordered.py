@@ -12,7 +12,7 @@ import tempfile
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,15 +20,21 @@ from pyspark.sql import functions as F
 CHUNK = 4096
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the session's spark.checkpoint.dir names, which all nodes share; a lost executor costs a
-    reread. Where none is named and all of Spark is in one process, a folder is made; on a cluster that is an error."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all nodes share. Where none is named and all of Spark is in one
+    process, a folder is made; on a cluster that is an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wavespark-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder: a lost executor costs a reread."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -420,11 +420,33 @@ def power_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "name string, power double, likelihood double"), ["name", "power"])
 
 
-@query()
+#: Rows as lists of the four columns and the target.
+LIST_SQL = "z AS (SELECT (l_orderkey % 5)::INTEGER AS fold, [" + ", ".join(f"{c}::DOUBLE" for c in FEATURES) + ", l_extendedprice::DOUBLE / 1000] AS v FROM lineitem)"
+_CELL = "m[(x // 5) * 5 + k + 1]"
+
+
+def swept_sql(start: str, keys: str) -> str:
+    """Tables sw and w: the matrices (keys, m: four rows of four columns and the right side) of the table start, swept by one
+    column after another, after which the first columns hold the inverse and the last one the solution."""
+    return f"""sw AS (SELECT {keys}, 0 AS k, m FROM {start} UNION ALL SELECT {keys}, k + 1, list_transform(range(0, 20), lambda x: CASE
+  WHEN x // 5 = k AND x % 5 = k THEN 1 / m[k * 6 + 1] WHEN x // 5 = k THEN m[x + 1] / m[k * 6 + 1] WHEN x % 5 = k THEN -m[x + 1] / m[k * 6 + 1]
+  ELSE m[x + 1] - {_CELL} * m[k * 5 + x % 5 + 1] / m[k * 6 + 1] END) FROM sw WHERE k < 4),
+w AS (SELECT {keys}, m, [m[5], m[10], m[15], m[20]] AS w FROM sw WHERE k = 4)"""
+
+
+FOUR_LAMBDAS = [0.0, 0.1, 10.0, 1000.0]
+
+
+@query(f"""WITH RECURSIVE {LIST_SQL}, l AS (SELECT unnest({FOUR_LAMBDAS})::DOUBLE AS penalty), h AS (SELECT unnest(range(0, 5))::INTEGER AS held),
+ij AS (SELECT unnest(range(1, 5)) AS i), jj AS (SELECT unnest(range(1, 6)) AS j),
+c AS (SELECT held, i, j, covar_pop(v[i], v[j]) * count(*) AS c FROM z JOIN h ON fold <> held, ij, jj GROUP BY 1, 2, 3), a AS (SELECT held, list(a ORDER BY j) AS a FROM (SELECT held, j, avg(v[j]) AS a FROM z JOIN h ON fold <> held, jj GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT held, penalty, list(c + CASE WHEN i = j THEN penalty ELSE 0 END ORDER BY i, j) AS m FROM c, l GROUP BY 1, 2), {swept_sql('t', 'held, penalty')},
+e AS (SELECT held, penalty, sum((v[5] - a[5] - w[1] * (v[1] - a[1]) - w[2] * (v[2] - a[2]) - w[3] * (v[3] - a[3]) - w[4] * (v[4] - a[4])) ^ 2) / (var_pop(v[5]) * count(*)) AS e
+  FROM z JOIN w ON fold = held JOIN a USING (held) GROUP BY 1, 2), s AS (SELECT penalty, avg(e) AS nmse FROM e GROUP BY 1)
+SELECT penalty AS lambda, {r6('nmse', 'nmse', 8)}, penalty = (SELECT min_by(penalty, nmse) FROM s) AS best FROM s""")
 def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lambdas = [0.0, 0.1, 10.0, 1000.0]
-    errors, best, _ = L.ridge_cv(design(spark, sf_dir), 4, lambdas)
-    return spark.createDataFrame([(lam, e, k == best) for k, (lam, e) in enumerate(zip(lambdas, errors, strict=True))], "lambda double, nmse double, best boolean")
+    errors, best, _ = L.ridge_cv(design(spark, sf_dir), 4, FOUR_LAMBDAS)
+    return spark.createDataFrame([(lam, round(e, 8), k == best) for k, (lam, e) in enumerate(zip(FOUR_LAMBDAS, errors, strict=True))], "lambda double, nmse double, best boolean")
 
 
 @query()
@@ -442,11 +464,16 @@ def elastic_net_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(float(alpha), float(ratio), float(m.intercept), [float(c) for c in m.coef])], "alpha double, l1_ratio double, intercept double, coef array<double>")
 
 
-@query()
+@query(f"""WITH RECURSIVE {LIST_SQL}, l AS (SELECT unnest({list(SEARCH.PENALTIES)})::DOUBLE AS penalty), ij AS (SELECT unnest(range(1, 5)) AS i), jj AS (SELECT unnest(range(1, 6)) AS j),
+c AS (SELECT i, j, covar_pop(v[i], v[j]) * count(*) AS c FROM z, ij, jj GROUP BY 1, 2), a AS (SELECT list(a ORDER BY j) AS a, any_value(n) AS n FROM (SELECT j, avg(v[j]) AS a, count(*) AS n FROM z, jj GROUP BY 1)),
+t AS (SELECT penalty, list(c + CASE WHEN i = j THEN penalty ELSE 0 END ORDER BY i, j) AS m FROM c, l GROUP BY 1), {swept_sql('t', 'penalty')},
+d AS (SELECT v[5] - a[5] AS y, [v[1] - a[1], v[2] - a[2], v[3] - a[3], v[4] - a[4]] AS x, n FROM z, a),
+e AS (SELECT penalty, avg(((y - list_dot_product(w, x)) / (1 - list_dot_product(x, [list_dot_product(m[1:4], x), list_dot_product(m[6:9], x), list_dot_product(m[11:14], x), list_dot_product(m[16:19], x)]) - 1 / n)) ^ 2) AS e FROM d, w GROUP BY 1)
+SELECT penalty AS lambda, {r6('e', 'mse', 7)} FROM e""")
 def ridge_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = design(spark, sf_dir)
     found = L.leave_one_out(rows, G.normal_equations(rows, 4)[0], SEARCH.PENALTIES)
-    return spark.createDataFrame([(float(lam), float(e)) for lam, e in zip(SEARCH.PENALTIES, found, strict=True)], "lambda double, mse double")
+    return rounded(spark.createDataFrame([(float(lam), float(e)) for lam, e in zip(SEARCH.PENALTIES, found, strict=True)], "lambda double, mse double"), ["lambda"], 7)
 
 
 FOLD_PENALTIES = np.logspace(-3, 3, 25).tolist()

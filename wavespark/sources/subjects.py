@@ -69,9 +69,19 @@ class Rows(InputPartition):
     stop: int
 
 
+def located(path: str) -> tuple[pa_fs.FileSystem, str, str]:
+    """The file system of a path or URI, of any that Arrow knows, the name there, and what to put before such names."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
+        return pa_fs.LocalFileSystem(), path, ""
+    system, name = pa_fs.FileSystem.from_uri(path)
+    return system, name, path.split("://", 1)[0] + "://"
+
+
 def _opened(path: str) -> tuple[pa.NativeFile, zipfile.ZipFile]:
-    """A file by path or URI, of any file system that Arrow knows, and the archive in it; only what is asked is fetched."""
-    system, name = pa_fs.FileSystem.from_uri(path) if "://" in path else (pa_fs.LocalFileSystem(), path)
+    """A file and the archive in it; only what is asked is fetched."""
+    system, name, _ = located(path)
     file = system.open_input_file(name)
     return file, zipfile.ZipFile(file)
 
@@ -82,10 +92,8 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Rows]:
         """Only the archives' directories and one array's header each are read here."""
-        remote = "://" in self.folder
-        system, name = pa_fs.FileSystem.from_uri(self.folder) if remote else (pa_fs.LocalFileSystem(), self.folder)
+        system, name, base = located(self.folder)
         found = system.get_file_info(pa_fs.FileSelector(name)) if system.get_file_info(name).type == pa_fs.FileType.Directory else [system.get_file_info(name)]
-        base = self.folder.split("://", 1)[0] + "://" if remote else ""
         out = []
         for path in sorted(base + f.path for f in found if f.is_file and f.path.endswith(".npz")):
             file, archive = _opened(path)
