@@ -9,6 +9,7 @@ from wavespark.functions import physio as P
 from wavespark.functions import tables
 from wavespark.operators import joins as J
 from wavespark.operators import splits, transforms
+from wavespark.plans import queries, source_queries, tasks
 from wavespark.sources import subjects as sub
 
 R = np.random.default_rng(21)
@@ -109,6 +110,8 @@ def test_union_of_files_is_one_scan(spark, tmp_path):
         (df.drop("b") if k == 7 else df).write.parquet(f"{tmp_path}/subject={k}")
     rows = spark.read.option("mergeSchema", "true").parquet(str(tmp_path))
     assert J.union_of_sources(rows, "subject", ["id"], ["a", "b"]).columns == ["id", "a"]
+    found = tasks.load_feature_folder(spark, str(tmp_path), ("id", "subject"))
+    assert found.columns == ["id", "subject", "a"] and found.count() == 60
 
 
 # ------------------------------------------------------------------ folds
@@ -183,6 +186,27 @@ def test_table_functions_in_sql(spark):
     assert best["bpm"] == 90 and np.isclose(best["share"], 1) and best["n"] == 91
 
 
-@pytest.mark.parametrize("name", ["yeo_johnson", "permuted_folds", "subject_union", "sub_window_table", "evidence_table", "ewma_series", "gate_search_one_column", "ridge_folds_one_column"])
+@pytest.mark.parametrize("name", ["yeo_johnson", "permuted_folds", "subject_union", "sub_window_table", "evidence_table", "ewma_series", "gate_search_one_column", "ridge_folds_one_column", "ridge_cv", "ridge_leave_one_out", "ridge_cv_two_columns", "elastic_net_choice", "representative_event", "skin_response", "slow_channels", "movement", "skin_shape", "target_prior", *source_queries.QUERIES])
 def test_new_queries_equal_their_sql(spark, name):
+    assert name in queries.ORACLE_SQL
     equals_its_sql(spark, name, "/root/testdata/sf0.001")
+
+
+def test_representative_window_of_the_smallest_archive(spark, tmp_path):
+    hr = R.normal(size=(9, 300))
+    hr[0, 5] = np.nan
+    acc = R.normal(size=(9, 9600, 3))
+    glucose = np.array([100.0, 90, 80, 120, np.nan, 100, 95, 130, 70])
+    np.savez(tmp_path / "big.npz", e4_hr=R.normal(size=(40, 300)), glucose=np.arange(40.0), e4_acc=np.ones((40, 9600, 3)))
+    np.savez(tmp_path / "small.npz", e4_hr=hr, glucose=glucose, e4_acc=acc, timestamp=np.arange(9.0))
+    found = tasks.representative_subject_window(spark, str(tmp_path)).first()
+    ok = [1, 2, 3, 5, 6, 7, 8]
+    best = min(ok, key=lambda k: (abs(glucose[k] - np.median(glucose[ok])), k))
+    square = (acc[best].astype("f4").astype(float) ** 2).sum(axis=1)
+    assert found["ts"] == best and found["path"].endswith("small.npz") and np.allclose(found["squared"], square / square.mean())
+
+
+def test_last_resort_is_by_position(spark):
+    rows = spark.createDataFrame([("a", float(k), 3 * k) for k in range(21)], "subject_id string, ts double, row_id long").withColumn("fold", F.lit(None).cast("int"))
+    (train, test), *more = tasks.protocol_splits(rows, "d3")
+    assert not more and sorted(r["ts"] for r in rows.where(test).collect()) == list(range(15, 21)) and rows.where(train).count() == 15

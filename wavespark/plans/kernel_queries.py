@@ -155,11 +155,82 @@ def rate_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _some(df: DataFrame, kernel, widths: dict[str, int], names: list[str]) -> DataFrame:
+    """Some of a kernel's columns, by name."""
+    return rounded(apply_kernel(df, lambda a, n: {k: v for k, v in kernel(a, n).items() if k in names}, widths, ["row_id"]), ["row_id"])
+
+
+RESPONSE = ["eda_tonic_mean", "eda_tonic_std", "eda_phasic_std", "eda_phasic_amp", "eda_lphasic", "eda_drift", "eda_scr_frac", "eda_scr_n"]
+RESPONSE_SQL = f"""WITH {WINDOWS_SQL}, e AS (SELECT row_id, pos // 16 AS pos, abs(v) AS v FROM w WHERE pos % 16 = 0),
+t AS (SELECT a.row_id, a.pos, any_value(a.v) AS v, avg(b.v) AS slow FROM e a, range(-40, 40) k(k) JOIN e b ON b.row_id = a.row_id AND b.pos = greatest(0, least(39, a.pos + k)) GROUP BY 1, 2),
+q AS (SELECT row_id, 0.8::DOUBLE * (quantile_cont(abs(v - slow), 0.95) + 1e-6::DOUBLE) AS strong FROM t GROUP BY 1)
+SELECT row_id, {r6('avg(slow)', 'eda_tonic_mean')}, {r6('stddev_pop(slow)', 'eda_tonic_std')}, {r6('stddev_pop(v - slow)', 'eda_phasic_std')}, {r6('avg(abs(v - slow))', 'eda_phasic_amp')},
+{r6('ln(stddev_pop(v - slow) + 1e-4::DOUBLE)', 'eda_lphasic')}, {r6('max_by(slow, pos) - min_by(slow, pos)', 'eda_drift')}, {r6('avg((abs(v - slow) > 0.02::DOUBLE)::INTEGER)', 'eda_scr_frac')},
+{r6('sum((abs(v - slow) > strong)::INTEGER)', 'eda_scr_n')} FROM t JOIN q USING (row_id) GROUP BY row_id"""
+
+
+def skin_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slow part of the skin channel and the responses over it."""
+    return _some(_inputs(spark, sf_dir), lambda a, n: physio.eda(a["eda"]), {"eda": 40}, RESPONSE)
+
+
+TRENDS_SQL = f"""WITH {WINDOWS_SQL}, d AS (SELECT *, v - lag(v) OVER (PARTITION BY row_id ORDER BY pos) AS d FROM w)
+SELECT row_id, {r6('avg(v) FILTER (WHERE pos >= 400) - avg(v) FILTER (WHERE pos < 240)', 'temp_delta')}, {r6('avg(abs(d))', 'e4hr_absdiff')}, {r6('stddev_pop(d)', 'e4hr_dstd')},
+{r6('avg(v) FILTER (WHERE pos >= 580) - avg(v) FILTER (WHERE pos < 60)', 'e4hr_delta')} FROM d GROUP BY row_id"""
+
+
+def slow_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends of the temperature and heart-rate channels, of the pulse taken as either."""
+    return _some(windows(spark, sf_dir), lambda a, n: physio.temperature(a["w"]) | physio.heart_rate(a["w"]), {"w": 640}, ["temp_delta", "e4hr_absdiff", "e4hr_dstd", "e4hr_delta"])
+
+
+MOVEMENT = [f"e4acc_{k}" for k in ("enmo", "lhp", "still", "jerk", "m0", "m1", "m2", "s0", "s1", "s2")]
+MOVEMENT_SQL = f"""WITH {WINDOWS_SQL}, i AS (SELECT unnest(range(0, 320)) AS i),
+m AS (SELECT a.row_id, i, a.v AS x, b.v AS y, c.v AS z, sqrt(a.v ^ 2 + b.v ^ 2 + c.v ^ 2) AS g FROM i JOIN w a ON a.pos = i JOIN w b ON b.row_id = a.row_id AND b.pos = i + 320 JOIN w c ON c.row_id = a.row_id AND c.pos = 2 * i),
+mv AS (SELECT a.row_id, a.i, any_value(a.g) - avg(b.g) AS moving FROM m a, range(-32, 32) k(k) JOIN m b ON b.row_id = a.row_id AND b.i = greatest(0, least(319, a.i + k)) GROUP BY 1, 2),
+q AS (SELECT row_id, median(g) AS g0, stddev_pop(moving) AS spread FROM m JOIN mv USING (row_id, i) GROUP BY 1),
+d AS (SELECT *, abs(g - lag(g) OVER (PARTITION BY row_id ORDER BY i)) AS j FROM m JOIN mv USING (row_id, i) JOIN q USING (row_id))
+SELECT row_id, {r6('avg(greatest(g - g0, 0))', 'e4acc_enmo')}, {r6('ln(any_value(spread) + 1e-4::DOUBLE)', 'e4acc_lhp')}, {r6('avg((abs(moving) < 0.02::DOUBLE * (spread + 1e-6::DOUBLE))::INTEGER)', 'e4acc_still')},
+{r6('avg(j)', 'e4acc_jerk')}, {', '.join(r6(f'avg({c})', f'e4acc_m{k}') + ', ' + r6(f'stddev_pop({c})', f'e4acc_s{k}') for k, c in enumerate('xyz'))} FROM d GROUP BY row_id"""
+
+
+def movement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of the motion channel's length and axes."""
+    return _some(_inputs(spark, sf_dir), lambda a, n: physio.acceleration(a["motion"].reshape(n, 3, 320).transpose(0, 2, 1), "e4acc"), {"motion": 960}, MOVEMENT)
+
+
+SKIN_SHAPE_SQL = f"""WITH {WINDOWS_SQL}, e AS (SELECT row_id, pos // 16 AS pos, abs(v) AS v FROM w WHERE pos % 16 = 0)
+SELECT row_id, {r6('ln(avg(v) + 1e-3::DOUBLE)', 'e_lmean')}, {r6('ln(stddev_pop(v) + 1e-4::DOUBLE)', 'e_lstd')}, {r6('sum(v * (pos - 19.5::DOUBLE)) / sqrt((1600 - 1) / 12::DOUBLE) / 40', 'e_slope')},
+{r6('CASE WHEN max(v) > 1e-6 THEN 0 ELSE 1 END', 'e_zero')}, {r6('ln(max(v) - min(v) + 1e-4::DOUBLE)', 'e_lrng')} FROM e GROUP BY row_id"""
+
+
+def skin_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five skin columns of a ten-second window."""
+    return rounded(apply_kernel(_inputs(spark, sf_dir), lambda a, n: surfaces.skin_shape(a["eda"]), {"eda": 40}, ["row_id"]), ["row_id"])
+
+
+PRIOR_SQL = """WITH c AS (SELECT unnest(range(0, 360)) AS k), n AS (SELECT k, count(e.value) AS n FROM c LEFT JOIN events e ON floor((e.value - 35.75::DOUBLE) / 0.5::DOUBLE) = k GROUP BY 1), t AS (SELECT greatest(sum(n), 1) AS t FROM n),
+h AS (SELECT j, 0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * (j + 10) / 20) AS h FROM (SELECT unnest(range(-10, 11)) AS j)), s AS (SELECT c.k, sum(n.n / t.t * h.h / 10) + 1e-6::DOUBLE AS p FROM c, t, h LEFT JOIN n ON n.k = c.k - h.j GROUP BY 1)
+""" + f"SELECT k::INTEGER AS k, {r6('ln(p / sum(p) OVER ())', 'log_prior')} FROM s"
+
+
+def target_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log prior of 360 candidates, of the events' values taken as targets."""
+    rows = table(spark, sf_dir, "events")
+    prior = tasks.fit_prior(rows, "value")
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(prior)], "k int, log_prior double"), ["k"])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (surface_scalars, bump_design, full_design, evidence_surfaces, welch_bands, beat_intervals, beat_template, skin_and_motion, skin_stats, subject_features, rate_predictions)
+    for f in (surface_scalars, bump_design, full_design, evidence_surfaces, welch_bands, beat_intervals, beat_template, skin_and_motion, skin_stats, subject_features, rate_predictions, skin_response, slow_channels, movement, skin_shape, target_prior)
 }
 ORACLE_SQL: dict[str, str] = {
     "welch_bands": WELCH_BANDS_SQL,
+    "skin_response": RESPONSE_SQL,
+    "slow_channels": TRENDS_SQL,
+    "movement": MOVEMENT_SQL,
+    "skin_shape": SKIN_SHAPE_SQL,
+    "target_prior": PRIOR_SQL,
     "skin_stats": f"WITH {SKIN_SQL} SELECT row_id, {_stats_sql('eda', 40)} FROM d GROUP BY row_id",
 }

@@ -296,6 +296,14 @@ def load_features(tables: list[DataFrame]) -> DataFrame:
     return joins.union_common(tables)
 
 
+def load_feature_folder(spark: SparkSession, folder: str, keys: tuple[str, ...] = ("subject_id", "ts", "glucose")) -> DataFrame:
+    """Feature tables of any number of subjects, one Parquet file or more each in a folder, as one scan, with the columns that
+    have values in every file."""
+    rows = spark.read.option("mergeSchema", "true").parquet(folder)
+    names = [c for c, kind in rows.dtypes if c not in keys and kind in ("double", "float", "int", "bigint")]
+    return joins.union_of_sources(rows, F.col("_metadata.file_path"), [c for c in keys if c in rows.columns], names)
+
+
 def nearest_to_median(rows: DataFrame, target: str, order: str) -> DataFrame:
     """The row whose target is nearest the rows' median, with distance; of equals the first in order. Empty for no rows."""
     middle = median(rows, F.col(target))
@@ -312,7 +320,7 @@ def representative_subject_window(spark: SparkSession, folder: str) -> DataFrame
     finite = lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))
     fine = rows.where(finite(F.col("glucose")) & F.col("e4_hr").isNotNull() & F.forall("e4_hr", lambda v: finite(v)))
     found = nearest_to_median(fine, "glucose", "ts")
-    axes = F.transform(F.sequence(F.lit(0), F.size("e4_acc") / 3 - 1), lambda k: F.slice("e4_acc", (3 * k + 1).cast("int"), F.lit(3)))
+    axes = F.transform(F.sequence(F.lit(0), (F.size("e4_acc") / 3).cast("int") - 1), lambda k: F.slice("e4_acc", 3 * k + 1, F.lit(3)))
     squares = F.transform(axes, lambda a: A.energy(a.cast("array<double>")))
     squared = A.let(squares, lambda s: A.let(A.mean(A.finite(s)), lambda m: F.transform(s, lambda v: v / m)))
     return found.withColumn("squared", F.when(F.col("e4_acc").isNotNull(), squared)).withColumn("path", F.lit(path))
