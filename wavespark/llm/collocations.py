@@ -115,6 +115,26 @@ def _phrases(batch: pa.RecordBatch, length: int, frequent: np.ndarray | None) ->
     return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lang.take(rows), gram, MARK), times.take(rows)], schema=COUNTS)
 
 
+def _runs(batch: pa.RecordBatch, frequent: np.ndarray) -> pa.RecordBatch:
+    """The longest runs of three words or more in a batch of pieces, every two neighbours of which may be a frequent phrase by
+    the filter: as pieces, with their words and times."""
+    lang, piece, times = batch.columns
+    split = pc.split_pattern(piece, " ")
+    words = split.flatten()
+    owner = np.repeat(np.arange(len(batch)), pc.list_value_length(split).to_numpy())
+    of_word = _hashes(words)
+    pairs = _mixed(_mixed(_hashes(lang)[owner], of_word)[:-1], of_word[1:])
+    likely = _holds(frequent, pairs) & (owner[:-1] == owner[1:])
+    change = np.diff(np.pad(likely.astype(np.int8), 1))
+    starts, sizes = np.flatnonzero(change == 1), np.flatnonzero(change == -1) - np.flatnonzero(change == 1) + 1
+    starts, sizes = starts[sizes > 2], sizes[sizes > 2]
+    offsets = np.r_[0, np.cumsum(sizes)]
+    at = np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.take(pa.array(at))), " ")
+    rows = pa.array(owner[starts])
+    return pa.RecordBatch.from_arrays([lang.take(rows), joined, pa.array(sizes, pa.int64()), times.take(rows)], ["lang", "piece", "words", "times"])
+
+
 def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch of pieces in parts of about PORTION bytes, so that its phrases fit; a longer piece is a part by itself."""
     total = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // PORTION
@@ -162,6 +182,14 @@ def frequent_phrases(found: DataFrame, length: int, least: int = LEAST, shorter:
     return partial.repartition("gram").mapInArrow(add_up, "lang string, gram string, key long, f long")
 
 
+def frequent_runs(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What of the pieces may hold frequent phrases of three words or more, as pieces: every phrase's neighbours are frequent
+    pairs themselves, so it lies in a run of such pairs. Longer phrases are counted in these runs alone."""
+    known = found.sparkSession.sparkContext.broadcast(_filter(pairs))
+    slim = found.where("words > 2").select("lang", "piece", "times")
+    return slim.mapInArrow(lambda batches: (_runs(p, known.value) for b in batches for p in _portions(b)), "lang string, piece string, words long, times long")
+
+
 def _words(phrase: str, start: Column | int, count: Column | int) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), start, count), " ")
 
@@ -239,6 +267,8 @@ def collocations(
     sizes = found.groupBy("lang").agg(F.sum(F.col("words") * F.col("times")).alias("n"))
     shorter, frequent = None, None
     for length in range(1, longest + 1):
+        if length == 3:
+            found = stored(frequent_runs(found, shorter))
         shorter = stored(frequent_phrases(found, length, least, shorter, memory_mb))
         level = shorter.select("lang", "gram", F.lit(length).alias("words"), "f")
         frequent = level if frequent is None else frequent.unionAll(level)

@@ -44,8 +44,9 @@ WIDE_NUMBERS = {
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ._/-]?[0-9]){11,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[ ./-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])"),
 }
-#: A run without a space, of so many characters that are used in keys, if it has digits and letters both.
-SECRET = re.compile(r"(?<![\w/+.-])(?=[A-Za-z_/+.-]*[0-9])(?=[0-9_/+.-]*[A-Za-z])[A-Za-z0-9_/+.-]{12,512}={0,2}(?![\w/+=.-])")
+#: A run without a space of 12 or more characters that are used in keys, however long, if it has digits and letters both. A run
+#: is tried at its start only and never given back, so a text is read once.
+SECRET = re.compile(r"(?<![\w/+.-])(?=[A-Za-z_/+.-]*[0-9])(?=[0-9_/+.-]*[A-Za-z])[A-Za-z0-9_/+.-]{12,}+={0,2}+(?![\w/+=.-])")
 #: Where numbers are: no match of a pattern for numbers, fixed or wide, reaches out of such a stretch, or from one to
 #: the next. One fast search for them spares the rest of the text the slower patterns.
 STRETCH = re.compile(r"[+(0-9][0-9 ().+_/\[\]-]*")

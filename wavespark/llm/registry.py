@@ -4,6 +4,7 @@ from . import collocations, exact_dedup, langid, merkle, packing, pii, preferenc
 
 QUERIES = {
     "op1_redirect_rules": urlfilter.op1_redirect_rules,
+    "redirected_pages": urlfilter.redirected_pages,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_pii_boosting": pii.op3_pii_boosting,
     "op4_toxicity_mil": toxicity.op4_toxicity_mil,
@@ -20,6 +21,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_redirect_rules": urlfilter.OP1_SQL,
+    "redirected_pages": urlfilter.REDIRECTED_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op7_preference_pairs": preferences.OP7_SQL,
     "op10_extendible_sharding": sharding.OP10_SQL,

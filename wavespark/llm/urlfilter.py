@@ -47,22 +47,68 @@ def canonical(url: Column) -> Column:
     return F.when(host != "", F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
-def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (src, dst) between addresses that a page itself states: its canonical link, og:url and meta refresh, wherever
-    they name an absolute address, and the address that the usual redirects lead to. Relative ones stay on their page's
-    host and are resolved if they begin with a slash.
-
-    Defined results: a null url gives no edge, null html only the usual redirects' one; of several links of a kind the
-    first counts; urls and html of any length are read whole; repeated rows give repeated edges, an empty table none; other
-    columns are ignored."""
-    url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
-    link = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    shown = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bproperty\s*=\s*[\"']?og:url\b)[^>]*?\bcontent\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    moved = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*[\"']?([^\"'\s>]+)", 1)
+def plain(url: Column) -> Column:
+    """The address without what never changes a page: scheme and host in lower case, no fragment, a slash for an empty path.
+    Null where there is no host."""
+    host, path = host_of(url), path_of(url)
+    query = F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]+)", 1)
+    scheme = _lower(F.substring_index(url, "://", 1))
+    return F.when(host != "", F.concat(scheme, F.lit("://"), host, F.when(path != "", path).otherwise("/"), query))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose . and .. segments are carried out."""
+    step = lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.when(path.contains("/."), F.array_join(kept, "/")).otherwise(path)
+
+
+def resolved(url: Column, link: Column) -> Column:
+    """The address that a link on the page url names: absolute ones as they are, others against the page's scheme, host and
+    folder. Null for empty links, mere fragments and other schemes (mailto: and the like)."""
     base = F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1)
-    whole = lambda t: F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(F.lit("https:"), t)).when(t.startswith("/"), F.concat(base, t))
-    targets = F.array(canonical(url), *(canonical(whole(F.replace(t, F.lit("&amp;"), F.lit("&")))) for t in (link, shown, moved)))
-    return pages.select(url.alias("src"), F.explode(F.array_compact(targets)).alias("dst")).where("src IS NOT NULL AND src <> dst")
+    folder = F.when(path_of(url) == "", "/").otherwise(F.regexp_extract(path_of(url), r"^(.*/)", 1))
+    inner = F.when(link.startswith("/"), link).when(link.startswith("?"), F.concat(path_of(url), link)).otherwise(F.concat(folder, link))
+    path = F.regexp_extract(inner, r"^([^?#]*)", 1)
+    rest = F.regexp_extract(inner, r"^[^?#]*(.*)$", 1)
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(F.substring_index(url, "://", 1), F.lit(":"), link))
+        .when((link == "") | link.startswith("#") | link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(base != "", F.concat(base, _without_dots(path), rest))
+    )
+
+
+#: Where a page states an address of its own: canonical links, og:url and meta refreshes.
+STATED = (
+    r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)",
+    r"(?is)<meta\b(?=[^>]*\bproperty\s*=\s*[\"']?og:url\b)[^>]*?\bcontent\s*=\s*[\"']?([^\"'\s>]+)",
+    r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*[\"']?([^\"'\s>]+)",
+)
+
+
+def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None, guesses: bool = False) -> DataFrame:
+    """Edges (src, dst) between addresses that a page itself states: every canonical link, og:url and meta refresh, resolved
+    against the page's address, and the plain form of its own address; with redirects, a table (src, dst) of observed ones,
+    theirs too.
+
+    guesses adds the address that the usual redirects of a site lead to (see canonical). That may take two pages for one, and
+    pass a block from one to the other, so it is off.
+
+    Defined results: a null url gives no edge, null html only the address's own; urls and html of any length are read
+    whole; repeated rows give repeated edges, an empty table none; other columns are ignored. Redirects without one of their
+    ends are left out."""
+    url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
+    links = F.flatten(F.array(*[F.regexp_extract_all(html, F.lit(pattern), F.lit(1)) for pattern in STATED]))
+    stated = F.transform(links, lambda t: plain(resolved(url, F.replace(t, F.lit("&amp;"), F.lit("&")))))
+    targets = F.concat(F.array(plain(url)), stated)
+    if guesses:
+        targets = F.concat(targets, F.array(canonical(url)), F.transform(stated, canonical))
+    edges = pages.select(url.alias("src"), F.explode(F.array_compact(targets)).alias("dst")).where("src IS NOT NULL AND src <> dst")
+    if redirects is not None:
+        moved = redirects.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
+        edges = edges.unionAll(moved).unionAll(moved.select("src", plain(F.col("src")).alias("dst"))).unionAll(moved.select(F.col("dst").alias("src"), plain(F.col("dst")).alias("dst")))
+        edges = edges.where("dst IS NOT NULL AND src <> dst")
+    return edges
 
 
 def _fit(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -97,8 +143,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], edges: DataFr
     host, path = host_of(F.col("_url")), path_of(F.col("_url"))
     rows = rows.select(id_col, "_url", host.alias("host"), path.alias("path"), F.when(host != "", F.xxhash64("_url")).alias("_node"))
     rows = rows.withColumn("_own", _fit(F.col("host"), F.col("path"), rules))
-    ends = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
-    named = components(checkpoint(ends.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))))
+    # Written once: pages are not parsed again for each of their uses.
+    ends = checkpoint(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"))
+    named = components(ends.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b")))
     # Rules fit urls that are no pages, too: a redirect's target is known by the edge alone.
     urls = ends.select("src").unionAll(ends.select("dst")).distinct()
     own = _fit(host_of(F.col("src")), path_of(F.col("src")), rules)["verdict"]
@@ -123,29 +170,42 @@ def op1_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, RULES, page_edges(pages))
 
 
-#: The same in SQL. The links in html are looked for with rel, property or http-equiv before the address only, as they
-#: are usually written.
-OP1_SQL = f"""
+def redirects_of(pages: DataFrame) -> DataFrame:
+    """Redirects made of the table's own pages: each page of three neighbours by page_id leads to the first of them."""
+    first = F.floor(F.col("page_id") / 3)
+    heads = pages.where("page_id % 3 = 0 AND url IS NOT NULL").select(first.alias("k"), F.col("url").alias("dst"))
+    return pages.where("page_id % 3 <> 0").select(first.alias("k"), F.col("url").alias("src")).join(heads, "k").select("src", "dst")
+
+
+def redirected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages judged with redirects among them, so that blocks reach aliases and allows stop some."""
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, RULES, page_edges(pages, redirects=redirects_of(pages)))
+
+
+#: The same in SQL. The links in html are looked for with rel, property or http-equiv before the address only, as they are
+#: usually written, and dots in relative ones are left as they are. {moved} are further edges.
+_SQL = f"""
 WITH RECURSIVE stated AS (
   SELECT url AS src, url AS t FROM pages WHERE url IS NOT NULL
-  UNION ALL SELECT url, regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM pages
-  UNION ALL SELECT url, regexp_extract(html, '(?is)<meta\\b[^>]*\\bproperty\\s*=\\s*["'']?og:url\\b[^>]*?\\bcontent\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM pages
-  UNION ALL SELECT url, regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*?\\bcontent\\s*=\\s*["'']?\\s*[0-9.]*\\s*[;,]\\s*url\\s*=\\s*["'']?([^"''\\s>]+)', 1) FROM pages
+  UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)) FROM pages
+  UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bproperty\\s*=\\s*["'']?og:url\\b[^>]*?\\bcontent\\s*=\\s*["'']?([^"''\\s>]+)', 1)) FROM pages
+  UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*?\\bcontent\\s*=\\s*["'']?\\s*[0-9.]*\\s*[;,]\\s*url\\s*=\\s*["'']?([^"''\\s>]+)', 1)) FROM pages
+), moved AS ({{moved}}), whole AS (
+  SELECT src, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN split_part(src, '://', 1) || ':' || t
+    WHEN t = '' OR starts_with(t, '#') OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '/') THEN regexp_extract(src, '^([^:/?#]+://[^/?#]*)', 1) || t WHEN contains(src, '://') THEN regexp_extract(src, '^([^:/?#]+://[^/?#]*[^?#]*/)', 1) || t END AS t
+  FROM (SELECT src, replace(t, '&amp;', '&') AS t FROM stated WHERE src IS NOT NULL)
+  UNION ALL SELECT src, src FROM moved UNION ALL SELECT dst, dst FROM moved
 ), rest AS (
-  SELECT src, CASE WHEN instr(t, '://') > 0 THEN substr(t, instr(t, '://') + 3) ELSE '' END AS r FROM (
-    SELECT src, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'https:' || t
-                     WHEN starts_with(t, '/') THEN regexp_extract(src, '^([^:/?#]+://[^/?#]*)', 1) || t END AS t
-    FROM (SELECT src, replace(t, '&amp;', '&') AS t FROM stated WHERE src IS NOT NULL)) WHERE t IS NOT NULL
+  SELECT src, translate(split_part(t, '://', 1), '{UPPER}', '{UPPER.lower()}') AS scheme, substr(t, instr(t, '://') + 3) AS r FROM whole WHERE instr(t, '://') > 0
 ), parts AS (
-  SELECT src, translate(regexp_extract(r, '^([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host,
-         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(r, '^[^?#]*\\?([^#]*)', 1) AS query FROM rest
+  SELECT src, scheme, translate(regexp_extract(r, '^([^/?#]*)', 1), '{UPPER}', '{UPPER.lower()}') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(r, '^[^?#]*(\\?[^#]+)', 1) AS query FROM rest
 ), edges AS (
   SELECT DISTINCT src, dst FROM (
-    SELECT src, 'https://' || regexp_replace(host, '^(?:{'|'.join(MIRRORS)})\\.([^.]+\\.)', '\\1')
-           || regexp_replace(regexp_replace(path, '(?:/index)?\\.(?:html?|php)$|/index$', ''), '/+$', '')
-           || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS dst
-    FROM (SELECT *, list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(?:{'|'.join(TRACKING)})(?:=|$)')) AS q FROM parts)
-    WHERE host <> '') WHERE src <> dst
+    SELECT src, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || query AS dst FROM parts WHERE host <> '' UNION ALL SELECT src, dst FROM moved)
+  WHERE src <> dst
 ), sym AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 reach AS (SELECT a, a AS b FROM sym UNION SELECT r.a, e.b FROM reach r JOIN sym e ON e.a = r.b),
 urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT a FROM sym),
@@ -165,3 +225,6 @@ SELECT p.page_id, coalesce(s.host, '') AS host, coalesce(s.path, '') AS path, f.
        coalesce(c.aliases, 0) AS aliases
 FROM pages p LEFT JOIN split s USING (url) LEFT JOIN fits f USING (url) LEFT JOIN classes c USING (url)
 """
+
+OP1_SQL = _SQL.replace("{moved}", "SELECT NULL::VARCHAR AS src, NULL::VARCHAR AS dst WHERE false")
+REDIRECTED_SQL = _SQL.replace("{moved}", "SELECT a.url AS src, b.url AS dst FROM pages a JOIN pages b ON b.page_id = a.page_id - a.page_id % 3 WHERE a.page_id % 3 <> 0 AND a.url IS NOT NULL AND b.url IS NOT NULL")
