@@ -133,27 +133,52 @@ def predicted(rows: DataFrame, model: Linear, x: str = "x", name: str = "p") ->
     return predictions(rows, [model], x).withColumn(name, F.get("p", F.lit(0)))
 
 
-def _errors(batches: Iterator[pa.RecordBatch], coef: np.ndarray, intercept: np.ndarray, mean: float) -> Iterator[pa.RecordBatch]:
-    """Of all rows of a task: how far each model's predictions, and the mean, are from the target, plainly and squared."""
-    total = np.zeros((4, len(intercept)))
+@dataclass
+class Trial:
+    """Models to be scored on the rows of some groups; mean is the mean of these rows' target."""
+
+    groups: frozenset[int]
+    models: Sequence[Linear]
+    mean: float
+
+
+def _errors(batches: Iterator[pa.RecordBatch], trials: list[tuple[list[int], np.ndarray, np.ndarray, float]]) -> Iterator[pa.RecordBatch]:
+    """Of all rows of a task and each trial: how far each model's predictions, and the mean, are from the target, plainly and
+    squared."""
+    totals = [np.zeros((4, len(intercept))) for _, _, intercept, _ in trials]
     for batch in batches:
-        y = batch.column(1).to_numpy(zero_copy_only=False)
-        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(y), coef.shape[1])
-        off, base = x @ coef.T + intercept - y[:, None], (y - mean)[:, None]
-        for k, values in enumerate((np.abs(off), off**2, np.abs(base), base**2)):
-            total[k] += values.sum(axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(intercept))), *map(pa.array, total)], ["k", "a", "s", "base_a", "base_s"])
+        if not batch.num_rows:
+            continue
+        group, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+        for total, (groups, coef, intercept, mean) in zip(totals, trials, strict=True):
+            at = np.isin(group, groups)
+            off, base = x[at] @ coef.T + intercept - y[at, None], (y[at] - mean)[:, None]
+            for k, values in enumerate((np.abs(off), off**2, np.abs(base), base**2)):
+                total[k] += values.sum(axis=0)
+    number = np.concatenate([np.full(t.shape[1], k) for k, t in enumerate(totals)])
+    model = np.concatenate([np.arange(t.shape[1]) for t in totals])
+    yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(model), *map(pa.array, np.concatenate(totals, axis=1))], ["t", "k", "a", "s", "base_a", "base_s"])
+
+
+def scored_trials(rows: DataFrame, trials: Sequence[Trial], group: str | None = None, x: str = "x", y: str = "y") -> list[list[tuple[float, float]]]:
+    """nmae and nmse of each trial's models over its groups' rows, all trials in one pass; a task sends one row a model.
+    Without a group column all rows are of group 0."""
+    packed = [(sorted(t.groups), np.stack([m.coef for m in t.models]), np.array([m.intercept for m in t.models]), t.mean) for t in trials]
+    shared = rows.sparkSession.sparkContext.broadcast(packed)
+    slim = rows.select((F.col(group).cast("int") if group else F.lit(0)).alias("g"), F.col(x).cast("array<double>"), F.col(y).cast("double"))
+    parts = slim.mapInArrow(lambda batches: _errors(batches, shared.value), "t long, k long, a double, s double, base_a double, base_s double")
+    found = parts.groupBy("t", "k").agg((F.sum("a") / F.sum("base_a")).alias("nmae"), (F.sum("s") / F.sum("base_s")).alias("nmse")).collect()
+    out: list[list[tuple[float, float]]] = [[] for _ in trials]
+    for r in sorted(found, key=lambda r: (r["t"], r["k"])):
+        out[r["t"]].append((r["nmae"], r["nmse"]))
+    return out
 
 
 def scored(rows: DataFrame, models: Sequence[Linear], x: str = "x", y: str = "y", mean: float | None = None) -> list[tuple[float, float]]:
-    """nmae and nmse of each model over rows, in one pass whatever their number; a task sends one row a model. mean: of the
-    rows' target, if it is known."""
+    """nmae and nmse of each model over rows, in one pass whatever their number. mean: of the rows' target, if it is known."""
     mean = rows.agg(F.avg(y)).first()[0] if mean is None else mean
-    shared = rows.sparkSession.sparkContext.broadcast((np.stack([m.coef for m in models]), np.array([m.intercept for m in models]), mean))
-    slim = rows.select(F.col(x).cast("array<double>"), F.col(y).cast("double"))
-    parts = slim.mapInArrow(lambda batches: _errors(batches, *shared.value), "k long, a double, s double, base_a double, base_s double")
-    found = parts.groupBy("k").agg((F.sum("a") / F.sum("base_a")).alias("nmae"), (F.sum("s") / F.sum("base_s")).alias("nmse")).collect()
-    return [(r["nmae"], r["nmse"]) for r in sorted(found, key=lambda r: r["k"])]
+    return scored_trials(rows, [Trial(frozenset([0]), models, mean)], None, x, y)[0]
 
 
 def nmse_of(part: Normal, model: Linear) -> float:
@@ -327,24 +352,47 @@ def leave_one_out(rows: DataFrame, normal: Normal, penalties: Sequence[float], x
     return found[0].tolist() if found else [float("nan")] * len(penalties)
 
 
+@dataclass
+class Fit:
+    """A choice by held-out rows: the groups whose rows are fitted, and those that are held out."""
+
+    train: frozenset[int]
+    held: frozenset[int]
+
+
+def block_ridges(
+    rows: DataFrame, p: int, block_of: np.ndarray, presets: Sequence[Sequence[float]], penalties: Sequence[float], fits: Sequence[Fit], group: str, x: str = "x", y: str = "y", rounds: int = 3
+) -> list[Linear]:
+    """block_ridge for several fits over groups of the same rows: one pass sums all groups, one scores all models of all fits;
+    only the reweighting, if any, goes fit by fit."""
+    parts = normal_equations(rows, p, x, y, group)
+    of = lambda groups: total({g: n for g, n in parts.items() if g in groups})
+    scale_of = lambda preset: 1 / np.sqrt(np.asarray(preset, float)[block_of])
+    trials = []
+    for fit in fits:
+        train, held = of(fit.train), of(fit.held)
+        if train is None or held is None:
+            raise ValueError("some rows must be held out, and some not")
+        trials.append(Trial(fit.held, [m for preset in presets for m in ridge_path(train, penalties, scale_of(preset), centre=False)], float(held.mean[-1])))
+    out = []
+    for fit, errors in zip(fits, scored_trials(rows, trials, group, x, y), strict=True):
+        best = int(np.argmin([nmae for nmae, _ in errors]))
+        penalty, scale = penalties[best % len(penalties)], scale_of(presets[best // len(penalties)])
+        gram, moment, level = about_mean(of(fit.train | fit.held))
+        model = Linear(level, _solve(gram * np.outer(scale, scale) + penalty * np.eye(p), moment * scale))
+        if rounds:
+            scaled = moved(rows.where(F.col(group).isin(*fit.train | fit.held)), np.zeros(p), scale, x)
+            model = irls(scaled, p, penalty, model, rounds, 1e-3, F.col(group).isin(*fit.held), x, y)
+        out.append(Linear(model.intercept, model.coef * scale))
+    return out
+
+
 def block_ridge(rows: DataFrame, p: int, block_of: np.ndarray, presets: Sequence[Sequence[float]], penalties: Sequence[float], held: Column, x: str = "x", y: str = "y", rounds: int = 3) -> Linear:
     """A penalty for each block of columns: of the presets (multipliers by block) and the path's penalties, those of least
     nmae on the held-out rows, all of them scored in one pass; then all rows, reweighted towards least absolute errors.
     Columns are standardised beforehand; the intercept is the target's mean."""
-    both = normal_equations(rows.withColumn("_held", F.coalesce(held, F.lit(False)).cast("int")), p, x, y, "_held")
-    if 0 not in both or 1 not in both:
-        raise ValueError("some rows must be held out, and some not")
-    train, everything, tested = both[0], total(both), rows.where(held)
-    scale_of = lambda preset: 1 / np.sqrt(np.asarray(preset, float)[block_of])
-    models = [m for preset in presets for m in ridge_path(train, penalties, scale_of(preset), centre=False)]
-    errors = [nmae for nmae, _ in scored(tested, models, x, y, float(both[1].mean[-1]))]
-    best = int(np.argmin(errors))
-    penalty, scale = penalties[best % len(penalties)], scale_of(presets[best // len(penalties)])
-    gram, moment, level = about_mean(everything)
-    start = Linear(level, _solve(gram * np.outer(scale, scale) + penalty * np.eye(p), moment * scale))
-    scaled = moved(rows, np.zeros(p), scale, x)
-    found = irls(scaled, p, penalty, start, rounds, 1e-3, held, x, y)
-    return Linear(found.intercept, found.coef * scale)
+    marked = rows.withColumn("_held", F.coalesce(held, F.lit(False)).cast("int"))
+    return block_ridges(marked, p, block_of, presets, penalties, [Fit(frozenset([0]), frozenset([1]))], "_held", x, y, rounds)[0]
 
 
 def clip_range(low: float, high: float) -> tuple[float, float]:

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics, splits
-from .gram import Normal, normal_equations
-from .linear import Linear, block_ridge, clip_range, predicted, ridge_path, scored
+from .gram import Normal
+from .joins import fold_of
+from .linear import Fit, Linear, block_ridges, clip_range, predicted, ridge_path, scored
+from .ordered import durable
 from .quantiles import exact_quantiles
 
 #: A multiplier of the penalty that takes a block out of a model.
@@ -76,21 +78,30 @@ def cross_validated(
     """Out-of-fold predictions over contiguous folds of the rows 0..n-1: key, fold, y, p (clipped to what the fold's training
     targets allow) and middle, the median of these targets. Each fold is fitted as the final model is, its last quarter of
     training rows held out for the choice of penalties."""
-    placed = splits.contiguous(rows, splits.equal_parts(n, folds), key).persist()
-    ends, out, start = splits.equal_parts(n, folds), None, 0
+    ends = splits.equal_parts(n, folds)
+    starts = [0, *ends[:-1]]
+    # Where a fold's held-out rows begin among its training rows, in all rows' numbers: those after the fold are further on by
+    # its size. Between such cuts and the folds' ends all rows are used alike.
+    cuts = [int((n - (b - a)) * 0.75) for a, b in zip(starts, ends, strict=True)]
+    cuts = [c if c < a else c + b - a for c, a, b in zip(cuts, starts, ends, strict=True)]
+    edges = sorted({0, *ends, *cuts} - {n})
+    parts = list(zip(edges, [*edges[1:], n], strict=True))
+    placed = durable(splits.contiguous(fold_of(rows, parts, key).withColumnRenamed("fold", "_part"), ends, key))
+    fits = []
+    for a, b, cut in zip(starts, ends, cuts, strict=True):
+        outside = [k for k, (low, _) in enumerate(parts) if not a <= low < b]
+        fits.append(Fit(frozenset(k for k in outside if parts[k][0] < cut), frozenset(k for k in outside if parts[k][0] >= cut)))
+    models = block_ridges(placed, p, block_of, presets, penalties, fits, "_part", rounds=rounds)
     middles = exact_quantiles(placed, {str(k): F.when(F.col("fold") != k, F.col("y")) for k in range(folds)}, [0.5])
     spans = {r["fold"]: r for r in placed.groupBy("fold").agg(F.min("y").alias("a"), F.max("y").alias("b")).collect()}
-    for k, end in enumerate(ends):
-        train = placed.where(F.col("fold") != k)
-        # Row numbers among the training rows: those after the fold move up by its size.
-        place = F.when(F.col(key) >= end, F.col(key) - (end - start)).otherwise(F.col(key))
-        model = block_ridge(train, p, block_of, presets, penalties, place >= int((n - (end - start)) * 0.75), rounds=rounds)
+    out = None
+    for k, model in enumerate(models):
         others = [r for fold, r in spans.items() if fold != k]
         low, high = clip_range(min(r["a"] for r in others), max(r["b"] for r in others)) if clip else (float("-inf"), float("inf"))
         own = predicted(placed.where(F.col("fold") == k), model)
         value = F.greatest(F.lit(low), F.least(F.lit(high), F.col("p")))
         own = own.select(key, "fold", "y", F.when(F.isnan("p"), F.lit(model.intercept)).otherwise(value).alias("p"), F.lit(middles[str(k)][0]).alias("middle"))
-        out, start = own if out is None else out.unionAll(own), end
+        out = own if out is None else out.unionAll(own)
     return out
 
 

@@ -10,6 +10,7 @@ from ..functions import arrays as A
 from ..functions import physio, surfaces
 from ..operators.joins import place_in_order
 from ..operators.kernels import apply_kernel, names_of
+from ..operators.ordered import durable
 from . import rates, tasks
 from .fixtures import WINDOWS_SQL, channels, r6, rounded, table, windows
 
@@ -147,7 +148,7 @@ def rate_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 10).alias("row_id")).agg(F.avg("label").alias("y"))
     rows = _inputs(spark, sf_dir).join(label, "row_id")
     placed = place_in_order(rows.withColumn("_all", F.lit(0)), "_all", "row_id", "row_id")
-    rows = placed.withColumn("row_id", F.col("_place") - 1).drop("_all", "_place", "_count").persist()
+    rows = durable(placed.withColumn("row_id", F.col("_place") - 1).drop("_all", "_place", "_count"))
     n, out = rows.count(), None
     for name in ("gated", "shaped", "harmonic"):
         found = rates.fit(rows, n, rates.VARIANTS[name]).predict(rows).select(F.lit(name).alias("variant"), "row_id", "p")

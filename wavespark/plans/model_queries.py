@@ -18,6 +18,7 @@ from ..operators import search as SEARCH
 from ..operators import selection as SEL
 from ..operators import splits as S
 from ..operators import transforms as T
+from ..operators.ordered import durable
 from ..operators.quantiles import exact_quantiles, median
 from . import tasks
 from .fixtures import r6, rounded, table
@@ -383,7 +384,7 @@ def cross_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     about = li.agg(F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("s"), F.count("*").alias("n")).first()
     x = F.array((F.col("l_quantity") - about["m"]) / (about["s"] + 1e-8))
     rows = placed.select((F.col("_place") - 1).alias("row_id"), x.alias("x"), "y")
-    found = SEL.cross_validated(rows, about["n"], 1, np.zeros(1, int), [(1.0,)], [10.0], rounds=0, clip=False).persist()
+    found = durable(SEL.cross_validated(rows, about["n"], 1, np.zeros(1, int), [(1.0,)], [10.0], rounds=0, clip=False))
     return rounded(SEL.cross_validation_table(found), ["fold"])
 
 
@@ -452,7 +453,7 @@ def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def block_ridge_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block ridge of standardised columns, reweighted towards least absolute errors, scored on the rows that were held out."""
-    rows = standard_design(spark, sf_dir).persist()
+    rows = durable(standard_design(spark, sf_dir))
     m = L.block_ridge(rows, 4, np.array([0, 0, 1, 1]), [(0.1, 1.0), (1.0, 1.0), (0.03, 0.3), (0.01, 30.0)], L.LAMBDAS_C, F.col("fold") == 0)
     return M.scores(rows.where("fold = 0").withColumn("p", m.predict()), "y", "p")
 
@@ -570,7 +571,8 @@ def representative_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the subject with the fewest events, the one whose value is nearest their median."""
     e = events(spark, sf_dir)
     least = e.groupBy("user_id").count().orderBy("count", "user_id").limit(1).select("user_id")  # one row
-    fine = e.where("value IS NOT NULL").join(F.broadcast(least), "user_id").select("event_id", F.col("value").cast("double").alias("value")).persist()
+    fine = e.where("value IS NOT NULL").join(F.broadcast(least), "user_id").select("event_id", F.col("value").cast("double").alias("value"))
+    fine = durable(fine)
     return rounded(tasks.nearest_to_median(fine, "value", "event_id"), ["event_id"])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import tables
 from ..operators import longform as L
-from ..operators.ordered import ewma, ewma_filled
+from ..operators.ordered import durable, ewma, ewma_filled
 from ..operators.quantiles import exact_quantiles, median
 from .fixtures import SECONDS_SQL, WINDOWS_SQL, channels, r6, rounded, seconds, windows
 
@@ -355,7 +355,7 @@ def representative_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.col("w")
     spread = A.let(A.mean(w), lambda m: A.let(A.std(w) + 1e-9, lambda s: F.array_max(F.transform(w, lambda x: F.abs(x - m) / s))))
     rows = windows(spark, sf_dir).select("row_id", A.std(w).alias("std"), spread.alias("most"), F.array_min(F.transform(A.every(w, 16), lambda x: F.abs(x))).alias("skin"))
-    rows = rows.join(e, "row_id").persist()
+    rows = durable(rows.join(e, "row_id"))
     low = exact_quantiles(rows, {"std": F.col("std")}, [0.25])["std"][0]
     fine = rows.where((F.col("std") > low) & (F.col("most") < 5) & (F.col("skin") > 1e-6))
     near = fine.withColumn("distance", F.abs(F.col("target") - F.lit(median(fine, F.col("target")))))
