@@ -62,6 +62,18 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_sides_that_grow_are_not_broadcast(spark):
+    """Not even where they are small enough that Spark, left alone, would."""
+    rows = spark.range(50).select(F.col("id").alias("print"), F.col("id").alias("least"))
+    pairs = rows.where("print < 20").select(F.col("print").alias("node"), (F.col("print") - F.col("print") % 2 + 1).alias("root"))
+    found = simhash.with_component(rows.withColumn("id", F.col("print")), rows, pairs)
+    assert {(r["print"], r["component_id"]) for r in found.collect()} == {(k, k - k % 2 if k < 20 else k) for k in range(50)}
+    left, right = (spark.range(50).withColumnRenamed("id", c) for c in ("k", "k"))
+    assert common.exchanged(left, right, "k", "left").count() == 50
+    for plan in (found, common.exchanged(left, right, "k")):
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ascii_lower(docs):
     rows = docs.select("text", common.ascii_lower(F.coalesce("text", F.lit(""))).alias("l")).collect()
     assert all(r["l"] == lower(r["text"]) for r in rows)

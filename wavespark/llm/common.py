@@ -65,6 +65,12 @@ def fresh(stem: str, *frames: DataFrame) -> str:
     return stem
 
 
+def exchanged(left: DataFrame, right: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """left and right joined by exchanges, whatever the session's broadcast threshold: for sides that grow with the input,
+    each of which would otherwise be gathered by the driver and sent whole to every executor as long as it is below that."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph by randomised contraction.
 
@@ -98,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
         to_a = move.select(F.col("node").alias("a"), F.col("root").alias("x"))
         to_b = move.select(F.col("node").alias("b"), F.col("root").alias("y"))
         edges = (
-            edges.join(to_a, "a").join(to_b, "b").where("x <> y")
+            exchanged(exchanged(edges, to_a, "a"), to_b, "b").where("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("round") + 1).alias("round")).distinct()
         )
     if not moves:
@@ -106,5 +112,5 @@ def components(edges: DataFrame) -> DataFrame:
     found = moves.pop()
     while moves:
         onward = found.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        found = moves.pop().join(onward, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        found = exchanged(moves.pop(), onward, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     return checkpoint(found)

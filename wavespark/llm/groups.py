@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components
+from .common import checkpoint, components, exchanged
 
 #: Weight of the rows that one task compares at a time; heavier groups are cut up.
 BLOCK = 4096
@@ -132,7 +132,7 @@ def _between_trees(heavy: DataFrame, found: DataFrame, rest: list[str], block: i
     """Rows of heavy groups that found leaves in several trees, once for each pair of blocks of different trees. A tree
     heavier than a block has blocks of its own; lighter ones share blocks, each tree in one."""
     trees = components(found).withColumnRenamed("node", "name")
-    rows = heavy.join(trees, "name", "left").withColumn("tree", F.coalesce("root", "name")).drop("root", "blocks")
+    rows = exchanged(heavy, trees, "name", "left").withColumn("tree", F.coalesce("root", "name")).drop("root", "blocks")
     shares = rows.groupBy("grp", "tree").agg(F.sum("weight").alias("share"))
     several = shares.groupBy("grp").agg(F.count("*").alias("trees"), F.sum(F.when(F.col("share") <= block, F.col("share")).otherwise(0)).alias("light"))
     several = several.where("trees > 1").select("grp", F.ceil(F.col("light") / block).alias("pools"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, fresh, row_key, spread
+from .common import checkpoint, components, exchanged, fresh, row_key, spread
 from .exact_dedup import bitmap_of, with_test
 from .groups import BLOCK, bounds, joining_links, spanning
 from .simhash import CHUNK, GOLAY_LENGTH, SEED, SMALL, bit_counts, golay_keys, shingle_hashes, with_component
@@ -165,12 +165,12 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
 def _family_sets(docs: DataFrame, distinct: DataFrame, families: DataFrame, shingle: int) -> DataFrame:
     """Rows (grp, name, weight, hashes): the shingle set of each text of each family. Only such texts leave the scan of
     docs, which a bitmap of a fixed size picks by the id of one document of each."""
-    wanted = checkpoint(families.join(distinct.select(F.col("print").alias("node"), "least", "n"), "node"))
+    wanted = checkpoint(exchanged(families, distinct.select(F.col("print").alias("node"), "least", "n"), "node"))
     bitmaps = bitmap_of(wanted.select(F.xxhash64("least").alias("key")))
     picked = with_test(docs, F.xxhash64("id"), bitmaps, "picked").where("picked").select("text")
     sets = picked.mapInArrow(lambda batches: _sets(batches, shingle), "name long, hashes array<long>").dropDuplicates(["name"])
     wanted = wanted.select(F.col("node").alias("name"), F.col("root").alias("grp"), (F.lit(1) + F.expr(f"n div {HEAVY}")).alias("weight"))
-    return checkpoint(sets.join(wanted, "name").select("grp", "name", "weight", "hashes"))
+    return checkpoint(exchanged(sets, wanted, "name").select("grp", "name", "weight", "hashes"))
 
 
 def near_copy_groups(
@@ -217,6 +217,6 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     touched = checkpoint(decided.where("rows > 1 OR NOT stays"))
     mark, own, stays = (fresh(c, docs) for c in ("_touched", "_key", "_stays"))
     rows = with_test(docs.withColumn(own, key), F.xxhash64(own), bitmap_of(touched.select(F.xxhash64("key").alias("key"))), mark)
-    again = rows.where(mark).join(touched.select(F.col("key").alias(own), F.col("stays").alias(stays)), own, "left")
+    again = exchanged(rows.where(mark), touched.select(F.col("key").alias(own), F.col("stays").alias(stays)), own, "left")
     again = again.where(F.coalesce(stays, F.lit(True))).dropDuplicates([own])
     return rows.where(~F.col(mark)).select(*docs.columns).unionAll(again.select(*docs.columns))

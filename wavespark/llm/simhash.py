@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, spread, table
+from .common import checkpoint, components, exchanged, spread, table
 from .groups import BLOCK, bounds, joining_links, spanning
 
 #: Words in a shingle, the hash's seed, and the bits in which linked fingerprints may differ, as the query's contract has them.
@@ -197,11 +197,11 @@ def simhash_groups(
 def with_component(prints: DataFrame, distinct: DataFrame, joined: DataFrame) -> DataFrame:
     """Rows (id, print, component_id) of prints (id, print, ...); joined has (node, root) of prints that have links, and
     distinct each print's smallest id as least."""
-    roots = distinct.join(joined.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    roots = exchanged(distinct, joined.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     # Only fingerprints that have links need the smallest id of their component.
-    least = checkpoint(joined.join(distinct, joined["node"] == distinct["print"]).groupBy("root").agg(F.min("least").alias("component_id")))
-    named = roots.join(least, "root", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "print").select("id", "print", "component_id")
+    least = checkpoint(exchanged(joined, distinct, joined["node"] == distinct["print"]).groupBy("root").agg(F.min("least").alias("component_id")))
+    named = exchanged(roots, least, "root", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
+    return exchanged(prints, named, "print").select("id", "print", "component_id")
 
 
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
