@@ -652,3 +652,16 @@ def test_kernels_take_gaps_and_odd_lengths(spark):
 def test_queries_without_sql_give_finite_rows(spark, name):
     found = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas().select_dtypes("number")
     assert len(found) and np.isfinite(found.to_numpy(float)).all()
+
+
+def test_the_header_is_the_first_files_whatever_their_sizes(spark, tmp_path):
+    """Spark reads the largest split first."""
+    rows = [[f"{k}.5,{k},{2 * k}" for k in range(n)] for n in (0, 3, 500)]
+    for k, lines in enumerate((["a,b,hr", *rows[1]], [], rows[2])):
+        (tmp_path / f"part-{k}.csv").write_text("".join(f"{v}\n" for v in lines))
+    found = src.read_table(spark, str(tmp_path), width=2).orderBy("row_id").collect()
+    assert [r["row_id"] for r in found] == list(range(503)) and [r["x"] for r in found[2:4]] == [[2.5, 2.0], [0.5, 0.0]] and found[-1]["y"] == 998.0
+    (tmp_path / "part-0.csv").write_text("")
+    (tmp_path / "part-2.csv").write_text("")
+    with pytest.raises(ValueError, match="no header"):
+        src.read_table(spark, str(tmp_path), width=2)

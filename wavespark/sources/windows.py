@@ -17,13 +17,24 @@ WIDTH = BLOCKS * BLOCK_WIDTH
 TARGET = "hr"
 
 
+def _placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (value, f, b, m) of text: in the order of f (file), b (start of the split) and m (number within the split) they are
+    in file order. Spark itself reads the largest splits first."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of the first file that has one; none if there is no line."""
+    return _placed_lines(spark, path).agg(F.min_by("value", F.struct("f", "b", "m")).alias("value")).first()["value"]
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines (row_id, value) of text in file order: row_id counts from 0 over files in the order of their paths.
 
     Each split is counted; the counts, one row a split, are added up; and a line's number is its split's offset and its
     place within the split. Lines are never sorted or shuffled.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    lines = _placed_lines(spark, path)
     splits = lines.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("m").alias("first"))
     before = F.coalesce(F.sum("n").over(W.orderBy("f", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = splits.select("f", "b", "first", before.alias("offset"))
@@ -33,7 +44,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_table(spark: SparkSession, path: str, target: str = TARGET, width: int | None = WIDTH) -> DataFrame:
     """row_id, x (all columns but the target, in the header's order) and y (null if there is no target) of a CSV file
     with a header. Numbers that can't be read, and rows of another width, raise an error."""
-    header = [c.strip().strip('"') for c in spark.read.text(path).first()["value"].split(",")]
+    first = first_line(spark, path)
+    if first is None:
+        raise ValueError(f"{path} has no header")
+    header = [c.strip().strip('"') for c in first.split(",")]
     at = header.index(target) if target in header else None
     if width is not None and len(header) - (at is not None) != width:
         raise ValueError(f"{path} has {len(header) - (at is not None)} columns besides {target}, not {width}")
