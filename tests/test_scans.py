@@ -115,6 +115,18 @@ def test_gate_search_equals_direct_refits(spark, held):
     assert found.predict(rows).columns == [*rows.columns, "p"]
 
 
+def test_search_over_alike_rows_is_the_search_over_all(spark):
+    n, p = 400, 3
+    x = R.integers(-2, 3, (n, p)) / 2.5
+    y = 1e3 + np.abs(x[:, 0]) * 3 + x[:, 1] + R.normal(size=n)
+    rows = frame(spark, x, y, fold=R.integers(0, 3, n))
+    assert SE.alike_rows(rows).count() < 350 and SE.alike_rows(rows).agg(F.sum("weight")).first()[0] == n
+    gates = [SE.Gate((0,), s) for s in (0.0, 0.3, 0.6)]
+    every, alike = (SE.nested_search(rows, p, gates, (0.1, 3.0, 100.0), alike=a) for a in (False, True))
+    assert np.allclose(every.errors, alike.errors, rtol=1e-11) and (every.best, every.penalties) == (alike.best, alike.penalties)
+    assert np.allclose(every.model.coef, alike.model.coef, rtol=1e-9)
+
+
 def test_search_needs_folds(spark):
     with pytest.raises(ValueError, match="folds"):
         SE.nested_search(frame(spark, R.normal(size=(9, 2)), R.normal(size=9), fold=np.zeros(9, int)), 2, [SE.Gate((0,), 0.1)])

@@ -166,7 +166,7 @@ def scored_trials(rows: DataFrame, trials: Sequence[Trial], group: str | None =
     Without a group column all rows are of group 0."""
     packed = [(sorted(t.groups), np.stack([m.coef for m in t.models]), np.array([m.intercept for m in t.models]), t.mean) for t in trials]
     shared = rows.sparkSession.sparkContext.broadcast(packed)
-    slim = rows.select((F.col(group).cast("int") if group else F.lit(0)).alias("g"), F.col(x).cast("array<double>"), F.col(y).cast("double"))
+    slim = rows.select((F.col(group).cast("int") if group else F.lit(0)).alias("g"), F.col(x).cast("array<double>"), F.col(y).cast("double"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"), (F.col(within).cast("double") if within else F.lit(0.0)).alias("within"))
     parts = slim.mapInArrow(lambda batches: _errors(batches, shared.value), "t long, k long, a double, s double, base_a double, base_s double")
     found = parts.groupBy("t", "k").agg((F.sum("a") / F.sum("base_a")).alias("nmae"), (F.sum("s") / F.sum("base_s")).alias("nmse")).collect()
     out: list[list[tuple[float, float]]] = [[] for _ in trials]
@@ -304,12 +304,13 @@ class Basis:
         values, vectors = np.linalg.eigh(normal.spread[:-1, :-1] / np.outer(scale, scale))
         return cls(normal.weight, normal.mean[:-1], scale, float(normal.mean[-1]), np.maximum(values, 0), vectors, vectors.T @ (normal.spread[:-1, -1] / scale))
 
-    def errors(self, x: np.ndarray, y: np.ndarray, penalties: np.ndarray) -> np.ndarray:
-        """The squared error of each of the rows summed, left out of the fit, for each penalty: (rows, penalties)."""
+    def errors(self, x: np.ndarray, y: np.ndarray, penalties: np.ndarray, weight: np.ndarray, within: np.ndarray) -> np.ndarray:
+        """Summed squared errors of rows that were fitted, each left out of the fit, for each penalty. A row stands for weight
+        rows of the same columns, whose targets have the mean y and within as squared distances from it."""
         turned = ((x - self.mean) / self.scale) @ self.vectors
         shrunk = 1 / np.maximum(self.values[:, None] + penalties, 1e-300)
         residual = y[:, None] - self.level - turned @ (self.projected[:, None] * shrunk)
-        return (residual / (1 - (turned * turned) @ shrunk - 1 / self.n)) ** 2
+        return ((weight[:, None] * residual**2 + within[:, None]) / (1 - (turned * turned) @ shrunk - 1 / self.n) ** 2).sum(axis=0)
 
     def model(self, penalty: float) -> Linear:
         coef = self.vectors @ (self.projected / np.maximum(self.values + penalty, 1e-300)) / self.scale
@@ -323,23 +324,24 @@ def _left_out(batches: Iterator[pa.RecordBatch], bases: dict[int, Basis], penalt
     for batch in batches:
         if not batch.num_rows:
             continue
-        fold, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        fold, y, weight, within = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4))
         x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
         for k, design in enumerate(variants(x) if variants else [x]):
             for key, basis in bases.items():
                 if key % count == k:
                     at = np.isin(fold, [f for f in np.unique(fold) if own(key // count, int(f))])
-                    sums[key] += basis.errors(design[at], y[at], penalties).sum(axis=0)
+                    sums[key] += basis.errors(design[at], y[at], penalties, weight[at], within[at])
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["key", "e"])
 
 
 def left_out_errors(
     rows: DataFrame, bases: dict[int, Basis], penalties: Sequence[float], own: Callable[[int, int], bool], x: str = "x", y: str = "y", fold: str | None = None,
-    variants: Callable | None = None, count: int = 1,
+    variants: Callable | None = None, count: int = 1, weight: str | None = None, within: str | None = None,
 ) -> dict[int, np.ndarray]:
-    """Mean squared leave-one-out errors by basis and penalty, in one pass; a task sends one row a basis."""
+    """Mean squared leave-one-out errors by basis and penalty, in one pass; a task sends one row a basis. weight, within: see
+    Basis.errors; rows stand for themselves if they are not given."""
     shared = rows.sparkSession.sparkContext.broadcast((bases, np.asarray(penalties, float)))
-    slim = rows.select((F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"), F.col(x).cast("array<double>"), F.col(y).cast("double"))
+    slim = rows.select((F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"), F.col(x).cast("array<double>"), F.col(y).cast("double"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"), (F.col(within).cast("double") if within else F.lit(0.0)).alias("within"))
     parts = slim.mapInArrow(lambda batches: _left_out(batches, *shared.value, own, variants, count), "key int, e array<double>")
     found = parts.groupBy("key").agg(*[F.sum(F.get("e", F.lit(j))).alias(f"e{j}") for j in range(len(penalties))]).collect()
     return {r["key"]: np.array(r[1:]) / bases[r["key"]].n for r in found}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from .gram import normal_equations, total
 from .linear import Basis, Linear, left_out_errors, mse_of, predicted
+from .ordered import durable
 
 #: Bytes of matrices that the driver holds, and broadcasts, at once.
 HELD = 1 << 28
@@ -64,8 +65,17 @@ class Found:
         return predicted(self.stage.apply(rows.withColumn("_gated", F.col(x)), "_gated"), self.model, "_gated", name).drop("_gated")
 
 
+def alike_rows(rows: DataFrame, x: str = "x", y: str = "y", fold: str = "fold") -> DataFrame:
+    """One row for each fold and distinct x: y is the mean of its rows' targets, weight their number, within the sum of their
+    squared distances from it. Sums of squares over the rows follow from these exactly, whatever the model."""
+    value = F.col(y).cast("double")
+    found = rows.groupBy(F.col(fold).cast("int").alias(fold), F.col(x).cast("array<double>").alias(x)).agg(F.avg(value).alias(y), F.count("*").cast("double").alias("weight"), F.var_pop(value).alias("within"))
+    return found.withColumn("within", F.col("within") * F.col("weight"))
+
+
 def nested_search(
-    rows: DataFrame, p: int, stages: Sequence[Stage], penalties: Sequence[float] = PENALTIES, x: str = "x", y: str = "y", fold: str = "fold", standardise: bool = True, held: int = HELD
+    rows: DataFrame, p: int, stages: Sequence[Stage], penalties: Sequence[float] = PENALTIES, x: str = "x", y: str = "y", fold: str = "fold", standardise: bool = True, held: int = HELD,
+    alike: bool = False,
 ) -> Found:
     """Of candidate stages the one of least mean squared error over the folds, when each fold's model is a ridge on the
     transformed (and standardised) columns whose penalty is chosen by leave-one-out errors within the training rows.
@@ -75,10 +85,16 @@ def nested_search(
     row's leave-one-out errors in all fits that it takes part in. Errors on held-out folds come from the sums. A design so
     wide that all candidates' matrices would pass `held` bytes is done in groups of candidates, with two passes each.
 
-    Folds are numbers from 0; rows have values for all columns. Persist rows that are costly to make.
+    alike: for designs that take few distinct values, rows of the same fold and columns are put together first (see
+    alike_rows), so that what is done for each candidate follows the distinct rows; every row is in the sums as before.
+
+    Folds are numbers from 0; rows have values for all columns and a target. Persist rows that are costly to make.
     """
+    rows = durable(alike_rows(rows, x, y, fold)) if alike else rows
+    weight, within = ("weight", "within") if alike else (None, None)
     count_of = lambda n: max(1, held // (n * (p + 1) ** 2 * 8))
-    folds = [r[0] for r in rows.select(F.col(fold).cast("int")).distinct().orderBy(fold).collect()]  # a few by nature
+    apart = {r[0]: r[1] for r in rows.groupBy(F.col(fold).cast("int").alias(fold)).agg(F.sum(F.col(within) if alike else F.lit(0.0))).orderBy(fold).collect()}  # a few by nature
+    folds = list(apart)
     if len(folds) < 2:
         raise ValueError("a search needs two folds at least")
     each = count_of(2 * len(folds) + 2)
@@ -87,7 +103,9 @@ def nested_search(
         group = list(stages[start : start + each])
         n = len(group)
         variants = lambda values, group=group: (stage.values(values) for stage in group)
-        sums = normal_equations(rows, p, x, y, fold, variants=variants, count=n)
+        sums = normal_equations(rows, p, x, y, fold, weight, variants=variants, count=n)
+        for key, part in sums.items():
+            part.spread[-1, -1] += apart[key // n]
         bases = {}
         for k in range(n):
             everything = total({f: sums[f * n + k] for f in folds})
@@ -95,7 +113,7 @@ def nested_search(
             bases[-n + k] = Basis.of(everything, standardise)
             for f in folds:
                 bases[f * n + k] = Basis.of(everything - sums[f * n + k], standardise)
-        found = left_out_errors(rows, bases, penalties, lambda basis, row: basis != row, x, y, fold, variants, n)
+        found = left_out_errors(rows, bases, penalties, lambda basis, row: basis != row, x, y, fold, variants, n, weight, within)
         penalty = {key: float(penalties[int(e.argmin())]) for key, e in found.items()}
         for k in range(n):
             errors.append(float(np.mean([mse_of(sums[f * n + k], bases[f * n + k].model(penalty[f * n + k])) for f in folds])))

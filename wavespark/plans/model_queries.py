@@ -528,7 +528,7 @@ def _searched(spark: SparkSession, found: SEARCH.Found) -> DataFrame:
 @query()
 def gate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with four columns, of which the first is gated."""
-    return _searched(spark, SEARCH.nested_search(gated_design(spark, sf_dir), 4, [SEARCH.Gate((0,), s) for s in SEARCH.STRENGTHS]))
+    return _searched(spark, SEARCH.nested_search(gated_design(spark, sf_dir), 4, [SEARCH.Gate((0,), s) for s in SEARCH.STRENGTHS], alike=True))
 
 
 #: Derivative of the mean log likelihood by the parameter l, of the distinct values (name, v, n), by the closed forms.
