@@ -517,7 +517,7 @@ SELECT strength, {r6('mse', 'mse')}, penalty, strength = (SELECT arg_min(strengt
 def gate_search_one_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strength of a gate on one column: each fold's ridge chooses its penalty by leave-one-out errors of its training rows."""
     rows = gated_design(spark, sf_dir).withColumn("x", F.slice("x", 1, 1))
-    return _searched(spark, SEARCH.nested_search(rows, 1, [SEARCH.Gate((0,), s) for s in SEARCH.STRENGTHS]))
+    return _searched(spark, SEARCH.nested_search(rows, 1, [SEARCH.Gate((0,), s) for s in SEARCH.STRENGTHS], alike=True))
 
 
 def _searched(spark: SparkSession, found: SEARCH.Found) -> DataFrame:
