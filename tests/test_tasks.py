@@ -212,6 +212,7 @@ def test_out_of_fold_predictions(spark):
     x = (x - x.mean(0)) / x.std(0)
     rows = spark.createDataFrame([(k, x[k].tolist(), float(y[k])) for k in range(120)], "row_id long, x array<double>, y double").repartition(3)
     got = SEL.cross_validated(rows, 120, 3, np.array([0, 0, 1]), [(1.0, 1.0), (0.1, 10.0)], [0.1, 10.0, 1000.0], folds=4)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # the rows are read once, not once a fold
     table = {r["fold"]: r for r in SEL.cross_validation_table(got).collect()}
     found = {r["row_id"]: r for r in got.collect()}
     assert len(found) == 120 and set(table) == {"1", "2", "3", "4", "mean", "std", "pooled"}

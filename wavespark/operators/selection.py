@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import metrics, splits
 from .gram import Normal
 from .joins import fold_of
-from .linear import Fit, Linear, block_ridges, clip_range, predicted, ridge_path, scored
+from .linear import Fit, Linear, block_ridges, clip_range, predictions, ridge_path, scored
 from .ordered import durable
 from .quantiles import exact_quantiles
 
@@ -94,26 +94,29 @@ def cross_validated(
     models = block_ridges(placed, p, block_of, presets, penalties, fits, "_part", rounds=rounds)
     middles = exact_quantiles(placed, {str(k): F.when(F.col("fold") != k, F.col("y")) for k in range(folds)}, [0.5])
     spans = {r["fold"]: r for r in placed.groupBy("fold").agg(F.min("y").alias("a"), F.max("y").alias("b")).collect()}
-    out = None
-    for k, model in enumerate(models):
+    # One pass over the rows, each of which takes its fold's model and limits.
+    limits = []
+    for k in range(folds):
         others = [r for fold, r in spans.items() if fold != k]
-        low, high = clip_range(min(r["a"] for r in others), max(r["b"] for r in others)) if clip else (float("-inf"), float("inf"))
-        own = predicted(placed.where(F.col("fold") == k), model)
-        value = F.greatest(F.lit(low), F.least(F.lit(high), F.col("p")))
-        own = own.select(key, "fold", "y", F.when(F.isnan("p"), F.lit(model.intercept)).otherwise(value).alias("p"), F.lit(middles[str(k)][0]).alias("middle"))
-        out = own if out is None else out.unionAll(own)
-    return out
+        limits.append(clip_range(min(r["a"] for r in others), max(r["b"] for r in others)) if clip else (float("-inf"), float("inf")))
+    own = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("fold"))
+    p = F.get("p", F.col("fold"))
+    value = F.greatest(own([low for low, _ in limits]), F.least(own([high for _, high in limits]), p))
+    return predictions(placed, models).select(
+        key, "fold", "y", F.when(F.isnan(p), own([m.intercept for m in models])).otherwise(value).alias("p"), own([middles[str(k)][0] for k in range(folds)]).alias("middle")
+    )
 
 
-def cross_validation_table(predictions: DataFrame) -> DataFrame:
+def cross_validation_table(found: DataFrame) -> DataFrame:
     """Of cross_validated: nmae and nmse of the model and of the median, and the median, by fold ("1", ..), as their mean and
     population deviation over folds ("mean", "std"), and over all predictions together ("pooled")."""
-    model, middle = (metrics.scores(predictions, "y", c, ["fold"]) for c in ("p", "middle"))
+    model, middle = (metrics.scores(found, "y", c, ["fold"]) for c in ("p", "middle"))
     names = ["nmae", "nmse", "median_nmae", "median_nmse", "median"]
     by_fold = model.join(middle.select("fold", F.col("nmae").alias("median_nmae"), F.col("nmse").alias("median_nmse")), "fold")
-    by_fold = by_fold.join(predictions.groupBy("fold").agg(F.first("middle").alias("median")), "fold").select("fold", *names)
+    by_fold = by_fold.join(found.groupBy("fold").agg(F.first("middle").alias("median")), "fold").select("fold", *names)
+    by_fold = durable(by_fold)  # a row a fold, read three times
     over = lambda label, f: by_fold.agg(*[f(c).alias(c) for c in names]).select(F.lit(label).alias("fold"), *names)
-    pooled, flat = (metrics.scores(predictions, "y", c) for c in ("p", "middle"))
+    pooled, flat = (metrics.scores(found, "y", c) for c in ("p", "middle"))
     both = pooled.crossJoin(F.broadcast(flat.select(F.col("nmae").alias("median_nmae"), F.col("nmse").alias("median_nmse"))))  # one row each
     both = both.select(F.lit("pooled").alias("fold"), "nmae", "nmse", "median_nmae", "median_nmse", F.lit(None).cast("double").alias("median"))
     numbered = by_fold.select((F.col("fold") + 1).cast("string").alias("fold"), *names)
