@@ -62,6 +62,15 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_estimates_of_components_do_not_grow_with_the_rounds(spark):
+    """A path takes many rounds. The planner's number for the result's size has about as many digits as there are rounds, not
+    three times more for each."""
+    path = spark.range(300).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    found = common.components(path)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 1000
+    assert (found.count(), found.select("root").distinct().count()) == (301, 1)
+
+
 def test_sides_that_grow_are_not_broadcast(spark):
     """Not even where they are small enough that Spark, left alone, would."""
     rows = spark.range(50).select(F.col("id").alias("print"), F.col("id").alias("least"))

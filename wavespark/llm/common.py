@@ -84,12 +84,16 @@ def components(edges: DataFrame) -> DataFrame:
     grouping is a minimum with map-side combining, so a hub of any degree costs one row a task; the joins have a unique
     side and both sides reach them by plain exchanges, which adaptive execution can split where a node is hot. The round
     is a column, not a literal, so that all rounds run the same generated code.
+
+    Each round's edges are stored, not checkpointed: a checkpoint keeps the planner's estimate of its size, which for a
+    join is the product of both sides', so that two joins a round would triple the estimate's digits every round, until
+    it filled the driver. A stored table's size is that of its files.
     """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = edges.withColumn("round", F.lit(0))
     moves: list[DataFrame] = []
     while True:
-        edges = checkpoint(edges)
+        edges = stored(edges)
         if edges.isEmpty():
             break
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near"), "round").unionAll(
